@@ -9,12 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import table
+from .common import held_out, table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import FOLD as LANG_FOLD
+from .language_id import FOLDS as LANG_FOLDS
+from .language_id import fit_languages, identify_languages
 from .line_dedup import line_dedup
+from .quality import fit_quality, score_quality
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .toxicity import FOLD, FOLDS, fit_toxicity, score_toxicity
+
+
+def _marked(scored: DataFrame, at: float) -> DataFrame:
+    return scored.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _marked(score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +54,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", held_out("doc_id", LANG_FOLDS, LANG_FOLD).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _marked(score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode_back=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -51,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_simhash, op5_exact_dedup, op8_bpe, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_exact_dedup, op6_language_id, op7_quality, op8_bpe, op10_line_dedup)}
 
 
 OP3_SQL = r"""
