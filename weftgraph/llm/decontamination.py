@@ -15,7 +15,6 @@ at least as long as the shortest window are streamed: others can't match.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -168,8 +167,8 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.8) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, items (ids of items with occurring windows, ascending as strings), text without hit spans, dropped.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, items (ids of items with occurring windows, ascending as strings), text without hit spans, dropped, and the columns named in keep.
 
     A span is hit from one window on (the length limit); dropped: hit words are
     over max_coverage of all words, so the whole text goes (the coverage limit).
@@ -178,7 +177,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Other columns are not read.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, window=window))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("text", pa.string()), ("dropped", pa.bool_())])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_())
+    names = ["doc_id", "n_words", "n_hit", "items", "text", "dropped", *(f"_{k}" for k in range(len(keep)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sa = automaton.value
@@ -195,10 +195,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     drop = hit > max_coverage * len(ws) if ws else False
                     for column, value in zip(out, (len(ws), hit, sorted(sa.items[i] for i in found), _cut(text, spans) if spans else text, drop), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(x, f.type) for x, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, text string, dropped boolean")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+                kept = (batch.column(k).slice(a, b - a) for k in range(2, batch.num_columns))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, out, kinds), *kept], names)
+
+    more = "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    kept = [F.col(c).alias(f"_{k}") for k, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *kept)
+    found = rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, text string, dropped boolean" + more)
+    return found.withColumnsRenamed({f"_{k}": c for k, c in enumerate(keep)}) if keep else found

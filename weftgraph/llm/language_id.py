@@ -124,11 +124,14 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, lang_pred, score, ambiguous, and the columns named in keep.
+    """One row per row of docs: doc_id, lang_pred, score, ambiguous, and the columns named in keep (none of these four).
 
     lang_pred is `und`, with score 0, if a text is null or has no letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    aliases = [f"_{k}" for k in range(len(keep))]
+    others = [c for c in keep if c != text_col]
+    at = [1 if c == text_col else 2 + others.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(split, shared.value.rows)
@@ -136,12 +139,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 names, score, vague = shared.value.predict(table, texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(vague), *(batch.column(k).slice(a, b - a) for k in range(2, batch.num_columns))],
-                    ["doc_id", "lang_pred", "score", "ambiguous", *(f"_{k}" for k in range(2, batch.num_columns))],
-                )
-
-    kept = [F.col(c).alias(f"_{k}") for k, c in enumerate(keep, 2)]
-    kinds = "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep, 2))
-    out = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *kept).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean" + kinds)
-    return out.withColumnsRenamed({f"_{k}": c for k, c in enumerate(keep, 2)}) if keep else out
+                kept = (batch.column(k).slice(a, b - a) for k in at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(vague), *kept], ["doc_id", "lang_pred", "score", "ambiguous", *aliases])
+
+    kinds = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(aliases, keep, strict=True))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(others)))
+    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean" + kinds)
+    return out.withColumnsRenamed(dict(zip(aliases, keep, strict=True))) if keep else out

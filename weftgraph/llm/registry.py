@@ -12,6 +12,7 @@ from .bpe import encode
 from .common import held_out, table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .language_id import FOLD as LANG_FOLD
 from .language_id import FOLDS as LANG_FOLDS
 from .language_id import fit_languages, identify_languages
@@ -70,13 +71,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_exact_dedup, op6_language_id, op7_quality, op8_bpe, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_exact_dedup, op6_language_id, op7_quality, op8_bpe, op9_html_extract, op10_line_dedup)}
 
 
 OP3_SQL = r"""
