@@ -13,6 +13,8 @@ from .common import Vocab, sample_ids
 #: Texts longer than this aren't used to fit (they are scored in full like all others).
 MAX_FIT_CHARS = 30_000
 MAX_WORDS = 300_000
+#: n-grams that are in memory as vectors at a time.
+BLOCK = 400_000
 
 
 class Words:
@@ -58,9 +60,19 @@ class WordTable:
 
 def ngrams(words: list[bytes], lo: int, hi: int, buckets_log2: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's n-grams of lo to hi bytes, the word being framed by < and >, and of the word itself; number of buckets of each word."""
+    parts, at, size = [], 0, 0
+    for i, w in enumerate(words, 1):
+        size += len(w)
+        if size > BLOCK // 8 or i == len(words):
+            parts.append(_ngrams(words[at:i], lo, hi, buckets_log2))
+            at, size = i, 0
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _ngrams(words: list[bytes], lo: int, hi: int, buckets_log2: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(w) + 2 for w in words], np.int64)
-    if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
     ends = np.cumsum(size)
     left = np.repeat(ends, size) - np.arange(len(raw))  # bytes from here to the word's end
@@ -77,23 +89,33 @@ def ngrams(words: list[bytes], lo: int, hi: int, buckets_log2: int) -> tuple[np.
             found.append(((h[at] ^ np.uint64(n)) * mix) >> shift)
     row = np.concatenate(rows)
     order = np.argsort(row, kind="stable")
-    return np.concatenate(found).astype(np.int64)[order], np.bincount(row, minlength=len(words))
+    return np.concatenate(found).astype(np.int32)[order], np.bincount(row, minlength=len(words))
 
 
 def means(table: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Means of the rows of table at consecutive runs of n positions; 0 for an empty run."""
     out = np.zeros((len(n), *table.shape[1:]), table.dtype)
-    some = n > 0
-    if some.any():
-        starts = (np.cumsum(n) - n)[some]
-        out[some] = np.add.reduceat(table[at], starts, axis=0) / n[some].reshape(-1, *[1] * (table.ndim - 1))
+    ends = np.cumsum(n)
+    # as many runs at a time as hold about BLOCK positions, at least one
+    a = 0
+    while a < len(n):
+        begin = ends[a] - n[a]
+        b = max(a + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+        some = n[a:b] > 0
+        if some.any():
+            starts = (ends[a:b] - n[a:b])[some] - begin
+            out[a:b][some] = np.add.reduceat(table[at[begin : ends[b - 1]]], starts, axis=0) / n[a:b][some].reshape(-1, *[1] * (table.ndim - 1))
+        a = b
     return out
 
 
 def scatter(grad: np.ndarray, at: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
     """The gradient of means() for a table of `rows` rows."""
     share = grad / np.maximum(n, 1)[:, None]
-    return np.stack([np.bincount(at, np.repeat(share[:, k], n), rows) for k in range(grad.shape[1])], axis=1)
+    out = np.zeros((rows, grad.shape[1]))
+    for k in range(grad.shape[1]):
+        out[:, k] = np.bincount(at, np.repeat(share[:, k], n), rows)
+    return out
 
 
 class Adagrad:
