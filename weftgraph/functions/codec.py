@@ -46,8 +46,8 @@ def write_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
 def _split(text: str, mark: str) -> list[str]:
     """At marks that no backslash precedes; escapes stay."""
-    parts = re.findall(rf"((?:\\.|[^\\{re.escape(mark)}])*\\?)(?:{re.escape(mark)}|\Z)", text, re.S)
-    return parts[: 1 + len(re.findall(rf"(?:\\.|[^\\{re.escape(mark)}])*?({re.escape(mark)})", text, re.S))]
+    cuts = [m.start() for m in re.finditer(r"\\.|" + re.escape(mark), text, re.S) if m[0] == mark]
+    return [text[a + 1 : b] for a, b in zip([-1, *cuts], [*cuts, len(text)], strict=True)]
 
 
 def parse_cell(text: str):

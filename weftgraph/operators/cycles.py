@@ -129,6 +129,8 @@ def _coloured(core: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     """node, component (its least node) of nodes that may share a component; all others are alone."""
     core, n = trim(pairs.select("src", "dst").filter("src <> dst").distinct())
+    if not n:
+        return core.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return _small(core) if n <= small_core else _coloured(core)
 
 
@@ -206,4 +208,6 @@ def dfs_cycle_edges(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
     core, n = trim(pairs.select("src", "dst").distinct())
     if n > most:
         raise ValueError(f"{n} edges may lie on cycles: use cycle_edges")
+    if not n:
+        return core
     return core.coalesce(1).mapInPandas(run, f"src {kind}, dst {kind}")
