@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import decontamination, exact_dedup, line_dedup, simhash
+from weftgraph.llm import decontamination, exact_dedup, line_dedup, simhash, simhash_wide
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -230,3 +230,34 @@ def test_decontamination_odd_rows(spark):
 
 def test_cut_leaves_the_rest_as_it_is():
     assert decontamination._cut("Keep É, DROP-this; end.", [(2, 4)]) == "Keep É, ; end."
+
+
+@pytest.mark.parametrize("bucket", [3, 16])
+def test_similar_groups(spark, bucket):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=4))
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(r.choice([30, 200, 600]))]
+        for j in range(5):
+            words = list(base)
+            if j:  # the first is the one that the others come from
+                at = r.randrange(len(words))
+                words[at : at + 1] = [word()] if j < 4 else []
+            rows.append((100 * k + j, " ".join(words)))
+    sets = {i: set(simhash_wide.shingles(t).tolist()) for i, t in rows}
+    close = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    found = {x.doc_id: x.component_id for x in simhash_wide.similar_groups(docs(spark, rows), bucket=bucket).collect()}
+    assert all(i // 100 == c // 100 for i, c in found.items())
+    met = sum(found.get(i, i) == found.get(j, j) for i, j in close)
+    assert met >= 0.97 * len(close)
+    kept = {x.doc_id for x in simhash_wide.drop_similar(docs(spark, rows)).collect()}
+    assert len(kept) <= 60 and {i for i, _ in rows} - set(found) <= kept
+
+
+def test_similar_odd_rows(spark):
+    assert {x.doc_id: x.component_id for x in simhash_wide.similar_groups(odd(spark)).collect()} == {3: 3, 4: 3}
+    assert simhash_wide.similar_groups(empty(spark)).count() == 0
+    kept = simhash_wide.drop_similar(odd(spark))
+    assert kept.columns == odd(spark).columns and kept.count() == 6
+    assert len(simhash_wide.shingles("a b c d e f f")) == 3 and len(simhash_wide.shingles("A b")) == 1 and not len(simhash_wide.shingles(" "))

@@ -57,6 +57,20 @@ def _spread() -> np.ndarray:
 SPREAD = _spread()
 
 
+def votes_of(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bits set in over half of consecutive runs of n > 0 hashes (eight bytes each, the highest first)."""
+    spread = SPREAD[hashes].reshape(-1, 8)
+    starts = np.cumsum(n) - n
+    # counters of 8 bits hold at most 255 votes, so longer runs are added up block by block
+    blocks = -(-n // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(starts, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(first, blocks))
+    sums = np.add.reduceat(spread, at, axis=0)
+    counts = np.ascontiguousarray(sums).view(np.uint8).reshape(len(at), 64).astype(np.int64)
+    counts = np.add.reduceat(counts, first, axis=0)
+    return np.packbits((2 * counts > n[:, None]).astype(np.uint8), axis=1).view(">u8")[:, 0]
+
+
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     """64-bit fingerprints; a text without words has 0."""
     n = np.zeros(len(texts), np.int64)
@@ -75,18 +89,7 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     some = np.flatnonzero(n)
     if not len(some):
         return out
-    votes = SPREAD[np.frombuffer(b"".join(digests), np.uint8)].reshape(-1, 8)
-    ends = np.cumsum(n[some])
-    starts = ends - n[some]
-    # counters of 8 bits hold at most 255 votes, so longer texts are added up block by block
-    blocks = -(-n[some] // BLOCK)
-    first = np.cumsum(blocks) - blocks
-    at = np.repeat(starts, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(first, blocks))
-    sums = np.add.reduceat(votes, at, axis=0)
-    counts = np.ascontiguousarray(sums).view(np.uint8).reshape(len(at), 64).astype(np.int64)
-    counts = np.add.reduceat(counts, first, axis=0)
-    bits = (2 * counts > n[some][:, None]).astype(np.uint8)
-    out[some] = np.packbits(bits, axis=1).view(">u8")[:, 0]
+    out[some] = votes_of(np.frombuffer(b"".join(digests), np.uint8), n[some])
     return out
 
 

@@ -1,0 +1,134 @@
+"""The wider search of SimHash near-dedup: near copies by similarity of word shingles, found by Golay-coded segments.
+
+At a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, too many
+for keys that must hold whole segments. So a key here is one decoded segment and
+one minimum hash of the shingles: the segment's codeword indices bear up to two
+changed bits of 23, more with luck, and the minimum hash, equal with the
+probability of the similarity, keeps keys long (76 bits, hashed to 64). Two
+fingerprints of three segments and two minimum hashes a segment make 12 such
+pairs; at a similarity of 0.8 about 99 of 100 pairs share a key, above it more.
+
+Candidates are verified by the similarity of their whole texts' shingle sets. A
+key with at most `bucket` documents compares all of them; one with more compares
+each with three of them (of least id, of greatest id, of least hash), so a crowd
+costs rows in proportion to its size, and its members meet over those that they
+resemble and over their other keys. Only documents with a candidate have their
+texts shuffled.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import chunks, ensure_checkpoint_dir
+from .simhash import Golay, components, votes_of
+
+SHINGLE, SIMILARITY, BUCKET = 5, 0.8, 16
+#: Odd factors that make two fingerprints and twelve minimum hashes of one hash of a shingle.
+FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, 13, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SEGMENTS = ((41, 23), (18, 23), (0, 18))
+_golay: list[Golay] = []
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Different hashes of the shingles of a text, whose A-Z count as lower case; a shorter text is one."""
+    words = text.encode().lower().split() if text else []
+    if len(words) > size:
+        grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+        return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(42))), ">u8").astype(np.uint64))
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+
+
+def keys(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(position, key) of each text with words; about 64 keys a text."""
+    if not _golay:
+        _golay.append(Golay())
+    sets = [shingles(t, size) for t in texts]
+    n = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, n = np.concatenate(sets), n[some]
+    starts = np.cumsum(n) - n
+    rows, found = [], []
+    for half in range(2):
+        mixed = hashes if not half else hashes * FACTORS[12]
+        prints = votes_of(np.ascontiguousarray((mixed ^ (mixed >> np.uint64(29))).astype(">u8")).view(np.uint8), n).astype(np.uint64)
+        for k, (shift, bits) in enumerate(SEGMENTS):
+            row, index = _golay[0].indices((prints >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64))
+            for j in range(2):
+                at = 6 * half + 2 * k + j
+                h = hashes * FACTORS[at]
+                least = np.minimum.reduceat(h ^ (h >> np.uint64(31)), starts)
+                rows.append(row)
+                found.append((least[row] + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at)) * FACTORS[at])
+    return some[np.concatenate(rows)], np.concatenate(found).view(np.int64)
+
+
+def _keyed(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                row, key = keys(texts[a:b], size)
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(row + a))], ["key", "id"])
+
+    return docs.mapInArrow(run, "key long, id long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b of pairs at least so similar; texts has id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                one = right.as_py()
+                if one != last:
+                    last, held = one, shingles(one, size)
+                other = shingles(left.as_py(), size)
+                both = len(np.intersect1d(other, held, assume_unique=True))
+                if both and both >= similarity * (len(other) + len(held) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, component_id (the smallest id reachable over links) of documents that resemble another; others don't appear.
+
+    Rows with a null id, and texts without words, resemble nothing. Rows that
+    repeat an id are one document, by one of their texts. Other columns are not
+    read; an empty table gives an empty result.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed = _keyed(rows, shingle)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("r1"), F.max("id").alias("r2"), F.min_by("id", F.xxhash64("id")).alias("r3")).filter("n > 1")
+    held = keyed.join(sizes, "key").checkpoint()
+    few = held.filter(F.col("n") <= bucket).select("key", "id")
+    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
+    many = held.filter(F.col("n") > bucket)
+    for r in ("r1", "r2", "r3"):
+        pairs = pairs.unionByName(many.select(F.least("id", r).alias("a"), F.greatest("id", r).alias("b")).filter("a < b").distinct())
+    candidates = pairs.distinct().checkpoint()
+    wanted = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
+    texts = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    found = components(_verified(candidates, texts, shingle, similarity))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without those that resemble a document of smaller id in their component, with all their columns."""
+    gone = similar_groups(docs, id_col, text_col, shingle, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
