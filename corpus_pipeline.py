@@ -16,6 +16,7 @@ from weftgraph.llm.decontamination import decontaminate
 from weftgraph.llm.exact_dedup import drop_exact_copies
 from weftgraph.llm.language_id import UNKNOWN, fit_languages, identify_languages
 from weftgraph.llm.simhash import drop_near_duplicates
+from weftgraph.llm.simhash_wide import drop_similar
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -33,8 +34,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of each component of near copies the row with the smallest doc_id stays.
+
+    First by fingerprints at most 2 bits apart, as the operator's query links them;
+    then, as most near copies differ in more bits, by a similarity of 0.8 of five-word shingles.
+    """
+    return drop_similar(drop_near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
