@@ -148,3 +148,11 @@ def call_order(edges: DataFrame) -> DataFrame:
     """source_id, target_id, call_order of CALLS edges from 1 by line; equal lines by target."""
     w = Window.partitionBy("source_id").orderBy("source_line", "target_id")
     return edges.filter("type_relation = 'CALLS'").select("source_id", "target_id", F.row_number().over(w).alias("call_order"))
+
+
+def match_targets(deps: DataFrame, targets: DataFrame) -> DataFrame:
+    """deps with target_path replaced by the file it resolves to (source, module, target), where it isn't a file's normal path itself."""
+    from ..functions.paths import normalize
+
+    found = targets.select(F.col("source").alias("source_path"), F.col("module").alias("target_path"), F.col("target").alias("__t"))
+    return deps.join(found, ["source_path", "target_path"], "left").withColumn("target_path", F.coalesce("__t", normalize(F.col("target_path")))).select(*deps.columns)

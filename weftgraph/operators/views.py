@@ -153,3 +153,10 @@ def intra_file(symbols: DataFrame, calls: DataFrame, path: str) -> tuple[DataFra
     ids = own.select("id")
     edges = calls.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return own.select("id", name.alias("name"), kind.alias("kind")), edges.select("source_id", "target_id").distinct()
+
+
+def apply_update(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, same_file: bool, refresh: bool, reason: str) -> tuple[DataFrame, DataFrame]:
+    """The graph after an update: merged if it refreshes the same file while indexing goes on, else replaced."""
+    if same_file and refresh and reason == "indexing":
+        return merge_nodes(nodes, new_nodes), merge_edges(edges, new_edges)
+    return new_nodes, new_edges

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, misc, paths
 from ..operators import cycles, diff, resolve, store, traverse, usage, views
+from ..sources import callgraph, imports, signatures, symbols
 from ..streaming import changes as feed
 from . import fixtures as fx
 from .runtime import settled
@@ -774,3 +775,72 @@ def layered(spark: SparkSession, d: str) -> DataFrame:
 @query("node_width", "WITH" + fx.SYMBOLS + " SELECT DISTINCT name, CAST(greatest(120, least(300, length(name) * 7 + 24)) AS BIGINT) AS width FROM symbols")
 def width(spark: SparkSession, d: str) -> DataFrame:
     return fx.symbols(spark, d).select("name", misc.node_width(F.col("name")).alias("width")).distinct()
+
+
+# Extraction, from source text that the tables spell out
+
+
+def _joined(rows: DataFrame, key: list[str], order: str, line: F.Column) -> DataFrame:
+    """One text for each key: the lines in order."""
+    lines = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("l"))
+    return lines.select(*key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def _script_files(spark: SparkSession, d: str) -> DataFrame:
+    """A function for each symbol, in a file for each folder; it calls the function of the next key and one that no file defines."""
+    s = fx.symbols(spark, d).select(F.concat("folder", F.lit("/all.ts")).alias("path"), "k", "is_exported")
+    line = F.concat(F.when(F.col("is_exported"), "export ").otherwise(""), F.lit("function f"), F.col("k").cast("string"), F.lit("() { f"), (F.col("k") + 25).cast("string"), F.lit("(); /* g(); */ none('h()'); }"))
+    return _joined(s, ["path"], "k", line).withColumn("lang", F.lit("typescript"))
+
+
+FUNCTIONS = (
+    "WITH"
+    + fx.SYMBOLS
+    + """,
+fs AS (SELECT concat(folder, '/all.ts') AS path, concat('f', k) AS name, CAST(row_number() OVER (PARTITION BY folder ORDER BY k) - 1 AS INTEGER) AS start_line, k, is_exported FROM symbols)"""
+)
+
+
+@query("e1_extract_symbols", FUNCTIONS + " SELECT concat(path, ':', name, ':', start_line) AS id, name, 'function' AS type, path, start_line, is_exported FROM fs")
+def e1(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.extract_call_graph(_script_files(spark, d), "/ws", 0)[0].select("id", "name", "type", "path", "start_line", "is_exported")
+
+
+@query(
+    "e2_extract_edges",
+    FUNCTIONS + """
+SELECT concat(a.path, ':', a.name, ':', a.start_line) AS source_id, coalesce(b.path || ':' || b.name || ':' || b.start_line, concat('@@external:f', a.k + 25)) AS target_id, 'CALLS' AS type_relation, a.start_line AS source_line
+FROM fs a LEFT JOIN fs b ON b.path = a.path AND b.k = a.k + 25
+UNION ALL SELECT concat(path, ':', name, ':', start_line), '@@external:none', 'CALLS', start_line FROM fs""",
+)
+def e2(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.extract_call_graph(_script_files(spark, d), "/ws", 0)[1].select("source_id", "target_id", "type_relation", "source_line")
+
+
+@query("i1_extract_imports", "WITH" + fx.IMPORTS + " SELECT source, module, 'import' AS type, CAST(min(line) AS BIGINT) AS line FROM imports WHERE NOT contains(module, chr(39)) GROUP BY 1, 2")
+def i1(spark: SparkSession, d: str) -> DataFrame:
+    links = fx.imports(spark, d).filter(~F.col("module").contains("'"))
+    line = F.concat(F.lit("import x"), F.col("line").cast("string"), F.lit(" from '"), F.col("module"), F.lit("'; // import y from 'z'"))
+    texts = _joined(links.withColumnRenamed("source", "path"), ["path"], "line", line)
+    return imports.extract_imports(texts.withColumn("lang", F.lit("typescript"))).select("source", "module", "type", "line")
+
+
+@query(
+    "a6_python_symbols",
+    FUNCTIONS + " SELECT concat(replace(path, '.ts', '.py'), ':', CASE WHEN is_exported THEN '' ELSE '_' END, name) AS id, 'function' AS category, CAST(start_line + 1 AS BIGINT) AS line, is_exported FROM fs",
+)
+def a6(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.symbols(spark, d).select(F.concat("folder", F.lit("/all.py")).alias("path"), "k", "is_exported")
+    line = F.concat(F.lit("def "), F.when(F.col("is_exported"), "").otherwise("_"), F.lit("f"), F.col("k").cast("string"), F.lit("(): return 1"))
+    texts = _joined(s, ["path"], "k", line).withColumn("lang", F.lit("python"))
+    return symbols.file_symbols(symbols.analyse_files(texts)).select("id", "category", "line", "is_exported")
+
+
+@query("b1_signatures", "WITH" + fx.PARAMS + " SELECT concat('s', symbol) AS symbol, concat('p', name) AS name, type, is_optional FROM olds WHERE symbol % 10 = 0")
+def b1(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.params(spark, d, True).filter("symbol % 10 = 0")
+    param = F.concat(F.lit("p"), "name", F.when(F.col("is_optional"), "?: ").otherwise(": "), "type")
+    per = p.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(param)), ", ").alias("list"))
+    line = F.concat(F.lit("export function s"), F.col("symbol").cast("string"), F.lit("("), "list", F.lit("): void {}"))
+    texts = _joined(per.withColumn("path", F.concat(F.lit("/ws/b"), (F.col("symbol") % 100).cast("string"), F.lit(".ts"))), ["path"], "symbol", line)
+    return diff.exploded(signatures.extract_signatures(texts, "old")).select("symbol", "name", "type", "is_optional")
