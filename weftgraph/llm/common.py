@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
+
 #: A worker takes texts in chunks of about this many characters, so its memory doesn't follow the Arrow batch.
 CHUNK_CHARS = 3_000_000
 
@@ -17,19 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
-    sc.setCheckpointDir(configured)
-
-
 def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text, modulo folds, is fold. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % folds == fold, F.lit(False))
