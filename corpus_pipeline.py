@@ -18,14 +18,16 @@ from weftgraph.llm.language_id import UNKNOWN, fit_languages, identify_languages
 from weftgraph.llm.simhash import drop_near_duplicates
 from weftgraph.llm.simhash_wide import drop_similar
 
+MIN_SCORE = 1 / 3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those between two languages, go."""
+    """Documents without a letter go, and those between languages of which none has over a third of the score."""
     others = tuple(c for c in docs.columns if c != "doc_id")
     found = identify_languages(docs, fit_languages(docs), keep=others)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    vague = F.col("ambiguous") & (F.col("score") < MIN_SCORE)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~vague).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
