@@ -43,8 +43,8 @@ def test_run_equals_a_plain_version(spark):
     docs = [r.asDict() for r in table(spark, SF, "documents").collect()]
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     model = language_id.fit_languages(table(spark, SF, "documents"))
-    names, _, vague = model.predict(subwords.WordTable(language_id.split, model.rows), [d["text"] for d in docs])
-    docs = [d for d, n, v in zip(docs, names, vague, strict=True) if n != "und" and not v]
+    names, score, vague = model.predict(subwords.WordTable(language_id.split, model.rows), [d["text"] for d in docs])
+    docs = [d for d, n, x, v in zip(docs, names, score, vague, strict=True) if n != "und" and not (v and x < 1 / 3)]
     last: dict[str, int] = {}
     for d in docs:
         last[d["text"]] = max(last.get(d["text"], -1), d["doc_id"])
