@@ -202,11 +202,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(key, tokens.value, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids, n = bpe.encode(texts[a:b])
+            for part in chunks(batch):
+                ids, n = bpe.encode(part.column(1).to_pylist())
                 raw, ends = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
-                columns = {"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array(n), "ids": pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())}
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array(n), "ids": pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())}
                 if decode_back:
                     columns["decoded"] = pa.array(bpe.decode(ids, n), pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
 
-#: A worker takes texts in chunks of about this many characters, so its memory doesn't follow the Arrow batch.
-CHUNK_CHARS = 3_000_000
+#: A worker takes texts in slices of about this many bytes, so its memory doesn't follow the Arrow batch.
+CHUNK_BYTES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +25,14 @@ def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % folds == fold, F.lit(False))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about limit characters; a longer text is a range of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def chunks(batch: pa.RecordBatch, column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about limit bytes of text in the column; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -184,10 +184,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sa = automaton.value
         number = sa.words.get
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for part in chunks(batch):
                 out: list[list] = [[], [], [], [], []]
-                for text in texts[a:b]:
+                for text in part.column(1).to_pylist():
                     ws = words(text)
                     numbers = np.fromiter((number(w, -1) for w in ws), np.int64, len(ws))
                     spans, found = sa.scan(numbers)
@@ -195,8 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     drop = hit > max_coverage * len(ws) if ws else False
                     for column, value in zip(out, (len(ws), hit, sorted(sa.items[i] for i in found), _cut(text, spans) if spans else text, drop), strict=True):
                         column.append(value)
-                kept = (batch.column(k).slice(a, b - a) for k in range(2, batch.num_columns))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, out, kinds), *kept], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out, kinds), *part.columns[2:]], names)
 
     more = "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
     kept = [F.col(c).alias(f"_{k}") for k, c in enumerate(keep)]

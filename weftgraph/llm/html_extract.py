@@ -365,18 +365,19 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[int, list]] = {}
-        part = TaskContext.get().partitionId() % 256
+        task = TaskContext.get().partitionId() % 256
 
         def out() -> pa.RecordBatch:
-            rows = [(h, part, n, json.dumps(e)) for h, (n, e) in held.items()]
+            rows = [(h, task, n, json.dumps(e)) for h, (n, e) in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["host", "part", "n_pages", "expression"])
 
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                e = expression(parse(page or ""))
-                n, before = held.get(host, (0, None))
-                held[host] = n + 1, e if before is None else merge(before, e)
+            for part in chunks(batch):
+                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    e = expression(parse(page or ""))
+                    n, before = held.get(host, (0, None))
+                    held[host] = n + 1, e if before is None else merge(before, e)
             if len(held) > MAX_HOSTS:
                 yield out()
         if held:
@@ -417,15 +418,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
         for batch in batches:
-            html, exprs, counts, hosts = (batch.column(k).to_pylist() for k in range(2, 6))
-            for a, b in chunks(html):
+            for part in chunks(batch, 2):
                 texts = []
-                for page, e, n, host in zip(html[a:b], exprs[a:b], counts[a:b], hosts[a:b], strict=True):
+                for page, e, n, host in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True):
                     if host not in known:
                         if len(known) > MAX_HOSTS:
                             known.clear()
                         known[host] = decide(json.loads(e), n) if e else None
                     texts.append(main_text(page, known[host]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.select("page_id", "url", "html", "expression", "n_pages", "__h").mapInArrow(run, "page_id long, url string, text string")

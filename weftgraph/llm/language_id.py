@@ -136,11 +136,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(split, shared.value.rows)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                names, score, vague = shared.value.predict(table, texts[a:b])
-                kept = (batch.column(k).slice(a, b - a) for k in at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(vague), *kept], ["doc_id", "lang_pred", "score", "ambiguous", *aliases])
+            for part in chunks(batch):
+                names, score, vague = shared.value.predict(table, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(vague), *(part.column(k) for k in at)], ["doc_id", "lang_pred", "score", "ambiguous", *aliases])
 
     kinds = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(aliases, keep, strict=True))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(others)))

@@ -166,8 +166,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(split, word_rows)
         for batch in batches:
-            texts, stated = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.scores(table, texts[a:b], stated[a:b]))], ["doc_id", "score"])
+            for part in chunks(batch):
+                scores = shared.value.scores(table, part.column(1).to_pylist(), part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long"), text_col, F.col(chars_col).cast("long")).mapInArrow(run, "doc_id long, score double")

@@ -156,9 +156,9 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fingerprints(texts[a:b], shingle).view(np.int64))], ["doc_id", "fp"])
+            for part in chunks(batch):
+                prints = fingerprints(part.column(1).to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
 

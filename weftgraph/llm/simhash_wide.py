@@ -75,10 +75,9 @@ def keys(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.n
 def _keyed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                row, key = keys(texts[a:b], size)
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(row + a))], ["key", "id"])
+            for part in chunks(batch):
+                row, key = keys(part.column(1).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row))], ["key", "id"])
 
     return docs.mapInArrow(run, "key long, id long")
 

@@ -12,7 +12,7 @@ from .common import Vocab, sample_ids
 
 #: Texts longer than this aren't used to fit (they are scored in full like all others).
 MAX_FIT_CHARS = 30_000
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 #: n-grams that are in memory as vectors at a time.
 BLOCK = 400_000
 

@@ -24,7 +24,7 @@ from .bpe import read_ranks
 from .common import Vocab, chunks
 from .pairtable import PairTable
 
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 CELLS = 4_000_000
 
 
@@ -112,13 +112,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match, vocab, counts = automaton.value, Vocab(), np.zeros(0, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for part in chunks(batch):
                 if len(vocab) > MAX_WORDS:
                     vocab, counts = Vocab(), np.zeros(0, np.int64)
                 words: list[bytes] = []
-                ends = np.zeros(b - a + 1, np.int64)
-                for i, t in enumerate(texts[a:b], 1):
+                ends = np.zeros(part.num_rows + 1, np.int64)
+                for i, t in enumerate(part.column(1).to_pylist(), 1):
                     if t:
                         words += t.encode().split()
                     ends[i] = len(words)
@@ -126,6 +125,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 if len(vocab) > len(counts):
                     counts = np.concatenate([counts, match.count([b" " + w for w in list(vocab)[len(counts) :]])])
                 total = np.concatenate([[0], np.cumsum(counts[number])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends)), pa.array(np.diff(total[ends]))], ["doc_id", "n_words", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.array(np.diff(total[ends]))], ["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
