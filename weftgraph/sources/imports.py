@@ -13,7 +13,7 @@ from .lex import Lines, code_only, without_comments
 
 Row = tuple[str, str, int]
 
-# What TypeScript and JavaScript import, in order of priority; side-effect imports name nothing and don't count.
+# Patterns of what TypeScript, JavaScript and GraphQL import, in order of priority; side-effect imports name nothing and don't count.
 _CLAUSE = r"\s+(?:[^;'\"]|'[^']*'|\"[^\"]*\")*?\s+from\s+['\"]([^'\"]+)['\"]"
 SCRIPT = (
     ("import", re.compile("import" + _CLAUSE)),
