@@ -262,7 +262,7 @@ def resolve(imports: DataFrame, files: DataFrame, root: str, aliases: DataFrame
     """source, module, target of all imports that resolve, by the language of their source.
 
     Order: aliases, Rust modules, workspace packages, Python modules, other languages' rules,
-    bare modules (themselves, unless excluded), relative paths.
+    bare modules (themselves, unless excluded) and relative paths of scripts.
     """
     files, imports = files.select("path").distinct(), imports.select("source", "module").distinct()
     stages = [by_alias(imports, files, aliases, root)] if aliases is not None else []
@@ -272,10 +272,10 @@ def resolve(imports: DataFrame, files: DataFrame, root: str, aliases: DataFrame
     stages += [python(imports, files, root), java(imports, files, root), csharp(imports, files, root), swift(imports, files, root)]
     if go_modules is not None:
         stages.append(go(imports, files, root, go_modules))
+    scripts = imports.filter(language(F.col("source")).isin("typescript", "javascript", "vue", "svelte", "graphql"))
     if not exclude_node_modules:
-        script = language(F.col("source")).isin("typescript", "javascript", "vue", "svelte", "graphql")
-        stages.append(imports.filter(script & is_bare(F.col("module"))).withColumn("target", F.col("module")))
-    return first_resolved([*stages, relative(imports, files)])
+        stages.append(scripts.filter(is_bare(F.col("module"))).withColumn("target", F.col("module")))
+    return first_resolved([*stages, relative(scripts, files)])
 
 
 def dependencies(imports: DataFrame, targets: DataFrame) -> DataFrame:
