@@ -5,10 +5,12 @@ for keys that must hold whole segments. So a key here is one decoded segment and
 one minimum hash of the shingles: the segment's codeword indices bear up to two
 changed bits of 23, more with luck, and the minimum hash, equal with the
 probability of the similarity, keeps keys long (76 bits, hashed to 64). Two
-fingerprints of three segments and two minimum hashes a segment make 12 such
-pairs; at a similarity of 0.8 about 99 of 100 pairs share a key, above it more.
+fingerprints of three segments, each with a minimum hash of its own, make six such
+keys; at a similarity of 0.8 about 98 of 100 pairs share one, above it more.
 
-Candidates are verified by the similarity of their whole texts' shingle sets. A
+Candidates whose fingerprints differ in more than FAR bits only share a passage
+(a similarity of 0.8 gives ten bits, and over FAR once in hundreds of pairs) and
+go. The others are verified by the similarity of their whole texts' shingle sets. A
 key with at most `bucket` documents compares all of them; one with more compares
 each with three of them (of least id, of greatest id, of least hash), so a crowd
 costs rows in proportion to its size, and its members meet over those that they
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import chunks, ensure_checkpoint_dir
 from .simhash import Golay, components, votes_of
 
-SHINGLE, SIMILARITY, BUCKET = 5, 0.8, 16
-#: Odd factors that make two fingerprints and twelve minimum hashes of one hash of a shingle.
-FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, 13, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHINGLE, SIMILARITY, BUCKET, FAR = 5, 0.8, 16, 18
+#: Odd factors that make two fingerprints and six minimum hashes of one hash of a shingle.
+FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, 7, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 _golay: list[Golay] = []
 
@@ -46,40 +48,41 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
 
 
-def keys(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(position, key) of each text with words; about 64 keys a text."""
+def keys(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, key, fingerprint) of each text with words; about 32 keys a text."""
     if not _golay:
         _golay.append(Golay())
     sets = [shingles(t, size) for t in texts]
     n = np.array([len(s) for s in sets], np.int64)
     some = np.flatnonzero(n)
     if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes, n = np.concatenate(sets), n[some]
     starts = np.cumsum(n) - n
-    rows, found = [], []
+    rows, found, first = [], [], None
     for half in range(2):
-        mixed = hashes if not half else hashes * FACTORS[12]
+        mixed = hashes if not half else hashes * FACTORS[6]
         prints = votes_of(np.ascontiguousarray((mixed ^ (mixed >> np.uint64(29))).astype(">u8")).view(np.uint8), n).astype(np.uint64)
+        first = prints if first is None else first
         for k, (shift, bits) in enumerate(SEGMENTS):
             row, index = _golay[0].indices((prints >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64))
-            for j in range(2):
-                at = 6 * half + 2 * k + j
-                h = hashes * FACTORS[at]
-                least = np.minimum.reduceat(h ^ (h >> np.uint64(31)), starts)
-                rows.append(row)
-                found.append((least[row] + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at)) * FACTORS[at])
-    return some[np.concatenate(rows)], np.concatenate(found).view(np.int64)
+            at = 3 * half + k
+            h = hashes * FACTORS[at]
+            least = np.minimum.reduceat(h ^ (h >> np.uint64(31)), starts)
+            rows.append(row)
+            found.append((least[row] + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at)) * FACTORS[at])
+    row = np.concatenate(rows)
+    return some[row], np.concatenate(found).view(np.int64), first[row].view(np.int64)
 
 
 def _keyed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                row, key = keys(part.column(1).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row))], ["key", "id"])
+                row, key, fp = keys(part.column(1).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row)), pa.array(fp)], ["key", "id", "fp"])
 
-    return docs.mapInArrow(run, "key long, id long")
+    return docs.mapInArrow(run, "key long, id long, fp long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -113,13 +116,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = _keyed(rows, shingle)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("r1"), F.max("id").alias("r2"), F.min_by("id", F.xxhash64("id")).alias("r3")).filter("n > 1")
-    held = keyed.join(sizes, "key").checkpoint()
-    few = held.filter(F.col("n") <= bucket).select("key", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
-    many = held.filter(F.col("n") > bucket)
+    one = F.struct("id", "fp")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("r1"), F.max(one).alias("r2"), F.min(F.struct(F.xxhash64("id").alias("h"), one.alias("r"))).alias("r3")).filter("n > 1")
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FAR
+    few = keyed.join(sizes.filter(F.col("n") <= bucket).select("key"), "key").checkpoint()
+    pairs = few.toDF("key", "a", "fa").join(few.toDF("key", "b", "fb"), "key").filter((F.col("a") < F.col("b")) & near("fa", "fb")).select("a", "b")
+    many = keyed.join(sizes.filter(F.col("n") > bucket).withColumn("r3", F.col("r3.r")), "key").checkpoint()
     for r in ("r1", "r2", "r3"):
-        pairs = pairs.unionByName(many.select(F.least("id", r).alias("a"), F.greatest("id", r).alias("b")).filter("a < b").distinct())
+        pairs = pairs.unionByName(many.filter(near("fp", f"{r}.fp")).select(F.least("id", f"{r}.id").alias("a"), F.greatest("id", f"{r}.id").alias("b")).filter("a < b").distinct())
     candidates = pairs.distinct().checkpoint()
     wanted = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
     texts = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
