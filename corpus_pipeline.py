@@ -15,6 +15,7 @@ from weftgraph.llm.common import ensure_checkpoint_dir, table
 from weftgraph.llm.decontamination import decontaminate
 from weftgraph.llm.exact_dedup import drop_exact_copies
 from weftgraph.llm.language_id import UNKNOWN, fit_languages, identify_languages
+from weftgraph.llm.similar import drop_similar
 from weftgraph.llm.simhash import drop_near_duplicates
 
 MIN_SCORE = 1 / 3
@@ -35,8 +36,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of each component of near copies the row with the smallest doc_id stays.
+
+    First by fingerprints at most 2 bits apart, as the operator's query links them;
+    then by a similarity of 0.8 or more of five-word shingles, as most near copies
+    differ in more bits.
+    """
+    return drop_similar(drop_near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
 
 #: A worker takes texts in slices of about this many bytes, so its memory doesn't follow the Arrow batch.
 CHUNK_BYTES = 1_500_000
+#: So many ids are broadcast at most.
+MAX_BROADCAST = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +60,8 @@ class Vocab(dict):
 def sample_ids(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     """At most n ids, those of least hash: the same for any order or partitioning of the rows."""
     return rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """ids, broadcast if they are few; ids must be a checkpoint, as they are counted."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, ensure_checkpoint_dir
+from .common import chunks, ensure_checkpoint_dir, few_ids
 
 BUCKET = 32
 #: Fingerprints that differ in at most so many bits link; the keys and the centres are made for this number.
@@ -238,5 +238,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns; rows with a null id stay only in components without ids."""
     found = near_duplicates(docs, id_col, text_col, shingle)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    # those that go are few, so texts needn't be dealt out
+    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select("__id").checkpoint()
+    return docs.join(few_ids(gone), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
