@@ -81,3 +81,12 @@ def test_wrappers_do_not_depend_on_partitions(spark):
 def test_long_unlike_lists_align():
     a = "".join(f"<div class=k{chr(97 + k % 26)}{chr(97 + k // 26)}>x</div>" for k in range(600))
     assert x.align(x.expression(x.parse(a))[5], x.expression(x.parse(a + "<p>y</p>"))[5])[-1][1] == "?"
+
+
+@pytest.mark.parametrize("block", ["<blockquote>Said once</blockquote>", "<h2>Said once</h2>", "<p class=lead>Said once</p>", "<section><div><pre>Said once</pre></div></section>"])
+def test_a_block_of_one_page_stays(block):
+    pages = [f"<body><div><p>Always here</p>{block if k == 2 else ''}<p class=x>Story {k}</p></div></body>" for k in range(5)]
+    for order in (pages, pages[::-1]):
+        d = x.decide(fold(order), 5)
+        assert text(pages[2], d) == "Said once\n\nStory 2"
+        assert text(pages[1], d) == "Story 1"

@@ -147,15 +147,16 @@ def parse(page: str) -> Node:
     return root
 
 
-# An expression is [key, multiplicity, characters, linked characters, template, children]; template is the checksum
-# of a text that was equal so far, else None. Key # is a text, key () a repeated group.
+# An expression is [key, multiplicity, characters, linked characters, template, children, pages]; template is the
+# checksum of a text that was equal so far, else None, and pages the number of pages that held it. Key # is a text,
+# key () a repeated group.
 
 
 def expression(node: Node | Text) -> list:
     if isinstance(node, Text):
         s = " ".join(unescape("".join(node.parts)).split())
-        return ["#", "1", len(s), min(node.linked, len(s)), zlib.crc32(s.encode()), []]
-    return [node.key, "1", 0, 0, None, fold([expression(k) for k in node.kids])]
+        return ["#", "1", len(s), min(node.linked, len(s)), zlib.crc32(s.encode()), [], 1]
+    return [node.key, "1", 0, 0, None, fold([expression(k) for k in node.kids]), 1]
 
 
 def shape(e: list):
@@ -163,10 +164,11 @@ def shape(e: list):
     return e[0] if e[0] != "()" else ("()", *(shape(k) for k in e[5]))
 
 
-def merge(a: list, b: list) -> list:
+def merge(a: list, b: list, within: bool = False) -> list:
+    """Both as one; within: they stand on the same page."""
     absent, many = (any(e[1] in x for e in (a, b)) for x in ("?*", "+*"))
     times = "1?+*"[absent + 2 * many]
-    return [a[0], times, a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, align(a[5], b[5])]
+    return [a[0], times, a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, align(a[5], b[5], within), max(a[6], b[6]) if within else a[6] + b[6]]
 
 
 def fold(kids: list[list]) -> list[list]:
@@ -174,7 +176,7 @@ def fold(kids: list[list]) -> list[list]:
     out: list[list] = []
     for k in kids:
         if out and shape(out[-1]) == shape(k):
-            out[-1] = merge(out[-1], k)
+            out[-1] = merge(out[-1], k, True)
             out[-1][1] = "+"
         else:
             out.append(k)
@@ -191,8 +193,8 @@ def fold(kids: list[list]) -> list[list]:
                 continue
             body = out[i : i + n]
             for at in range(i + n, j + n, n):
-                body = [merge(x, y) for x, y in zip(body, out[at : at + n], strict=True)]
-            done.append(["()", "+", 0, 0, None, body])
+                body = [merge(x, y, True) for x, y in zip(body, out[at : at + n], strict=True)]
+            done.append(["()", "+", 0, 0, None, body, 1])
             i = j + n
         out = done
     return out
@@ -202,11 +204,11 @@ def optional(e: list) -> list:
     return [e[0], {"1": "?", "+": "*"}.get(e[1], e[1]), *e[2:]]
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
     """Both lists in order, matching ones merged, the others optional."""
     p, q = [shape(x) for x in a], [shape(x) for x in b]
     if p == q:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, within) for x, y in zip(a, b, strict=True)]
     pairs: list[tuple[int, int]] = []
     if len(a) * len(b) <= CELLS:
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -236,7 +238,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
     for x, y in [*pairs, (len(a), len(b))]:
         out += [optional(e) for e in a[i:x]] + [optional(e) for e in b[j:y]]
         if x < len(a):
-            out.append(merge(a[x], b[y]))
+            out.append(merge(a[x], b[y], within))
         i, j = x + 1, y + 1
     return fold_same(out)
 
@@ -246,7 +248,7 @@ def fold_same(kids: list[list]) -> list[list]:
     out: list[list] = []
     for k in kids:
         if out and shape(out[-1]) == shape(k):
-            last, out[-1] = out[-1], merge(out[-1], k)
+            last, out[-1] = out[-1], merge(out[-1], k, True)  # pages of either may be the same
             out[-1][1] = "*" if last[1] in "?*" and k[1] in "?*" else "+"
         else:
             out.append(k)
@@ -311,13 +313,18 @@ def decide(e: list, pages: int) -> dict:
 
     def constant(x: list, where: tuple[str, ...]) -> None:
         nonlocal slots
-        for k in _children(x):
+        for k in x[5]:
             if k[0] == "#":
-                slots += k[4] is None
-                if k[4] is not None and k[1] in "1?":
+                slots += k[4] is None or k[6] < pages
+                if k[4] is not None and k[1] == "1" and k[6] == pages:
                     template.append((where, k[4]))
-            elif "!" not in k[0]:
+            elif k[0] == "()":
+                if k[1] == "+":
+                    constant(k, where)
+            elif "!" not in k[0] and k[1] in "1+":
                 constant(k, (*where, k[0]))
+            else:
+                slots += "!" not in k[0]
 
     constant(at, path)
     return {"path": path, "marked": False, "template": template if pages >= 3 and slots else []}
