@@ -90,3 +90,25 @@ def test_a_block_of_one_page_stays(block):
         d = x.decide(fold(order), 5)
         assert text(pages[2], d) == "Said once\n\nStory 2"
         assert text(pages[1], d) == "Story 1"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='page with-sidebar'>{}</body>",
+        "<body class='sidebar'>{}</body>",
+        "<div id='page' class='no-comments'>{}</div>",
+        "<div class='search-open'>{}</div>",
+        "<section class='social-science'>{}</section>",
+        "<div class='widget'><div class='nav'><a href=x>Menu</a></div>{}</div>",
+        "<form id='page'>{}</form>",
+    ],
+)
+@pytest.mark.parametrize("inner", ["<article><p>The text</p></article>", "<div><p>The text</p></div>"])
+def test_wrappers_keep_the_article(page, inner):
+    assert text(page.format(inner)) == "The text"
+
+
+def test_boilerplate_still_goes():
+    assert text("<body><div class='comments'><article>A long comment on it</article></div><article>Short</article><div class='x sidebar'><p>s</p></div></body>") == "Short"
+    assert text("<body><header><p>A very long header of the site</p></header><p>Short</p></body>") == "Short"

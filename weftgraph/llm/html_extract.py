@@ -68,7 +68,7 @@ CELLS = 200_000
 
 
 class Node:
-    __slots__ = ("boilerplate", "content", "key", "kids", "tag")
+    __slots__ = ("boilerplate", "content", "kids", "name", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
@@ -77,14 +77,18 @@ class Node:
             for k, v in ATTRIBUTE.findall(attrs):
                 words = WORD.findall(v.lower())
                 if k.lower() in ("class", "id"):
-                    self.boilerplate |= not self.content and not NOT_TEXT_WORDS.isdisjoint(words)
+                    self.boilerplate |= not self.content and tag not in ("html", "body") and not NOT_TEXT_WORDS.isdisjoint(v.lower().strip("\"'").split())
                     name = name or "".join(words[:1])
                 elif k.lower() == "role":
                     self.boilerplate |= not NOT_TEXT_ROLES.isdisjoint(words)
                     self.content |= "main" in words or "article" in words
                 else:
                     self.content |= "articlebody" in words
-        self.key = tag + ("!" if self.boilerplate else "@" if self.content else "") + ("." + name if name else "")
+        self.name = "." + name if name else ""
+
+    @property
+    def key(self) -> str:
+        return self.tag + ("!" if self.boilerplate else "@" if self.content else "") + self.name
 
 
 class Text:
@@ -144,9 +148,35 @@ def parse(page: str) -> Node:
         node = Node(tag, m["attrs"])
         stack[-1].kids.append(node)
         stack.append(node)
+    _exempt(root)
     return root
 
 
+def _exempt(root: Node) -> None:
+    """Boilerplate that holds the page's article isn't any: all marks, or, of what has blocks, most of the text that isn't linked."""
+    held: list[tuple[Node, int, int, bool]] = []
+
+    def look(node: Node, inside: bool) -> tuple[int, int, int]:
+        """Characters that aren't linked, those of them under a mark, those under a mark outside of boilerplate."""
+        plain = marked = free = 0
+        for k in node.kids:
+            if isinstance(k, Text):
+                plain += max(0, len("".join(k.parts).strip()) - k.linked)
+            else:
+                n, m, f = look(k, inside or k.boilerplate)
+                plain, marked, free = plain + n, marked + m, free + f
+        if node.content:
+            marked, free = plain, free if inside else plain
+        if node.boilerplate and node.tag != "head":
+            held.append((node, plain, marked, any(isinstance(k, Node) for k in node.kids)))
+        return plain, marked, free
+
+    plain, marked, free = look(root, False)
+    for node, n, m, blocks in held:
+        if not free and (2 * m > marked if marked else blocks and 2 * n > plain and (node.tag not in NOT_TEXT or node.tag == "form")):
+            node.boilerplate = False
+
+
 # An expression is [key, multiplicity, characters, linked characters, template, children, pages]; template is the
 # checksum of a text that was equal so far, else None, and pages the number of pages that held it. Key # is a text,
 # key () a repeated group.
