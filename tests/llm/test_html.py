@@ -112,3 +112,22 @@ def test_wrappers_keep_the_article(page, inner):
 def test_boilerplate_still_goes():
     assert text("<body><div class='comments'><article>A long comment on it</article></div><article>Short</article><div class='x sidebar'><p>s</p></div></body>") == "Short"
     assert text("<body><header><p>A very long header of the site</p></header><p>Short</p></body>") == "Short"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><main><h1>T</h1><p>lead</p><article>The greater part of the text</article><p>the rest</p></main></body>", ["T", "lead", "The greater part of the text", "the rest"]),
+        ("<body><h1>Title</h1><p>Lead</p><div class=post><p>The greater part of all of the text of this page</p></div></body>", ["Title", "Lead", "The greater part of all of the text of this page"]),
+        ("<body><div><p>a</p><div><p>Many words here, and many more</p><p>b</p></div></div></body>", ["a", "Many words here, and many more", "b"]),
+        ("<body><article class=one>Part one is long</article><div><article class=two>two</article></div></body>", ["Part one is long", "two"]),
+        ("<body><ul><li><a href=x>Home</a></li></ul><div><p>Text</p><p><a href=y>linked</a></p></div></body>", ["Text", "linked"]),
+    ],
+)
+def test_nothing_of_the_article_is_left_out(page, want):
+    assert text(page) == "\n\n".join(want)
+
+
+def test_a_page_built_otherwise_keeps_its_text():
+    pages = [f"<body><main><article><p>Story {k}</p></article></main></body>" for k in range(4)] + ["<body><main><p>Outside</p><article><p>In</p></article></main></body>"]
+    assert text(pages[4], x.decide(fold(pages), 5)) == "Outside\n\nIn"

@@ -8,8 +8,9 @@ order by longest common subsequence, what only one side has becomes optional,
 texts that differ become slots. Every node keeps how much text and how much link
 text it has held.
 
-The host's wrapper decides where articles stand: elements marked as article or
-main, else the deepest node that holds most of the text that isn't a template's.
+The host's wrapper decides where articles stand: the outermost elements marked as
+article or main, else the lowest node that holds all text that is neither a
+template's nor a menu's.
 Texts that are equal on all pages of a host are template; they are left out where
 no element marks the article. Each page is then read through its host's wrapper.
 
@@ -312,32 +313,21 @@ def _children(e: list) -> Iterator[list]:
 
 
 def decide(e: list, pages: int) -> dict:
-    """path: keys from the root to the article; marked: an element marks it; template: paths and checksums of template texts, for what isn't marked."""
-    marked: list[tuple[int, tuple[str, ...]]] = []
+    """paths: keys from the root to where articles stand; template: paths and checksums of template texts, for what isn't marked."""
+    marked: set[tuple[str, ...]] = set()
 
     def look(x: list, path: tuple[str, ...]) -> None:
         for k in _children(x):
             if "!" in k[0]:
                 continue
-            if "@" in k[0]:
-                marked.append((_mass(k)[0], (*path, k[0])))
-            look(k, (*path, k[0]))
+            if "@" not in k[0]:
+                look(k, (*path, k[0]))
+            elif _mass(k)[0]:
+                marked.add((*path, k[0]))
 
     look(e, ())
-    marked = [m for m in marked if m[0]]
     if marked:
-        most = max(marked)[0]
-        # of nested marks the inner one, if it holds nearly all of the text
-        path = max((m for m in marked if m[0] >= 0.5 * most), key=lambda m: (len(m[1]), m[0], m[1]))[1]
-        return {"path": path, "marked": True, "template": []}
-    path, at = (), e
-    while True:
-        kids = [(n - 2 * linked, k) for k in _children(at) if k[0] != "#" for n, linked in [_mass(k)]]
-        total, linked = _mass(at)
-        best = max(kids, key=lambda x: x[0], default=None)
-        if best is None or best[0] < 0.7 * max(1, total - 2 * linked) or best[1][1] in "+*":
-            break
-        path, at = (*path, best[1][0]), best[1]
+        return {"paths": sorted(marked), "template": []}
     template: list[tuple[tuple[str, ...], int]] = []
     slots = 0
 
@@ -356,14 +346,42 @@ def decide(e: list, pages: int) -> dict:
             else:
                 slots += "!" not in k[0]
 
-    constant(at, path)
-    return {"path": path, "marked": False, "template": template if pages >= 3 and slots else []}
+    constant(e, ())
+    known = set(template) if pages >= 3 and slots else set()
+
+    def holds(x: list, where: tuple[str, ...]) -> bool:
+        """Is there text of an article's in x, which stands at where: neither template, boilerplate nor all links."""
+        if x[0] == "#":
+            return x[2] > x[3] and (x[4] is None or (where, x[4]) not in known)
+        return "!" not in x[0] and any(holds(k, (*where, x[0])) for k in _children(x))
+
+    path, at = (), e
+    while True:
+        some = [k for k in _children(at) if holds(k, path)]
+        if len({k[0] for k in some}) != 1 or some[0][0] == "#":
+            break
+        if len(some) > 1 or some[0][1] in "+*":
+            path = (*path, some[0][0])
+            break
+        path, at = (*path, some[0][0]), some[0]
+    return {"paths": [path], "template": sorted(known)}
+
+
+def _roots(tree: Node, paths: list) -> list[tuple[Node, tuple[str, ...]]]:
+    """Nodes that stand at a path, in the page's order, each with its path."""
+    ends = {tuple(p) for p in paths}
+    ways = {p[:k] for p in ends for k in range(len(p))}
+    found = []
 
+    def look(node: Node, path: tuple[str, ...]) -> None:
+        if path in ends:
+            found.append((node, path))
+        elif path in ways:
+            for k in node.kids:
+                if isinstance(k, Node):
+                    look(k, (*path, k.key))
 
-def _roots(node: Node, path: list[str]) -> list[Node]:
-    found = [node]
-    for key in path:
-        found = [k for x in found for k in x.kids if isinstance(k, Node) and k.key == key]
+    look(tree, ())
     return found
 
 
@@ -372,10 +390,10 @@ def main_text(page: str | None, decision: dict | None) -> str:
     if not page:
         return ""
     tree = parse(page)
-    roots = _roots(tree, decision["path"]) if decision else []
+    roots = _roots(tree, decision["paths"]) if decision else []
     if not roots:  # an optional part of the wrapper that this page lacks: the page by itself
         decision = decide(expression(tree), 1)
-        roots = _roots(tree, decision["path"])
+        roots = _roots(tree, decision["paths"])
     template = {(tuple(path), crc) for path, crc in decision["template"]}
     blocks: list[str] = []
 
@@ -388,8 +406,8 @@ def main_text(page: str | None, decision: dict | None) -> str:
             elif not k.boilerplate:
                 read(k, (*path, k.key))
 
-    for r in roots:
-        read(r, tuple(decision["path"]))
+    for node, path in roots:
+        read(node, path)
     return "\n\n".join(blocks)
 
 
