@@ -246,3 +246,30 @@ def test_parameters_are_checked():
     for bad in ({"root": ""}, {"root": "/w", "max_depth": -1}):
         with pytest.raises(ValueError):
             Config(**bad)
+
+
+def test_build_index_reads_configs(spark, rows, tmp_path):
+    tree = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["lib/*"]}}}',
+        "a.ts": "import { b } from '@lib/b';\nimport { p } from '@co/pack';\n",
+        "lib/b.ts": "export const b = 1;\n",
+        "packages/pack/package.json": '{"name": "@co/pack", "main": "./entry.ts"}',
+        "packages/pack/entry.ts": "export const p = 1;\n",
+        "go/go.mod": "module ex.org/m\n\ngo 1.22\n",
+        "go/s.go": 'package s\n\nimport "ex.org/m/deep/er/than/three/util"\n',
+        "go/deep/er/than/three/util/u.go": "package util\n",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    root = str(tmp_path)
+    g = CodeGraph(spark, Config(root)).build_index()
+    assert rows(g.deps, "source", "target") == {(f"{root}/{a}", f"{root}/{b}") for a, b in (("a.ts", "lib/b.ts"), ("a.ts", "packages/pack/entry.ts"), ("go/s.go", "go/deep/er/than/three/util/u.go"))}
+
+
+def test_go_resolves_by_directory_without_modules(spark, rows, tmp_path):
+    for name, text in {"s.go": 'package s\n\nimport "ex.org/z/util"\n', "util/u.go": "package util\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    g = CodeGraph(spark, Config(str(tmp_path))).build_index()
+    assert rows(g.deps, "source", "target") == {(f"{tmp_path}/s.go", f"{tmp_path}/util/u.go")}

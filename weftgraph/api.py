@@ -43,10 +43,11 @@ class CodeGraph:
     def build_index(self) -> CodeGraph:
         """Reads the tree; files, imports, deps, symbols, edges, file_symbols, symbol_deps and export_graph are there after it."""
         c = self.config
-        return self.from_texts(workspace.texts(self.spark, c.root, c.exclude_node_modules, c.max_bytes))
+        configs = workspace.configs(self.spark, c.root, c.exclude_node_modules, c.max_bytes)
+        return self.from_texts(workspace.texts(self.spark, c.root, c.exclude_node_modules, c.max_bytes), configs)
 
-    def from_texts(self, files: DataFrame) -> CodeGraph:
-        """As build_index, from rows (path, lang, text, size, last_modified)."""
+    def from_texts(self, files: DataFrame, configs: DataFrame | None = None) -> CodeGraph:
+        """As build_index, from rows (path, lang, text, size, last_modified); configs (path, text) if they aren't among files."""
         c, now = self.config, int(time.time() * 1000)
         root = c.root.split("://", 1)[-1].rstrip("/")
         files = settled(files)
@@ -54,9 +55,10 @@ class CodeGraph:
         listed = files.select("path", F.coalesce("lang", language(F.col("path"))).alias("lang"), "text")
         self.imports = settled(imports.extract_imports(listed))
         good = self.imports.filter("error IS NULL")
-        configs = files.filter(F.col("path").rlike(r"/(tsconfig[^/]*|package)\.json$")).select("path", "text")
-        aliases = None if configs.isEmpty() else resolve.alias_table(configs)
-        self.targets = settled(resolve.resolve(good, files, root, aliases, exclude_node_modules=c.exclude_node_modules))
+        configs = settled((files if configs is None else configs).filter(F.col("path").rlike(workspace.CONFIG_FILE)).select("path", "text"))
+        named = configs.filter(F.col("path").endswith(".json"))
+        aliases, packages, modules = (None, None, None) if configs.isEmpty() else (resolve.alias_table(named), resolve.package_table(named), resolve.go_module_table(configs))
+        self.targets = settled(resolve.resolve(good, files, root, aliases, modules, packages, c.exclude_node_modules))
         self.deps = settled(resolve.dependencies(good.select("source", "module", "type", "line"), self.targets))
         raw = settled(callgraph.extraction(listed))
         at = F.lit(now).cast("long").alias("indexed_at")

@@ -128,6 +128,29 @@ def alias_table(configs: DataFrame, max_extends: int = 10) -> DataFrame:
     return rows.select("config_dir", (F.col("level") * 10_000 + F.col("ordinal")).alias("ordinal"), "alias", "target")
 
 
+def package_table(configs: DataFrame) -> DataFrame:
+    """name, dir, main of the package.json files among configs (path, text); of equal names the least directory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                data = _json(text or "")
+                main = next((data[k] for k in ("main", "module") if isinstance(data.get(k), str) and data[k]), None)
+                if isinstance(data.get("name"), str):
+                    rows.append((data["name"], path.rpartition("/")[0], main and main.removeprefix("./")))
+            yield pd.DataFrame(rows, columns=["name", "dir", "main"])
+
+    rows = configs.filter(F.col("path").endswith("/package.json")).select("path", "text").mapInPandas(run, "name string, dir string, main string")
+    return settled(rows.groupBy("name").agg(F.min("dir").alias("dir"), F.min_by("main", "dir").alias("main")))
+
+
+def go_module_table(configs: DataFrame) -> DataFrame:
+    """config_dir, module_name of the go.mod files among configs (path, text)."""
+    name = F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1)
+    return configs.filter(F.col("path").endswith("/go.mod")).select(dirname(F.col("path")).alias("config_dir"), name.alias("module_name")).filter("module_name <> ''")
+
+
 def by_alias(imports: DataFrame, files: DataFrame, aliases: DataFrame, root: str = "") -> DataFrame:
     """Specifiers that equal an alias of the nearest config or go on from it by a slash; the first alias wins."""
     asked = imports.select("source", "module").distinct().filter(~F.col("module").startswith("."))
@@ -191,14 +214,17 @@ def _named_folder(rows: DataFrame, folders: DataFrame, name: Column, root: str,
     return rows.select("source", "module", name.alias("__name")).join(named, "__name").select("source", "module", "target")
 
 
-def go(imports: DataFrame, files: DataFrame, root: str, modules: DataFrame) -> DataFrame:
+def go(imports: DataFrame, files: DataFrame, root: str, modules: DataFrame | None = None) -> DataFrame:
     """By the nearest module above the file (config_dir, module_name), else a directory of the last segment within 3 levels; the first file that isn't a test. Standard packages and unsafe segments don't resolve."""
     rows = imports.select("source", "module").distinct().filter(F.col("source").endswith(".go") & F.split("module", "/")[0].contains(".") & ~F.col("module").rlike(r"(^|/)(\.\.)?(/|$)"))
     folders = settled(first_files(files, ".go", "_test.go"))
+    named = _named_folder(rows, folders, F.element_at(F.split("module", "/"), -1), root, 3)
+    if modules is None:
+        return named
     near = nearest(rows.select(F.col("source").alias("path")), modules, root).withColumnRenamed("path", "source").join(modules, "config_dir")
     own = rows.join(near, "source").filter(F.expr("startswith(module, concat(module_name, '/'))"))
     by_module = own.withColumn("folder", F.expr("concat(config_dir, substring(module, length(module_name) + 1))")).join(folders, "folder").select("source", "module", F.col("path").alias("target"))
-    return first_resolved([by_module, _named_folder(rows, folders, F.element_at(F.split("module", "/"), -1), root, 3)])
+    return first_resolved([by_module, named])
 
 
 def java(imports: DataFrame, files: DataFrame, root: str) -> DataFrame:
@@ -270,8 +296,7 @@ def resolve(imports: DataFrame, files: DataFrame, root: str, aliases: DataFrame
     if packages is not None:
         stages.append(workspace_packages(imports, files, packages))
     stages += [python(imports, files, root), java(imports, files, root), csharp(imports, files, root), swift(imports, files, root)]
-    if go_modules is not None:
-        stages.append(go(imports, files, root, go_modules))
+    stages.append(go(imports, files, root, go_modules))
     scripts = imports.filter(language(F.col("source")).isin("typescript", "javascript", "vue", "svelte", "graphql"))
     if not exclude_node_modules:
         stages.append(scripts.filter(is_bare(F.col("module"))).withColumn("target", F.col("module")))

@@ -12,6 +12,7 @@ from ..functions.paths import call_graph_language, in_skipped_directory, is_sour
 from ..schema import SCHEMA_VERSION
 
 MAX_BYTES = 5 * 1024 * 1024
+CONFIG_FILE = r"/(tsconfig[^/]*\.json|package\.json|go\.mod)$"
 TABLES = ("files", "symbols", "edges")
 
 
@@ -48,6 +49,15 @@ def texts(spark: SparkSession, root: str, exclude_node_modules: bool = True, max
     return base.select("path", call_graph_language(F.col("path")).alias("lang"), "size", "last_modified", text.alias("text"), F.when(F.col("size") > max_bytes, "FILE_TOO_LARGE").alias("error"))
 
 
+def configs(spark: SparkSession, root: str, exclude_node_modules: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, text of the tsconfig*.json, package.json and go.mod files below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = normalize(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*(?=/))?", ""))
+    plain = root.split("://", 1)[-1].rstrip("/")
+    base = files.select(path.alias("path"), F.col("length").alias("size"), "content").filter(F.col("path").rlike(CONFIG_FILE) & ~in_skipped_directory(relative(F.col("path"), plain), exclude_node_modules))
+    return base.filter(F.col("size") <= max_bytes).select("path", F.decode("content", "utf-8").alias("text"))
+
+
 def save_snapshot(tables: dict[str, DataFrame], folder: str, name: str, root: str = "") -> None:
     """Writes all tables under folder/name, the metadata last: a snapshot without it is not there."""
     spark = next(iter(tables.values())).sparkSession
