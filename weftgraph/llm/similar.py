@@ -17,7 +17,8 @@ So a crowd of copies costs rows in proportion to its size, and no pair is left o
 Texts are met last. Candidates are first held against each other by the parities of
 their members' counts in 1024 bins: every bin whose parity differs needs a member that
 only one set has, and sets that are 4/5 similar have at most a ninth of both sizes of
-these. So this, too, leaves out no pair; the rest have their whole sets compared.
+these. Pairs that pass are held against each other in 16384 bins, which long texts
+don't fill. So this, too, leaves out no pair; the rest have their whole sets compared.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: A shingle of at least COMMON texts of the sample comes late in the order; MAX_COMMON of them are known at most.
 SAMPLE, COMMON, MAX_COMMON = 2000, 4, 100_000
-#: Bins of the parities; a power of two, at least 64.
-BINS = 1024
+#: Bins of the parities, first and for pairs that pass; powers of two, at least 64.
+BINS, MANY_BINS = 1024, 16384
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -95,8 +96,8 @@ def _keyed(rows: DataFrame, common: np.ndarray, size: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "key long, id long, n int, left int")
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    counts = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+def parities(s: np.ndarray, bins: int = BINS) -> np.ndarray:
+    counts = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -120,6 +121,29 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(differ * (NUM + DEN) <= (F.col("na") + F.col("nb")) * (DEN - NUM)).select("a", "b").distinct()
 
 
+def _finer(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs whose parities in MANY_BINS bins allow the similarity."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                sets = [shingles(t, size) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s, MANY_BINS).tobytes() for s in sets], pa.binary())], ["id", "n", "bins"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
+                differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+                if differ * (NUM + DEN) <= (n + m) * (DEN - NUM):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    sketches = texts.select("id", "text").mapInArrow(sketch, "id long, n int, bins binary").checkpoint()
+    rows = pairs.join(sketches.toDF("a", "na", "pa"), "a").join(sketches.toDF("b", "nb", "pb"), "b")
+    return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct().checkpoint()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """a, b of pairs that are similar; texts has id, text. An id with several texts is similar by any of them."""
 
@@ -137,6 +161,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().checkpoint()
     few = texts.join(few_ids(wanted), "id", "left_semi")
+    pairs = _finer(pairs, few, size)
     left, right = few.select(F.col("id").alias("a"), F.col("text").alias("ta")), few.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
