@@ -2,57 +2,62 @@
 
 A page is a stream of block tags and texts, read into a tree; inline tags are
 transparent. Its union-free expression has no alternatives: siblings and runs of
-siblings that repeat fold into repeated groups. Pages of a host are aligned one
-after the other with the host's expression so far: children are matched in
-order by longest common subsequence, what only one side has becomes optional,
-texts that differ become slots. Every node keeps how much text and how much link
-text it has held.
-
-The host's wrapper decides where articles stand: the outermost elements marked as
-article or main, else the lowest node that holds all text that is neither a
-template's nor a menu's.
-Texts that are equal on all pages of a host are template; they are left out where
-no element marks the article. Each page is then read through its host's wrapper.
-
-A worker folds its pages into one expression a host and hands on only these, so
-the merge of a host that holds a third of all pages sees one expression a task,
-in two rounds.
+siblings that repeat fold into repeated groups. Expressions of a host are aligned:
+children are matched in order by longest common subsequence, what only one side
+has becomes optional, what both have is united, and texts become slots. A slot
+keeps on how many pages it stands, how much text and link text it held, and which
+texts all of these pages share, the template's; the rest are what differs.
+
+The wrapper decides which slots hold articles: those in the outermost elements
+marked as article or main, else those in the lowest element that holds all text
+which is neither a template's nor a menu's. A page is read through the wrapper:
+its expression is aligned with it, and a text stays if the slot it falls into is
+chosen and doesn't count it as template.
+
+Pages of one expression are added up by slot before anything is aligned. Different
+expressions of a host are aligned in sorted order, first within buckets by their
+hash, then one bucket's with the next, so a wrapper is the same for any
+partitioning; a task holds one expression at a time, whatever the host's size.
+
+Nothing recurses over the depth of a page, and every token is read once.
 """
 
 from __future__ import annotations
 
-import json
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html import unescape
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ensure_checkpoint_dir
 
+_REST = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+"
+#: Always matches; what isn't closed goes on to the page's end.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?/][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
+    r"(?P<text>[^<]++)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>" + _REST + r")(?:>|\Z)"
+    r"|<!--(?P<comment>)"
+    r"|<[!?/](?P<other>)"
+    r"|(?P<sign><)",
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: Elements whose content is no text: up to their end, else the page's; the others only if they have an end.
+RAW = frozenset("script style title textarea iframe noscript template".split())
+SKIPPED = frozenset("svg object canvas".split())
 BLOCK = frozenset(
     "html head body article main section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address details summary fieldset button select option dialog menu search hr center".split()
 )
 VOID = frozenset("br hr img input meta link base area col embed source track wbr".split())
 HEAD = frozenset("title meta link base script style noscript template".split())
-#: Elements an opening tag ends if they are the innermost open ones of their list or row.
+#: Elements an opening tag ends if no other block than p is opened within.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-SCOPE = frozenset("ul ol menu dl table select body html article section div".split())
 NOT_TEXT = frozenset("head nav header footer aside form button select menu dialog search".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of classes and ids that mark what isn't the article.
@@ -62,38 +67,38 @@ NOT_TEXT_WORDS = frozenset(
     "share sharing social newsletter subscribe subscription signup login search skip copyright".split()
 )
 WORD = re.compile(r"[a-z]+")
-MAX_HOSTS = 2000
-SMALL_BYTES = 4_000_000
-SALTS = 32
-CELLS = 200_000
+#: Buckets of a host's expressions, and the host's share of all pages over which its pages are dealt out.
+BUCKETS, SHARE = 4096, 1024
+#: Wrappers of so many bytes together go to all workers; more meet their pages by a sort.
+SMALL_BYTES = 16_000_000
+#: Bytes of expressions that a worker holds before it hands them on or forgets them.
+HELD_BYTES = 32_000_000
+#: Pages of a host from which on, and the share of differing text over which, shared texts count as template.
+MIN_PAGES, MIN_DIFFERING = 3, 1 / 4
 
 
 class Node:
-    __slots__ = ("boilerplate", "content", "kids", "name", "tag")
+    __slots__ = ("key", "kids", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
-        self.boilerplate, self.content, name = tag in NOT_TEXT, tag in ("article", "main"), ""
+        boilerplate, content, name = tag in NOT_TEXT, tag in ("article", "main"), ""
         if attrs:
             for k, v in ATTRIBUTE.findall(attrs):
                 words = WORD.findall(v.lower())
                 if k.lower() in ("class", "id"):
-                    self.boilerplate |= not self.content and tag not in ("html", "body") and not NOT_TEXT_WORDS.isdisjoint(v.lower().strip("\"'").split())
+                    boilerplate |= not content and tag not in ("html", "body") and not NOT_TEXT_WORDS.isdisjoint(v.lower().strip("\"'").split())
                     name = name or "".join(words[:1])
                 elif k.lower() == "role":
-                    self.boilerplate |= not NOT_TEXT_ROLES.isdisjoint(words)
-                    self.content |= "main" in words or "article" in words
+                    boilerplate |= not NOT_TEXT_ROLES.isdisjoint(words)
+                    content |= "main" in words or "article" in words
                 else:
-                    self.content |= "articlebody" in words
-        self.name = "." + name if name else ""
-
-    @property
-    def key(self) -> str:
-        return self.tag + ("!" if self.boilerplate else "@" if self.content else "") + self.name
+                    content |= "articlebody" in words
+        self.key = tag + ("!" if boilerplate else "@" if content else "") + ("." + name if name else "")
 
 
 class Text:
-    __slots__ = ("linked", "parts")
+    __slots__ = ("linked", "parts", "slot", "words")
 
     def __init__(self):
         self.parts, self.linked = [], 0
@@ -102,11 +107,15 @@ class Text:
 def parse(page: str) -> Node:
     """The tree of blocks and texts."""
     root = Node("#root")
-    stack, linked, text = [root], 0, None
-    for m in TOKEN.finditer(page):
+    stack, opened, linked, text = [root], {}, 0, None
+    no_end: set[str] = set()
+    token, at, size = TOKEN.match, 0, len(page)
+    while at < size:
+        m = token(page, at)
+        at = m.end()
         kind = m.lastgroup
-        if kind == "text":
-            s = m["text"]
+        if kind == "text" or kind == "sign":
+            s = m[kind]
             if text is None:
                 if s.isspace():
                     continue
@@ -116,298 +125,593 @@ def parse(page: str) -> Node:
             if linked:
                 text.linked += len(s)
             continue
-        tag = m["tag"]
-        if tag is None:
+        if kind == "comment":
+            # an end may overlap the opening sign, as in <!-->
+            close = page.find("-->", at - 2)
+            at = size if close < 0 else max(at, close + 3)
+            continue
+        if kind == "other":
+            close = page.find(">", at)
+            at = size if close < 0 else close + 1
             continue
-        tag = tag.lower()
+        tag, ending = m["tag"].lower(), m["end"]
+        if not ending and (tag in RAW or tag in SKIPPED) and tag not in no_end:
+            close = _closing(tag).search(page, at)
+            if close is not None:
+                at = close.end()
+                continue
+            if tag in RAW:
+                break
+            no_end.add(tag)
         if tag not in BLOCK:
             if tag == "a":
-                linked = 0 if m["end"] else 1
+                linked = 0 if ending else 1
             elif tag == "br" and text is not None:
                 text.parts.append(" ")
             continue
         text, linked = None, 0
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if ending:
+            if opened.get(tag):
+                while True:
+                    gone = stack.pop().tag
+                    opened[gone] -= 1
+                    if gone == tag:
+                        break
             continue
         if stack[-1].tag == "head" and tag not in HEAD or stack[-1].tag == "p":
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         ends = ENDS.get(tag)
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
+            k = last = len(stack)
+            while k > 1:
+                k -= 1
+                t = stack[k].tag
+                if t in ends:
+                    last = k
                     if tag != "tr":
                         break
-                elif stack[k].tag in SCOPE:
+                elif t != "p":
                     break
+            for gone in stack[last:]:
+                opened[gone.tag] -= 1
+            del stack[last:]
         if tag in VOID:
             continue
         node = Node(tag, m["attrs"])
         stack[-1].kids.append(node)
         stack.append(node)
-    _exempt(root)
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
-def _exempt(root: Node) -> None:
-    """Boilerplate that holds the page's article isn't any: all marks, or, of what has blocks, most of the text that isn't linked."""
-    held: list[tuple[Node, int, int, bool]] = []
+_closings: dict[str, re.Pattern] = {}
 
-    def look(node: Node, inside: bool) -> tuple[int, int, int]:
-        """Characters that aren't linked, those of them under a mark, those under a mark outside of boilerplate."""
-        plain = marked = free = 0
-        for k in node.kids:
-            if isinstance(k, Text):
-                plain += max(0, len("".join(k.parts).strip()) - k.linked)
-            else:
-                n, m, f = look(k, inside or k.boilerplate)
-                plain, marked, free = plain + n, marked + m, free + f
-        if node.content:
-            marked, free = plain, free if inside else plain
-        if node.boilerplate and node.tag != "head":
-            held.append((node, plain, marked, any(isinstance(k, Node) for k in node.kids)))
-        return plain, marked, free
-
-    plain, marked, free = look(root, False)
-    for node, n, m, blocks in held:
-        if not free and (2 * m > marked if marked else blocks and 2 * n > plain and (node.tag not in NOT_TEXT or node.tag == "form")):
-            node.boilerplate = False
-
-
-# An expression is [key, multiplicity, characters, linked characters, template, children, pages]; template is the
-# checksum of a text that was equal so far, else None, and pages the number of pages that held it. Key # is a text,
-# key () a repeated group.
-
-
-def expression(node: Node | Text) -> list:
-    if isinstance(node, Text):
-        s = " ".join(unescape("".join(node.parts)).split())
-        return ["#", "1", len(s), min(node.linked, len(s)), zlib.crc32(s.encode()), [], 1]
-    return [node.key, "1", 0, 0, None, fold([expression(k) for k in node.kids]), 1]
-
-
-def shape(e: list):
-    """What must be equal for expressions to match: the key, for a group also those within."""
-    return e[0] if e[0] != "()" else ("()", *(shape(k) for k in e[5]))
-
-
-def merge(a: list, b: list, within: bool = False) -> list:
-    """Both as one; within: they stand on the same page."""
-    absent, many = (any(e[1] in x for e in (a, b)) for x in ("?*", "+*"))
-    times = "1?+*"[absent + 2 * many]
-    return [a[0], times, a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, align(a[5], b[5], within), max(a[6], b[6]) if within else a[6] + b[6]]
-
-
-def fold(kids: list[list]) -> list[list]:
-    """Neighbours that repeat as one of multiplicity +; then runs of two to four that repeat as a group."""
-    out: list[list] = []
-    for k in kids:
-        if out and shape(out[-1]) == shape(k):
-            out[-1] = merge(out[-1], k, True)
-            out[-1][1] = "+"
+
+def _closing(tag: str) -> re.Pattern:
+    if tag not in _closings:
+        _closings[tag] = re.compile(rf"</{tag}\s*>", re.I)
+    return _closings[tag]
+
+
+class Expr:
+    """A part of an expression. key: # of a text slot, () of a group, else the element's.
+
+    shape: what must be equal for expressions to match: the key, for a group those
+    within. times: 1, ?, + or *. A slot has pages, chars, linked and shared (hash of
+    each text that all its pages share, and the characters of it that aren't
+    linked); texts are the page's own. sources: what is to be united, until settle().
+    """
+
+    __slots__ = ("chars", "key", "kids", "linked", "pages", "shape", "shared", "sources", "texts", "times", "within")
+
+    def __init__(self, key: str, times: str = "1", kids: list | None = None, shape: str | None = None):
+        self.key, self.times, self.kids, self.sources = key, times, kids if kids is not None else [], None
+        self.shape = shape or (key if key != "()" else f"({' '.join(k.shape for k in self.kids)})")
+
+    def optional(self) -> Expr:
+        if self.times in "?*":
+            return self
+        e = _copy(self)
+        e.times = "?" if self.times == "1" else "*"
+        return e
+
+
+def _copy(e: Expr) -> Expr:
+    new = Expr(e.key, e.times, e.kids, e.shape)
+    new.sources = e.sources
+    if e.sources is not None:
+        new.within = e.within
+    elif e.key == "#":
+        new.pages, new.chars, new.linked, new.shared, new.texts = e.pages, e.chars, e.linked, e.shared, e.texts
+    return new
+
+
+def _times(parts: list[Expr]) -> str:
+    return "1?+*"[any(e.times in "?*" for e in parts) + 2 * any(e.times in "+*" for e in parts)]
+
+
+def _pending(sources: list[Expr], within: bool, times: str) -> Expr:
+    """All sources, of one shape, as one; within: they stand on the same pages."""
+    first = sources[0]
+    e = Expr(first.key, times, None, first.shape)
+    e.sources, e.within = [], within
+    for s in sources:
+        if s.sources is not None and s.within == within:
+            e.sources += s.sources
         else:
-            out.append(k)
-    for n in (2, 3, 4):
-        i, done = 0, []
-        shapes = [shape(k) for k in out]
+            e.sources.append(s)
+    return e
+
+
+def _settle(e: Expr) -> None:
+    """Gives a pending expression its own values; its children may be pending then.
+
+    Sources that are pending themselves stand on different pages and have settled
+    sources, so this calls itself once at most.
+    """
+    sources, within, e.sources = e.sources, e.within, None
+    for s in sources:
+        if s.sources is not None:
+            _settle(s)
+    if e.key == "#":
+        _add_up(e, sources, within)
+        return
+    alike: dict[tuple, list[list[Expr]]] = {}
+    for s in sources:
+        alike.setdefault(tuple(k.shape for k in s.kids), []).append(s.kids)
+    kids: list[Expr] | None = None
+    for lists in alike.values():
+        own = lists[0] if len(lists) == 1 else [_pending(list(c), within, _times(c)) for c in zip(*lists, strict=True)]
+        kids = own if kids is None else align(kids, own, within)
+    e.kids = kids or []
+
+
+def _add_up(e: Expr, slots: list[Expr], within: bool) -> None:
+    e.chars, e.linked = sum(s.chars for s in slots), sum(s.linked for s in slots)
+    e.texts = [t for s in slots for t in s.texts]
+    if within:
+        # a slot that stands on all pages says what all pages share; else pages is a lower bound, and shared never counts
+        e.pages = max(s.pages for s in slots)
+        e.shared = {h: n for s in slots if s.pages == e.pages for h, n in s.shared.items()}
+    else:
+        e.pages = sum(s.pages for s in slots)
+        common = set.intersection(*(set(s.shared) for s in slots))
+        e.shared = {h: min(s.shared[h] for s in slots) for h in common}
+
+
+def unite(sources: list[Expr], within: bool = False) -> Expr:
+    """All as one expression; they must have one shape."""
+    whole = _pending(sources, within, _times(sources))
+    todo = [whole]
+    while todo:
+        e = todo.pop()
+        if e.sources is not None:
+            _settle(e)
+            todo += e.kids
+    return whole
+
+
+def merge(a: Expr, b: Expr) -> Expr:
+    """Expressions of different pages as one."""
+    return unite([a, b])
+
+
+def _matched(p: list[str], q: list[str], masks: dict[str, int]) -> np.ndarray:
+    """Length of the longest common subsequence of p and each prefix of q, by bits of long integers."""
+    full = (1 << len(q)) - 1
+    v = full
+    for x in p:
+        u = v & masks.get(x, 0)
+        v = (v + u | v - u) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(q) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(q)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _masks(q: list[str]) -> dict[str, int]:
+    places: dict[str, list[int]] = {}
+    for k, x in enumerate(q):
+        places.setdefault(x, []).append(k)
+    out = {}
+    for x, at in places.items():
+        bits = np.zeros(len(q), np.uint8)
+        bits[at] = 1
+        out[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return out
+
+
+def common_subsequence(p: list[str], q: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, ascending; p is halved until a part has one match, so memory is linear."""
+    pairs: list[tuple[int, int]] = []
+    todo = [(0, len(p), 0, len(q))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and p[a] == q[c]:
+            pairs.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and p[b - 1] == q[d - 1]:
+            b, d = b - 1, d - 1
+            pairs.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            at = next((k for k in range(c, d) if q[k] == p[a]), None)
+            if at is not None:
+                pairs.append((a, at))
+            continue
+        mid, part = (a + b) // 2, q[c:d]
+        before = _matched(p[a:mid], part, _masks(part))
+        part = part[::-1]
+        after = _matched(p[mid:b][::-1], part, _masks(part))
+        k = c + int(np.argmax(before + after[::-1]))
+        todo += [(a, mid, c, k), (mid, b, k, d)]
+    return sorted(pairs)
+
+
+def align(a: list[Expr], b: list[Expr], within: bool = False) -> list[Expr]:
+    """Both lists in order, matching ones pending as one, the others optional."""
+    out: list[Expr] = []
+    i = j = 0
+    for x, y in [*common_subsequence([e.shape for e in a], [e.shape for e in b]), (len(a), len(b))]:
+        for e in (*(e.optional() for e in a[i:x]), *(e.optional() for e in b[j:y])):
+            _put(out, e)
+        if x < len(a):
+            _put(out, _pending([a[x], b[y]], within, _times([a[x], b[y]])))
+        i, j = x + 1, y + 1
+    return out
+
+
+def _put(out: list[Expr], e: Expr) -> None:
+    """e behind the others; if the last has its shape, as alignment can leave them side by side, both as one."""
+    if out and out[-1].shape == e.shape:
+        out[-1] = _pending([out[-1], e], True, "*" if out[-1].times in "?*" and e.times in "?*" else "+")
+    else:
+        out.append(e)
+
+
+def fold(kids: list[Expr]) -> list[Expr]:
+    """Neighbours that repeat as one of multiplicity +; then runs that repeat, from one to the next of its first shape, as a group, until none is left."""
+    out: list[Expr] = []
+    i = 0
+    while i < len(kids):
+        j = i + 1
+        while j < len(kids) and kids[j].shape == kids[i].shape:
+            j += 1
+        out.append(kids[i] if j == i + 1 else _united(kids[i:j], "+"))
+        i = j
+    while True:
+        shapes, done, i = [k.shape for k in out], [], 0
+        nearest: dict[str, int] = {}
+        following = [0] * len(out)
+        for k in range(len(out) - 1, -1, -1):
+            following[k] = nearest.get(shapes[k], 0)
+            nearest[shapes[k]] = k
         while i < len(out):
-            j = i
-            while shapes[j + n : j + 2 * n] == shapes[i : i + n] and j + 2 * n <= len(out):
+            j, n = i, following[i] - i
+            while n > 1 and j + 2 * n <= len(out) and shapes[j + 1] == shapes[j + n + 1] and shapes[j + n : j + 2 * n] == shapes[i : i + n]:
                 j += n
             if j == i:
                 done.append(out[i])
                 i += 1
                 continue
-            body = out[i : i + n]
-            for at in range(i + n, j + n, n):
-                body = [merge(x, y, True) for x, y in zip(body, out[at : at + n], strict=True)]
-            done.append(["()", "+", 0, 0, None, body, 1])
+            body = []
+            for c in range(n):
+                column = out[i + c : j + n : n]
+                body.append(_united(column, _times(column)))
+            done.append(Expr("()", "+", body))
             i = j + n
+        if len(done) == len(out):
+            return out
         out = done
-    return out
 
 
-def optional(e: list) -> list:
-    return [e[0], {"1": "?", "+": "*"}.get(e[1], e[1]), *e[2:]]
+def _united(parts: list[Expr], times: str) -> Expr:
+    e = unite(parts, True)
+    e.times = times
+    return e
 
 
-def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
-    """Both lists in order, matching ones merged, the others optional."""
-    p, q = [shape(x) for x in a], [shape(x) for x in b]
-    if p == q:
-        return [merge(x, y, within) for x, y in zip(a, b, strict=True)]
-    pairs: list[tuple[int, int]] = []
-    if len(a) * len(b) <= CELLS:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if p[i] == q[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    else:  # long lists without repeats: the next match of each, in order
-        j = 0
-        places: dict = {}
-        for k, x in enumerate(q):
-            places.setdefault(x, []).append(k)
-        for i, x in enumerate(p):
-            k = next((k for k in places.get(x, ()) if k >= j), None)
-            if k is not None:
-                pairs.append((i, k))
-                j = k + 1
-    out, i, j = [], 0, 0
-    for x, y in [*pairs, (len(a), len(b))]:
-        out += [optional(e) for e in a[i:x]] + [optional(e) for e in b[j:y]]
-        if x < len(a):
-            out.append(merge(a[x], b[y], within))
-        i, j = x + 1, y + 1
-    return fold_same(out)
+def expression(root: Node) -> Expr:
+    """A page's expression. Texts without characters don't count."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if isinstance(k, Node)]
+    made: dict[int, Expr] = {}
+    for node in reversed(order):
+        kids = []
+        for k in node.kids:
+            if isinstance(k, Node):
+                kids.append(made.pop(id(k)))
+                continue
+            k.words = " ".join(unescape("".join(k.parts)).split())
+            if k.words:
+                e, n = Expr("#"), len(k.words)
+                linked = min(k.linked, n)
+                e.pages, e.chars, e.linked, e.texts = 1, n, linked, [k]
+                e.shared = {xxhash.xxh64_intdigest(k.words) - (1 << 63): n - linked}
+                kids.append(e)
+        made[id(node)] = Expr(node.key, kids=fold(kids))
+    return made[id(root)]
+
+
+def preorder(e: Expr) -> list[Expr]:
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo += reversed(x.kids)
+    return out
 
 
-def fold_same(kids: list[list]) -> list[list]:
-    """Neighbours of one shape, as alignment can leave them side by side."""
-    out: list[list] = []
-    for k in kids:
-        if out and shape(out[-1]) == shape(k):
-            last, out[-1] = out[-1], merge(out[-1], k, True)  # pages of either may be the same
-            out[-1][1] = "*" if last[1] in "?*" and k[1] in "?*" else "+"
+def written(e: Expr) -> str:
+    """The expression as text: # is a slot, = one that holds the same text on all its pages."""
+    out: list[str] = []
+    todo: list = [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        times = "" if x.times == "1" else x.times
+        if x.key == "#":
+            out.append(("=" if len(x.shared) == 1 and sum(x.shared.values()) * x.pages == x.chars - x.linked else "#") + times)
+        elif x.kids or x.key == "()":
+            out.append("(" if x.key == "()" else x.key + "(")
+            todo.append(")" + times)
+            for n, k in enumerate(reversed(x.kids)):
+                todo += [" ", k] if n else [k]
+        else:
+            out.append(x.key + times)
+    return "".join(out)
+
+
+def packed(e: Expr) -> tuple[str, np.ndarray]:
+    """The expression without its slots' values; these: pages, chars, linked, number of shared texts, then their hashes and characters."""
+    parts, values = [], []
+    for x in preorder(e):
+        parts.append(f"{x.key},{x.times},{len(x.kids)}")
+        if x.key == "#":
+            values += [x.pages, x.chars, x.linked, len(x.shared)]
+            for h in sorted(x.shared):
+                values += [h, x.shared[h]]
+    return " ".join(parts), np.array(values, np.int64)
+
+
+def unpacked(text: str, values: np.ndarray) -> Expr:
+    nodes, at, v = [], 0, values.tolist()
+    for part in text.split(" "):
+        key, times, n = part.split(",")
+        e = Expr(key, times, None, "")
+        nodes.append((e, int(n)))
+        if key == "#":
+            e.pages, e.chars, e.linked, m = v[at : at + 4]
+            e.shared, e.texts = dict(zip(v[at + 4 : at + 4 + 2 * m : 2], v[at + 5 : at + 5 + 2 * m : 2], strict=True)), []
+            at += 4 + 2 * m
+    # from the last one on, the children of a node are the last that have no parent
+    free: list[Expr] = []
+    for e, n in reversed(nodes):
+        e.kids = free[: -n - 1 : -1] if n else []
+        del free[len(free) - n :]
+        e.shape = e.key if e.key != "()" else f"({' '.join(k.shape for k in e.kids)})"
+        free.append(e)
+    return free[0]
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of the slots of two expressions, alike but for these, on different pages."""
+    out: list[int] = []
+    p, q, i, j = a.tolist(), b.tolist(), 0, 0
+    while i < len(p):
+        m, n = p[i + 3], q[j + 3]
+        x, y = (dict(zip(v[k + 4 : k + 4 + 2 * c : 2], v[k + 5 : k + 5 + 2 * c : 2], strict=True)) for v, k, c in ((p, i, m), (q, j, n)))
+        both = sorted(x.keys() & y.keys())
+        out += [p[i] + q[j], p[i + 1] + q[j + 1], p[i + 2] + q[j + 2], len(both)]
+        for h in both:
+            out += [h, min(x[h], y[h])]
+        i, j = i + 4 + 2 * m, j + 4 + 2 * n
+    return np.array(out, np.int64)
+
+
+def _children(e: Expr) -> list[Expr]:
+    """Children, with those of groups in the groups' place."""
+    out, todo = [], list(reversed(e.kids))
+    while todo:
+        k = todo.pop()
+        if k.key == "()":
+            todo += reversed(k.kids)
         else:
             out.append(k)
     return out
 
 
-def written(e: list) -> str:
-    """The expression as text: # is a slot, = a template text."""
-    inner = " ".join(written(k) for k in e[5])
-    name = ("=" if e[4] is not None else "#") if e[0] == "#" else "" if e[0] == "()" else e[0]
-    return (f"{name}({inner})" if inner or e[0] == "()" else name) + ("" if e[1] == "1" else e[1])
-
+def _tag(e: Expr) -> str:
+    return re.split(r"[!@.]", e.key, maxsplit=1)[0]
 
-def _mass(e: list) -> tuple[int, int]:
-    """Characters and linked characters of texts that may be the article's."""
-    if "!" in e[0]:
-        return 0, 0
-    n, linked = e[2], e[3]
-    for k in e[5]:
-        x, y = _mass(k)
-        n, linked = n + x, linked + y
-    return n, linked
 
+class Wrapper:
+    """An expression and which of its slots hold articles.
 
-def _children(e: list) -> Iterator[list]:
-    for k in e[5]:
-        if k[0] == "()":
-            yield from _children(k)
-        else:
-            yield k
-
-
-def decide(e: list, pages: int) -> dict:
-    """paths: keys from the root to where articles stand; template: paths and checksums of template texts, for what isn't marked."""
-    marked: set[tuple[str, ...]] = set()
+    regions: elements in which articles stand. chosen: their slots, each with the
+    hashes of texts that are template.
+    """
 
-    def look(x: list, path: tuple[str, ...]) -> None:
-        for k in _children(x):
-            if "!" in k[0]:
+    def __init__(self, whole: Expr, pages: int):
+        self.whole = whole
+        self.kids: dict[int, list[Expr]] = {}
+        order, todo = [], [whole]
+        while todo:
+            e = todo.pop()
+            order.append(e)
+            self.kids[id(e)] = _children(e)
+            todo += reversed(self.kids[id(e)])
+        self.order = order
+        self._exempt()
+        self.template: dict[int, dict[int, int]] = {}
+        self.regions = self._marked() or self._unmarked(pages)
+        self.chosen = {id(e): frozenset(self.template.get(id(e), ())) for r in self.regions for e in self._within([r]) if e.key == "#"}
+        self.region_ids = {id(e) for e in self.regions}
+
+    def _boilerplate(self, e: Expr) -> bool:
+        return "!" in e.key and id(e) not in self.exempt
+
+    def _within(self, todo: list[Expr]) -> Iterator[Expr]:
+        """These and all below that isn't boilerplate."""
+        todo = list(reversed(todo))
+        while todo:
+            e = todo.pop()
+            if not self._boilerplate(e):
+                yield e
+                todo += reversed(self.kids[id(e)])
+
+    def _sums(self, own: Callable[[Expr], tuple]) -> dict[int, tuple]:
+        """own() of each part, added up with that of all below."""
+        sums: dict[int, tuple] = {}
+        for e in reversed(self.order):
+            sums[id(e)] = tuple(map(sum, zip(own(e), *(sums[id(k)] for k in self.kids[id(e)]), strict=True)))
+        return sums
+
+    def _exempt(self) -> None:
+        """Boilerplate that holds the article isn't any: all marks, or, of what has blocks, most of the text that isn't linked."""
+        plain: dict[int, int] = {}
+        marked: dict[int, int] = {}
+        free: dict[int, int] = {}
+        inside: dict[int, bool] = {id(self.whole): False}
+        for e in self.order:
+            for k in self.kids[id(e)]:
+                inside[id(k)] = inside[id(e)] or "!" in k.key
+        for e in reversed(self.order):
+            kids = [id(k) for k in self.kids[id(e)]]
+            n = e.chars - e.linked if e.key == "#" else sum(plain[k] for k in kids)
+            plain[id(e)] = n
+            marked[id(e)] = n if "@" in e.key else sum(marked[k] for k in kids)
+            free[id(e)] = (0 if inside[id(e)] else n) if "@" in e.key else sum(free[k] for k in kids)
+        whole, marks = plain[id(self.whole)], marked[id(self.whole)]
+        self.exempt: set[int] = set()
+        if free[id(self.whole)]:
+            return
+        for e in self.order:
+            if "!" in e.key and _tag(e) != "head":
+                blocks = any(k.key != "#" for k in self.kids[id(e)])
+                if 2 * marked[id(e)] > marks if marks else blocks and 2 * plain[id(e)] > whole and (_tag(e) not in NOT_TEXT or _tag(e) == "form"):
+                    self.exempt.add(id(e))
+
+    def _marked(self) -> list[Expr]:
+        """The outermost marked elements with text that isn't boilerplate."""
+        out, todo = [], [self.whole]
+        while todo:
+            e = todo.pop()
+            if self._boilerplate(e):
                 continue
-            if "@" not in k[0]:
-                look(k, (*path, k[0]))
-            elif _mass(k)[0]:
-                marked.add((*path, k[0]))
-
-    look(e, ())
-    if marked:
-        return {"paths": sorted(marked), "template": []}
-    template: list[tuple[tuple[str, ...], int]] = []
-    slots = 0
-
-    def constant(x: list, where: tuple[str, ...]) -> None:
-        nonlocal slots
-        for k in x[5]:
-            if k[0] == "#":
-                slots += k[4] is None or k[6] < pages
-                if k[4] is not None and k[1] == "1" and k[6] == pages:
-                    template.append((where, k[4]))
-            elif k[0] == "()":
-                if k[1] == "+":
-                    constant(k, where)
-            elif "!" not in k[0] and k[1] in "1+":
-                constant(k, (*where, k[0]))
-            else:
-                slots += "!" not in k[0]
-
-    constant(e, ())
-    known = set(template) if pages >= 3 and slots else set()
-
-    def holds(x: list, where: tuple[str, ...]) -> bool:
-        """Is there text of an article's in x, which stands at where: neither template, boilerplate nor all links."""
-        if x[0] == "#":
-            return x[2] > x[3] and (x[4] is None or (where, x[4]) not in known)
-        return "!" not in x[0] and any(holds(k, (*where, x[0])) for k in _children(x))
-
-    path, at = (), e
-    while True:
-        some = [k for k in _children(at) if holds(k, path)]
-        if len({k[0] for k in some}) != 1 or some[0][0] == "#":
-            break
-        if len(some) > 1 or some[0][1] in "+*":
-            path = (*path, some[0][0])
-            break
-        path, at = (*path, some[0][0]), some[0]
-    return {"paths": [path], "template": sorted(known)}
-
-
-def _roots(tree: Node, paths: list) -> list[tuple[Node, tuple[str, ...]]]:
-    """Nodes that stand at a path, in the page's order, each with its path."""
-    ends = {tuple(p) for p in paths}
-    ways = {p[:k] for p in ends for k in range(len(p))}
-    found = []
-
-    def look(node: Node, path: tuple[str, ...]) -> None:
-        if path in ends:
-            found.append((node, path))
-        elif path in ways:
-            for k in node.kids:
-                if isinstance(k, Node):
-                    look(k, (*path, k.key))
-
-    look(tree, ())
-    return found
-
-
-def main_text(page: str | None, decision: dict | None) -> str:
-    """Blocks of the article, joined by two line ends."""
-    if not page:
+            if "@" not in e.key:
+                todo += reversed(self.kids[id(e)])
+            elif any(x.key == "#" and x.chars for x in self._within([e])):
+                out.append(e)
+        return out
+
+    def _unmarked(self, pages: int) -> list[Expr]:
+        """The lowest element that holds all text of articles; its like among its siblings, if these hold some as well."""
+        slots = [e for e in self._within([self.whole]) if e.key == "#"]
+        if pages >= MIN_PAGES:
+            shared = {id(e): e.shared for e in slots if e.pages == pages and e.shared}
+            plain = sum(e.chars - e.linked for e in slots)
+            differing = plain - pages * sum(sum(x.values()) for x in shared.values())
+            if differing > 0 and differing >= MIN_DIFFERING * plain:
+                self.template = shared
+        free = {id(e) for e in slots if e.chars - e.linked > pages * sum(self.template.get(id(e), {}).values())}
+        reached = {id(e) for e in self._within([self.whole])}
+        holds = self._sums(lambda e: (id(e) in free,))
+        at = self.whole
+        while True:
+            some = [k for k in self.kids[id(at)] if id(k) in reached and holds[id(k)][0]]
+            if len({k.key for k in some}) != 1 or some[0].key == "#":
+                return [at]
+            if len(some) > 1:
+                return [k for k in self.kids[id(at)] if k.key == some[0].key and id(k) in reached]
+            at = some[0]
+
+    def places(self, page: Expr) -> tuple[bool, list[frozenset | None]]:
+        """Has the page a region; for each slot of its expression in order: None if it isn't chosen, else the template texts."""
+        found = False
+        slots: dict[int, frozenset | None] = {}
+        todo = [(page, self.whole)]
+        while todo:
+            e, w = todo.pop()
+            if e.key == "#":
+                slots[id(e)] = self.chosen.get(id(w))
+                continue
+            found |= id(w) in self.region_ids
+            own, held = _children(e), self.kids.get(id(w), [])
+            at = dict(common_subsequence([k.key for k in own], [k.key for k in held]))
+            least: dict[str, Expr] = {}
+            for k in held:
+                least.setdefault(k.key, k)
+            for i, k in enumerate(own):
+                # one that the order leaves out falls to the first of its key
+                other = held[at[i]] if i in at else least.get(k.key)
+                if other is not None:
+                    todo.append((k, other))
+        return found, [slots.get(id(e)) for e in preorder(page) if e.key == "#"]
+
+
+def decide(e: Expr, pages: int) -> Wrapper:
+    return Wrapper(e, pages)
+
+
+@dataclass
+class Page:
+    """A page's expression, in parts, and its texts in order, each with the number of its slot."""
+
+    whole: Expr
+    text: str
+    values: np.ndarray
+    texts: list[Text]
+
+
+def read_page(html: str | None) -> Page:
+    tree = parse(html or "")
+    whole = expression(tree)
+    text, values = packed(whole)
+    n, number = 0, {}
+    for e in preorder(whole):
+        if e.key == "#":
+            for t in e.texts:
+                number[id(t)] = n
+            n += 1
+    texts, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            todo += reversed(x.kids)
+        elif id(x) in number:
+            x.slot = number[id(x)]
+            texts.append(x)
+    return Page(whole, text, values, texts)
+
+
+def main_text(html: str | None, wrapper: Wrapper | None, known: dict | None = None) -> str:
+    """Blocks of the article, joined by two line ends. A page without any region of the wrapper, or without a wrapper, is one by itself.
+
+    known: places of earlier pages' expressions in this wrapper.
+    """
+    if not html:
         return ""
-    tree = parse(page)
-    roots = _roots(tree, decision["paths"]) if decision else []
-    if not roots:  # an optional part of the wrapper that this page lacks: the page by itself
-        decision = decide(expression(tree), 1)
-        roots = _roots(tree, decision["paths"])
-    template = {(tuple(path), crc) for path, crc in decision["template"]}
-    blocks: list[str] = []
-
-    def read(node: Node, path: tuple[str, ...]) -> None:
-        for k in node.kids:
-            if isinstance(k, Text):
-                s = " ".join(unescape("".join(k.parts)).split())
-                if s and not (template and (path, zlib.crc32(s.encode())) in template):
-                    blocks.append(s)
-            elif not k.boilerplate:
-                read(k, (*path, k.key))
-
-    for node, path in roots:
-        read(node, path)
+    page = read_page(html)
+    found, slots = False, []
+    if wrapper is not None:
+        at = None if known is None else known.get(page.text)
+        if at is None:
+            at = wrapper.places(page.whole)
+            if known is not None:
+                known[page.text] = at
+        found, slots = at
+    if not found:
+        slots = Wrapper(page.whole, 1).places(page.whole)[1]
+    blocks = []
+    for t in page.texts:
+        template = slots[t.slot]
+        if template is not None and not (template and xxhash.xxh64_intdigest(t.words) - (1 << 63) in template):
+            blocks.append(t.words)
     return "\n\n".join(blocks)
 
 
@@ -415,72 +719,166 @@ def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]+)", 1), F.lit("")))
 
 
+KINDS = "host string, n_pages long, expression string, slots binary"
+_COLUMNS = (pa.string(), pa.int64(), pa.string(), pa.binary())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _COLUMNS, strict=True)], ["host", "n_pages", "expression", "slots"])
+
+
+def _aligned(rows: DataFrame, by: str) -> DataFrame:
+    """One expression for each host and value of by: those of the rows, equal ones added up, then aligned in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total, whole, text, values = None, 0, None, None, None
+
+        def take() -> None:
+            nonlocal whole
+            if text is not None:
+                e = unpacked(text, values)
+                whole = e if whole is None else merge(whole, e)
+
+        for batch in batches:
+            done = []
+            for host, n, t, raw, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(raw, np.int64)
+                if (host, part) != group:
+                    take()
+                    if group is not None:
+                        done.append((group[0], total, *_bytes(whole)))
+                    group, total, whole, text, values = (host, part), n, None, t, v
+                    continue
+                total += n
+                if t == text:
+                    values = added(values, v)
+                else:
+                    take()
+                    text, values = t, v
+            if done:
+                yield _batch(done)
+        take()
+        if group is not None:
+            yield _batch([(group[0], total, *_bytes(whole))])
+
+    # rows of one expression stand together, and their sums don't depend on their order
+    dealt = rows.withColumn("part", F.expr(by)).repartition("host", "part").sortWithinPartitions("host", "part", "expression")
+    return dealt.select("host", "n_pages", "expression", "slots", "part").mapInArrow(run, KINDS)
+
+
+def _bytes(e: Expr) -> tuple[str, bytes]:
+    text, values = packed(e)
+    return text, values.tobytes()
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, n_pages, expression (JSON). Pages without a host share one under the empty name."""
+    """host, n_pages, expression, slots (the values of its slots). Pages without a host have no wrapper."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, list]] = {}
-        task = TaskContext.get().partitionId() % 256
+        held: dict[tuple[str, str], tuple[int, np.ndarray]] = {}
+        size = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(h, task, n, json.dumps(e)) for h, (n, e) in held.items()]
+            rows = [(h, n, t, v.tobytes()) for (h, t), (n, v) in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["host", "part", "n_pages", "expression"])
+            return _batch(rows)
 
         for batch in batches:
             for part in chunks(batch):
-                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    e = expression(parse(page or ""))
-                    n, before = held.get(host, (0, None))
-                    held[host] = n + 1, e if before is None else merge(before, e)
-            if len(held) > MAX_HOSTS:
-                yield out()
+                for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    text, values = packed(expression(parse(html or "")))
+                    n, before = held.get((host, text), (0, None))
+                    if before is None:
+                        size += len(text) + values.nbytes
+                    held[host, text] = n + 1, values if before is None else added(before, values)
+                if size > HELD_BYTES:
+                    size = 0
+                    yield out()
         if held:
             yield out()
 
-    def unite(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for text in sorted(rows["expression"]):
-            e = json.loads(text)
-            whole = e if whole is None else merge(whole, e)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [rows["part"].iloc[0]], "n_pages": [rows["n_pages"].sum()], "expression": [json.dumps(whole)]})
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), html_col).filter("host <> ''").mapInArrow(infer, KINDS)
+    return _aligned(_aligned(rows, f"pmod(xxhash64(expression), {BUCKETS})"), "0")
+
 
-    kinds = "host string, part int, n_pages long, expression string"
-    parts = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(infer, kinds)
-    return parts.groupBy("host", "part").applyInPandas(unite, kinds).groupBy("host").applyInPandas(unite, kinds).drop("part")
+class _Wrappers:
+    """Wrappers by host, made when they are met and forgotten when they are many."""
+
+    def __init__(self):
+        self.held, self.size = {}, 0
+
+    def text(self, html: str | None, host: str, row: tuple | None) -> str:
+        """row: expression, slots and number of pages."""
+        if self.size > HELD_BYTES:
+            self.held, self.size = {}, 0
+        if host not in self.held:
+            self.held[host] = (None if row is None else Wrapper(unpacked(row[0], np.frombuffer(row[1], np.int64)), row[2])), {}
+            # a part of an expression takes some hundred bytes
+            self.size += 20 * len(row[0]) if row else 100
+        wrapper, known = self.held[host]
+        n = len(known)
+        out = main_text(html, wrapper, known)
+        if len(known) > n:
+            self.size += 2 * len(next(reversed(known)))
+        return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: page_id, url, text. Null or empty html, and pages without an article, give empty text.
+    """One row per row of pages: page_id (as given), url, text. Null or empty html, and pages without an article, give empty text.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
     and reader comments are left out; character references are decoded, white
-    space within a block becomes one space. Other columns are not read.
+    space within a block becomes one space. Among marks the outermost wins; of
+    equal pages each counts. A page may be of any length and depth. A null or
+    repeated page_id, or a url without a host, is a row like any other; pages
+    without a host are read by themselves. Other columns are not read; an empty
+    table gives an empty result.
     """
     spark = pages.sparkSession
     ensure_checkpoint_dir(spark)
     held = wrappers(pages, url_col, html_col).checkpoint()
-    size = held.agg(F.sum(F.length("expression"))).first()[0] or 0
-    held = held.withColumnRenamed("host", "__host")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("__h", host_of(F.col("url")))
-    if size <= SMALL_BYTES:
-        joined = rows.join(F.broadcast(held), F.col("__h") == F.col("__host"), "left")
-    else:
-        salted = held.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, (F.col("__h") == F.col("__host")) & (F.col("__s") == F.col("__salt")), "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+    size, total = held.agg(F.sum(F.length("expression") + F.octet_length("slots")), F.sum("n_pages")).first()
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    kind = rows.schema["page_id"].dataType.simpleString()
+    result = f"page_id {kind}, url string, text string"
+
+    if (size or 0) <= SMALL_BYTES:
+        shared = spark.sparkContext.broadcast({r.host: (r.expression, bytes(r.slots), r.n_pages) for r in held.collect()})
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, every = _Wrappers(), shared.value
+            for batch in batches:
+                for part in chunks(batch, 3):
+                    texts = [known.text(html, host, every.get(host)) for host, html in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+        return rows.mapInArrow(read, result)
+
+    # pages follow their host's wrapper in a sort; fewer than SHARE hosts have over a share of all pages, and are dealt out
+    hot = held.filter(F.col("n_pages") * SHARE > total).select("host", F.expr(f"cast(n_pages * {SHARE} div {total} + 1 as int)").alias("parts"))
+    rows = rows.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1))))
+    first = held.join(F.broadcast(hot), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)))
+    # of pages without a host none has a wrapper, so they may stand anywhere
+    apart = F.when(F.col("host") == "", F.xxhash64("page_id", "html")).otherwise(F.col("part"))
+    none = F.lit(None)
+    both = rows.select("page_id", "url", "host", "html", apart.alias("part"), none.cast("string").alias("expression"), none.cast("binary").alias("slots"), none.cast("long").alias("n_pages"), F.lit(1).alias("after"))
+    both = both.unionByName(first.select(none.cast(kind).alias("page_id"), none.cast("string").alias("url"), "host", none.cast("string").alias("html"), "part", "expression", "slots", "n_pages", F.lit(0).alias("after")))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, row = _Wrappers(), None, None
         for batch in batches:
-            for part in chunks(batch, 2):
-                texts = []
-                for page, e, n, host in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                    if host not in known:
-                        if len(known) > MAX_HOSTS:
-                            known.clear()
-                        known[host] = decide(json.loads(e), n) if e else None
-                    texts.append(main_text(page, known[host]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return joined.select("page_id", "url", "html", "expression", "n_pages", "__h").mapInArrow(run, "page_id long, url string, text string")
+            for part in chunks(batch, 3):
+                texts, keep = [], []
+                for i, (host, html, e, slots, n, after) in enumerate(zip(*(part.column(k).to_pylist() for k in (2, 3, 5, 6, 7, 8)), strict=True)):
+                    if host != last:
+                        last, row = host, None
+                    if not after:
+                        row = e, slots, n
+                    else:
+                        keep.append(i)
+                        texts.append(known.text(html, host, row))
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return both.repartition("host", "part").sortWithinPartitions("host", "part", "after").mapInArrow(follow, result)
