@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -230,3 +231,32 @@ def test_decontamination_odd_rows(spark):
 
 def test_cut_leaves_the_rest_as_it_is():
     assert decontamination._cut("Keep É, DROP-this; end.", [(2, 4)]) == "Keep É, ; end."
+
+
+def test_lines_of_rows_that_repeat_ids(spark):
+    line = "a line that is long enough to count, of forty or more"
+    rows = [(1, line), (1, line + "\nx"), (2, line), (2, "y"), (2, line)]
+    two = line_dedup.line_dedup(docs(spark, rows)).collect()
+    assert len(two) == 5 and not any(x.n_dropped for x in two)
+    more = [*rows, (3, line), (4, line), (5, line), (5, "z\n" + line)]
+    found = sorted((x.doc_id, x.n_dropped, x.kept_text) for x in line_dedup.line_dedup(docs(spark, more)).collect())
+    want = [(1, 1, ""), (1, 1, "x"), (2, 0, "y"), (2, 1, ""), (2, 1, ""), (3, 1, ""), (4, 1, ""), (5, 0, line), (5, 0, "z\n" + line)]
+    assert found == want
+    null = [(None, line), (None, line + "\nw"), *((k, line) for k in range(4))]
+    assert sorted(x.n_dropped for x in line_dedup.line_dedup(docs(spark, null)).collect()) == [0, 1, 1, 1, 1, 1]
+
+
+def test_lines_of_long_documents(spark):
+    shared = [f"line {k:06d} that all of five documents hold, in order" for k in range(30_000)]
+    rows = [(i, "\n".join([f"own {i}", *shared, "end"])) for i in range(5)]
+    began = time.time()
+    found = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_text) for x in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert found == {i: (30_002, 0 if i == 4 else 30_000, rows[4][1] if i == 4 else f"own {i}\nend") for i in range(5)}
+    assert time.time() - began < 60
+
+
+def test_lines_with_salted_keys(spark):
+    r = random.Random(8)
+    rows = [(i, "\n".join([f"a very common line {k}" for k in range(3) if r.random() < 0.7] + [f"line number {r.randrange(400)} of some"])) for i in range(400)]
+    found = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_text) for x in line_dedup.line_dedup(docs(spark, rows), min_chars=12, min_docs=2, share=16).collect()}
+    assert found == brute_lines(rows, 12, 2)

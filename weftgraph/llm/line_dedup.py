@@ -1,7 +1,9 @@
 """Line deduplication over levelled sorted runs of line hashes (DataFrame operations only).
 
 A line's key is the line without white space at both ends and with A-Z lower
-cased; keys of at least `min_chars` code points count, by a 128-bit hash.
+cased; keys of at least `min_chars` code points count, by a 128-bit hash. One pass
+over the texts writes a row for each such line: document, position, hash.
+
 Documents come in batches by descending id. A batch is aggregated to a sorted
 run: key, number of documents, largest id. Each new batch is merged by an
 anti-join with the runs so far: keys in none of them are new, and since ids
@@ -12,9 +14,10 @@ into one of the next (counts add up, the one keeper stays). Compacted runs are
 checkpoints in the shared folder, so a lost executor costs no recomputation.
 
 After the last batch all runs are compacted; keys in at least `min_docs`
-documents meet the documents' lines in a join whose keys carry a salt, so a line
-that most documents hold spreads over tasks. Texts are shuffled once, by id, to
-meet the set of their dropped hashes.
+documents meet the lines in a join. The keys that have over one of `share` parts of
+all lines (so fewer than `share` keys) carry a salt there, as many as they have
+such parts. What meets is the positions to drop. Texts are shuffled once, split, to
+lose these positions; each step is linear in the number of lines.
 """
 
 from __future__ import annotations
@@ -28,25 +31,21 @@ from .common import ensure_checkpoint_dir
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCHES, FAN, SALTS = 4, 2, 32
+BATCHES, FAN, SHARE = 4, 2, 1024
 HASH = ["h1", "h2"]
 
 
-def line_key(line: Column) -> Column:
-    bare = F.btrim(line, F.lit(BLANK))
+def line_key(bare: Column) -> Column:
     # lower() changes letters beyond A-Z; a line of single-byte characters has none
     return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def _hash(line: Column) -> Column:
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
-
-
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id and the hash of each different key that counts, one row for each."""
-    long_ones = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANK))) >= min_chars)
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(long_ones, _hash))).alias("h")).select("doc_id", "h.h1", "h.h2")
+def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, mark, pos, and the hash of each line that counts; rows has doc_id, mark and text."""
+    each = rows.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    bare = each.select("doc_id", "mark", "pos", F.btrim("line", F.lit(BLANK)).alias("bare")).filter(F.length("bare") >= min_chars)
+    key = line_key(F.col("bare"))
+    return bare.select("doc_id", "mark", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
 def _compact(runs: list[DataFrame]) -> DataFrame:
@@ -54,14 +53,13 @@ def _compact(runs: list[DataFrame]) -> DataFrame:
     return both.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
 
 
-def common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
-    """h1, h2, n_docs, keep_id of the keys in at least min_docs documents; docs has doc_id and text."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [1 - (i + 1) / batches for i in range(batches - 1)], 1000)).first()[0] or []
+def common_lines(lines: DataFrame, min_docs: int = 5, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
+    """h1, h2, n_docs (different ids; null is one), keep_id of the keys in at least min_docs documents; lines has doc_id, h1, h2 and is a checkpoint."""
+    cuts = lines.agg(F.percentile_approx("doc_id", [1 - (i + 1) / batches for i in range(batches - 1)], 1000)).first()[0] or []
     batch = reduce(lambda n, cut: n + F.when(F.col("doc_id") >= cut, 0).otherwise(1), cuts, F.lit(0))
     runs = (
-        _lines(docs, min_chars)
+        lines.select("doc_id", *HASH)
+        .distinct()
         .withColumn("batch", F.coalesce(batch, F.lit(batches - 1)))
         .groupBy("batch", *HASH)
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_id"))
@@ -88,30 +86,39 @@ def common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batche
     return whole.filter(F.col("n_docs") >= min_docs)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES, fan: int = FAN, salts: int = SALTS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text: the texts without lines that other documents keep.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES, fan: int = FAN, share: int = SHARE) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text: the texts without lines that other documents keep; one row per row of docs.
 
     A key found in at least min_docs documents loses all its lines except in
     the document of the largest id holding it. Null or empty text is one empty
-    line. A row is a document; rows that repeat an id each count as documents,
-    and all of them keep the lines of which their id is the keeper. Rows with a
-    null id count, and keep a line only if no other document holds it.
-    Other columns are not read. An empty table gives an empty result.
+    line. Documents are told apart by id: rows that repeat an id are one document
+    when documents are counted, each loses its own lines, and all of them keep the
+    lines of which their id is the keeper. Rows with a null id are together one
+    document, which keeps a line only if no other holds it. A document may have any
+    number of lines. Other columns are not read. An empty table gives an empty
+    result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common = common_lines(rows, min_chars, min_docs, batches, fan)
-    salted = common.select(*HASH, "keep_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    held = _lines(rows, min_chars).withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(salts)).cast("int"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # rows of one id are told apart by their text; equal ones lose the same lines
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    lines = _lines(rows, min_chars).checkpoint()
+    common = common_lines(lines, min_docs, batches, fan).checkpoint()
+    total = common.agg(F.sum("n_docs")).first()[0] or 0
+    hot = common.filter(F.col("n_docs") * share > total).select(*HASH, (F.col("n_docs") * share / (total or 1)).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(0))
+    salted = common.join(F.broadcast(hot), HASH, "left").select(*HASH, "keep_id", F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
+    held = lines.join(F.broadcast(hot), HASH, "left").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id", "mark"), salts + 1).cast("int"))
     drops = (
         held.join(salted, [*HASH, "salt"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col("doc_id").alias("drop_id"))
-        .agg(F.collect_set(F.struct(*HASH)).alias("drops"))
-    )
-    joined = rows.join(drops, rows["doc_id"].eqNullSafe(drops["drop_id"]), "left")
-    split = F.split("text", "\n")
-    stays = lambda x: (F.length(F.btrim(x, F.lit(BLANK))) < min_chars) | ~F.array_contains(F.col("drops"), _hash(x))
-    kept = F.when(F.col("drops").isNull(), split).otherwise(F.filter(split, stays))
-    return joined.select("doc_id", F.size(split).cast("long").alias("n_lines"), kept.alias("kept")).select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")
+        .groupBy(F.col("doc_id").alias("drop_id"), F.col("mark").alias("drop_mark"))
+        .agg(F.collect_set("pos").alias("drops"))
     )
+    # split before the join: behind it, the array is a column and no expression that each look-up would evaluate again
+    split = rows.select("doc_id", "mark", F.split("text", "\n").alias("lines"))
+    joined = split.join(drops, split["doc_id"].eqNullSafe(drops["drop_id"]) & (split["mark"] == drops["drop_mark"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get(F.col("lines"), i)))
+    n_lines = F.size("lines").cast("long")
+    return joined.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
