@@ -219,6 +219,20 @@ def test_decontamination(spark, seed):
             assert x.dropped == (x.n_words > 0 and x.n_hit > 0.8 * x.n_words)
 
 
+def test_decontamination_in_passes(spark):
+    r = random.Random(11)
+    text = lambda n, k: " ".join(r.choice("abcdeé"[:k]) for _ in range(n))
+    items = [(i, text(r.randrange(0, 40), 5)) for i in range(25)] + [(3, text(9, 4)), (None, "a b"), (50, text(300, 3))]
+    rows = [(i, text(r.randrange(0, 60), 6)) for i in range(50)] + [(1, text(30, 4)), (None, text(40, 5)), (7, None), (8, "")]
+    df = docs(spark, rows).withColumn("_0", F.lit("kept"))
+    tables = [decontamination.decontaminate(df, docs(spark, items, "item_id long, text string"), window=5, keep=("_0",), pass_words=n).collect() for n in (20, 1_000_000)]
+    few, one = (sorted(map(str, t)) for t in tables)
+    assert few == one and {x._0 for x in tables[0]} == {"kept"}
+    want = sorted(str((i, *brute_hits(t, items, 5))) for i, t in rows)
+    assert sorted(str((x.doc_id, x.n_words, x.n_hit, list(x["items"]))) for x in tables[0]) == want
+    assert len(list(decontamination.passes(docs(spark, items, "item_id long, text string"), window=5, limit=20))) > 10
+
+
 def test_decontamination_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontamination.decontaminate(odd(spark), none, keep=("digest", "run")).collect()
@@ -233,6 +247,17 @@ def test_cut_leaves_the_rest_as_it_is():
     assert decontamination._cut("Keep É, DROP-this; end.", [(2, 4)]) == "Keep É, ; end."
 
 
+def test_names_and_ids_of_any_kind(spark):
+    rows = [("x", "same text here", 1, 2, 3, 4), ("y", "same text here", 5, 6, 7, 8), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "key string, `te.xt` string, __key int, __again int, __id int, `a.b` int")
+    for drop, left in ((exact_dedup.drop_exact_copies, "y"), (simhash.drop_near_duplicates, "x")):
+        kept = drop(df, "key", "te.xt")
+        assert kept.columns == df.columns
+        assert {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] in (left, None)}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df, "key", "`te.xt`").collect()} == {"x": "x", "y": "x", None: None}
+    assert {(r.doc_id, r.n_dropped) for r in line_dedup.line_dedup(df, "key", "`te.xt`", 4, 2).collect()} == {("x", 1), ("y", 0), (None, 0)}
+
+
 def test_lines_of_rows_that_repeat_ids(spark):
     line = "a line that is long enough to count, of forty or more"
     rows = [(1, line), (1, line + "\nx"), (2, line), (2, "y"), (2, line)]

@@ -96,6 +96,79 @@ def test_languages(spark, both):
     assert {x.lang_pred for x in language_id.identify_languages(d, one).collect()} == {"en", "und"}
 
 
+def test_many_languages(spark):
+    """Over 400 languages, each of one letter of its own, in one plan."""
+    rows = [(i, " ".join([chr(0x4E00 + i % 450) * 3] * 12), f"l{i % 450:03d}", "s", 47) for i in range(1800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language_id.fit_languages(d)
+    assert len(model.languages) == 450
+    found = {x.doc_id: x.lang_pred for x in language_id.identify_languages(d, model).collect()}
+    assert np.mean([found[i] == lang for i, _, lang, _, _ in rows]) > 0.95
+
+
+def test_long_texts_are_fitted(spark):
+    """A label that only texts of over 30 000 characters have."""
+    rows = [(i, ("ugly " if i % 2 else "fine ") * 8000, i % 2) for i in range(40)]
+    d, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    score = {x.doc_id: x.score for x in toxicity.score_toxicity(d, toxicity.fit_toxicity(d, labels)).collect()}
+    assert all((score[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
+def test_samples_do_not_depend_on_order(spark):
+    rows = [(i % 60, f"text {i}", i % 3) for i in range(180)]
+    d, marks = spark.createDataFrame(rows, "doc_id long, text string, y int"), spark.createDataFrame([(i % 60, i % 3) for i in range(180)], "doc_id long, y int")
+    first, again = (subwords.labelled(x, y, "y", {0: 7, 2: 9}, lambda i: i >= 5) for x, y in ((d, marks), (d.repartition(7), marks.repartition(3))))
+    assert first == again and 0 < len(first) <= 16
+    assert len(subwords.labelled(d, marks, "y", 4, lambda i: i >= 0)) <= 12
+
+
+def brute_toxicity(model, text):
+    """The greatest mean over a text's windows, each word from its own n-grams, one by one."""
+    every = toxicity.split(text or "")
+    words = [w for k, w in enumerate(every) if not k or every[k - 1] != w]
+    if not words:
+        return 1 / (1 + np.exp(-model.bias))
+
+    def value(w):
+        framed = b"<" + w + b">"
+        grams = [framed[i : i + n] for n in range(toxicity.LO, toxicity.HI + 1) for i in range(len(framed) - n + 1)]
+        at = [zlib.crc32(w) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - toxicity.LOG2)]
+        for g in grams:
+            h = 0
+            for b in g:
+                h = (h * 0x100000001B3 + b + 1) % (1 << 64)
+            at.append(((h ^ len(g)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.LOG2))
+        return np.mean([model.weights[k] for k in at])
+
+    values = [value(w) for w in words]
+    size = min(toxicity.WINDOW, len(values))
+    best = max(np.mean(values[k : k + size]) for k in range(len(values) - size + 1))
+    return 1 / (1 + np.exp(-np.clip(best + model.bias, -30, 30)))
+
+
+def test_toxicity_scores_equal_brute_force(both):
+    model = toxicity.fit_toxicity(*both)
+    r = random.Random(4)
+    texts = [prose(r, "fr", n) for n in (1, 2, 3, 4, 5, 9, 30)] + ["a a a idiot", "", None, "l'idiot é " * 5, "scum bag"]
+    table = subwords.WordTable(toxicity.split, model.rows)
+    assert np.allclose(model.scores(table, texts), [brute_toxicity(model, t) for t in texts])
+
+
+def test_language_scores_equal_brute_force(both):
+    model = language_id.fit_languages(both[0])
+    r = random.Random(4)
+    texts = [prose(r, lang, 20) for lang in SYLLABLES] + ["a", "x", "12 b"]
+    names, score, vague = model.predict(subwords.WordTable(language_id.split, model.rows), texts)
+    for t, name, s, v in zip(texts, names, score, vague, strict=True):
+        words = language_id.split(t)
+        rows = [model.weights[subwords.ngrams([w], language_id.LO, language_id.HI, language_id.LOG2)[0]].mean(0) for w in words]
+        margin = np.mean(rows, axis=0) + model.bias
+        loss = [sum(np.log(1 + np.exp(-b * m)) for b, m in zip(code, margin, strict=True)) for code in model.code]
+        order = np.argsort(loss, kind="stable")
+        assert name == model.languages[order[0]] and np.isclose(s, np.exp(-loss[order[0]]) / np.sum(np.exp(-np.array(loss))))
+        assert v == (loss[order[1]] - loss[order[0]] < language_id.GAP * model.code.shape[1])
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 6, 20, 100])
 def test_codewords_differ(k):
     code = language_id.codewords(k)

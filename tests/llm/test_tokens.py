@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -45,13 +46,28 @@ def test_like_the_public_library_on_any_text(coders, text):
     assert own.decode(ids, n) == [text.encode(), b"", text.encode()]
 
 
-def test_matrix_and_single_merges_agree(coders):
+def test_matrix_and_row_merges_agree(coders):
     own, _ = coders
     r = random.Random(2)
     pieces = ["".join(r.choice("thenadionés") for _ in range(r.randrange(2, 40))).encode() for _ in range(200)]
     for width in {len(p) for p in pieces}:
         same = [p for p in pieces if len(p) == width]
-        assert [x.tolist() for x in own._matrix(same, width + 3)] == [own._single(p).tolist() for p in same]
+        assert [x.tolist() for x in own._matrix(same, width + 3)] == [own._row(p).tolist() for p in same]
+
+
+def test_long_pieces_go_by_rows(coders, monkeypatch):
+    own, public = coders
+    assert own.regular
+    r = random.Random(7)
+    texts = ["a" * 40_000, "".join(r.choice("thenadionés") for _ in range(60_000)), "".join(r.choice("ab") for _ in range(9_001)), "é" * 3001, "=" * 100_001]
+    began = time.time()
+    for text in texts:
+        assert encode(own, text) == public.encode_ordinary(text)
+    assert time.time() - began < 30
+    # of a vocabulary that isn't regular, all pieces go through the matrix
+    fresh = bpe.Bpe(bpe.read_ranks(open(PATH, "rb").read()), public_tokenizers.PATTERN)
+    fresh.regular = False
+    assert encode(fresh, texts[2][:2500]) == public.encode_ordinary(texts[2][:2500])
 
 
 def test_forgetting_changes_nothing(coders, monkeypatch):
@@ -110,11 +126,27 @@ def test_longest_match(seed):
         token_counts.LongestMatch([b"a"])
 
 
+def test_long_words():
+    r = random.Random(1)
+    tokens = {bytes([b]) for b in range(256)} | {bytes(r.choice(b"abc") for _ in range(r.randrange(2, 7))) for _ in range(60)}
+    words = [bytes(r.choice(b"abcd") for _ in range(n)) for n in (100_000, 300_000, 40, 5)]
+    began = time.time()
+    assert token_counts.LongestMatch(sorted(tokens)).count(words).tolist() == [brute(w, tokens, 6) for w in words]
+    assert time.time() - began < 5
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("a-1", "one two"), (None, "x")], "key string, body string")
+    assert {r.doc_id: r.n_words for r in token_counts.count_tokens(df, PATH, "key", "body").collect()} == {"a-1": 2, None: 1}
+    assert {r.doc_id for r in bpe.encode(df, PATH, public_tokenizers.PATTERN, "key", "body").collect()} == {"a-1", None}
+
+
 def test_count_tokens(spark):
     with open(PATH, "rb") as f:
         tokens = set(bpe.read_ranks(f.read()))
     rows = [(1, "The quick\nbrown  fox"), (2, None), (3, ""), (None, "x " * 30_000), (3, "ünïcödé")]
     found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
-    want = sorted((str(i), len((t or "").split()), sum(brute(b" " + w, tokens, max(map(len, tokens))) for w in (t or "").encode().split())) for i, t in rows)
+    longest = max(map(len, tokens))
+    want = sorted((str(i), len((t or "").split()), sum(brute(b" " + w, tokens, longest) for w in (t or "").encode().split())) for i, t in rows)
     assert sorted((str(x.doc_id), x.n_words, x.n_tokens) for x in found) == want
     assert token_counts.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -8,16 +8,18 @@ are a token, the merged token replaces its left part, the columns behind move up
 by one (compaction), and only the two pairs beside it are looked up anew. Rows
 without a mergeable pair leave the matrix.
 
-Pieces of more than LONG bytes (a run of one character class without spaces) are
-merged one by one with a heap over a linked list, as rounds over a matrix would
-cost the square of their length; the result is the same.
+A piece of more than LONG bytes (a run of one character class without spaces) is a
+matrix of one row. Its rounds merge all pairs of the least rank that don't overlap,
+leftmost first: where each token's own bytes merge to this token (checked once), no
+merge makes a pair of its rank or a lesser one, since the bytes of such a pair would
+have merged before. So there are as many rounds as different ranks, not as merges.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocab, chunks, ragged
+from .common import VOCAB_CHARS, Vocab, chunks, ragged, type_of
 from .pairtable import PairTable
 
 NONE = 1 << 30
@@ -61,6 +63,15 @@ class Bpe:
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
 
+    @cached_property
+    def regular(self) -> bool:
+        """Does each token's own bytes merge to this token."""
+        buckets: dict[int, list[bytes]] = {}
+        for t in self.rank:
+            if len(t) > 1:
+                buckets.setdefault(len(t), []).append(t)
+        return all(len(x) == 1 for n, same in buckets.items() for x in self._matrix(same, n))
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = np.where((left < 0) | (right < 0), 0, left << 32 | right)
         return np.where((left < 0) | (right < 0), NONE, self.pairs.get(keys.ravel()).reshape(keys.shape))
@@ -96,34 +107,29 @@ class Bpe:
             ranks[after, best[after]] = self._ranks(ids[after, best[after]], ids[after, best[after] + 1])
         return out
 
-    def _single(self, piece: bytes) -> np.ndarray:
+    def _row(self, piece: bytes) -> np.ndarray:
         ids = self.byte[np.frombuffer(piece, np.uint8)]
         ranks = self._ranks(ids[:-1], ids[1:])
-        token, n = ids.tolist(), len(piece)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        pair = [*ranks.tolist(), NONE]
-        heap = [(r, i) for i, r in enumerate(pair) if r != NONE]
-        heapq.heapify(heap)
-
-        def look(i: int) -> None:
-            j = after[i]
-            pair[i] = int(self.pairs.get(np.array([token[i] << 32 | token[j]]))[0]) if j >= 0 else NONE
-            if pair[i] != NONE:
-                heapq.heappush(heap, (pair[i], i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if pair[i] != r or token[i] < 0:
-                continue
-            j = after[i]
-            token[i], token[j], pair[j] = r, -1, NONE
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
-        return np.array([t for t in token if t >= 0], np.int64)
+        while len(ranks):
+            rank = ranks.min()
+            if rank == NONE:
+                break
+            at = np.flatnonzero(ranks == rank)
+            # of a run of neighbouring pairs, every second one from the first
+            first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            at = at[nth % 2 == 0]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids[at] = rank
+            ids = ids[stays]
+            # the pair behind a merged one goes with its right part
+            ranks = np.append(ranks, NONE)[stays][: len(ids) - 1]
+            at = at - np.arange(len(at))
+            anew = np.unique(np.concatenate([at, at - 1]))
+            anew = anew[(anew >= 0) & (anew < len(ranks))]
+            ranks[anew] = self._ranks(ids[anew], ids[anew + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
@@ -133,8 +139,8 @@ class Bpe:
             whole = self.rank.get(p)
             if whole is not None:
                 out[i] = np.array([whole], np.int64)
-            elif len(p) > LONG:
-                out[i] = self._single(p)
+            elif len(p) > LONG and self.regular:
+                out[i] = self._row(p)
             else:
                 buckets.setdefault(len(p) if len(p) < 16 else -(-len(p) // 8) * 8, []).append(i)
         for width, at in buckets.items():
@@ -147,7 +153,7 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts together, and the number of ids of each."""
-        if len(self.vocab) > MAX_PIECES:
+        if self.vocab.full(MAX_PIECES, VOCAB_CHARS):
             self.forget()
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
@@ -188,12 +194,13 @@ def _bpe(key: tuple, tokens: list[bytes], pattern: str) -> Bpe:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode_back: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit), and with decode_back the bytes that these ids decode to.
+    """One row per row of docs: doc_id (as given, null too), n_tokens, ids (binary: little-endian unsigned 32-bit), and with decode_back the bytes that these ids decode to.
 
     vocabulary: a file of ranks, which the driver reads; executors get its
     tokens. Null and empty texts have no tokens. A pattern that leaves out
-    characters drops them, as the public library does. Other columns are not
-    read.
+    characters drops them, as the public library does. Texts and pieces of any length
+    are encoded whole; rows that repeat an id are encoded each. Other columns are not
+    read; an empty table gives an empty result.
     """
     with open(vocabulary, "rb") as f:
         tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(f.read()))
@@ -210,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                     columns["decoded"] = pa.array(bpe.decode(ids, n), pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode_back)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, n_tokens long, ids binary" + ", decoded binary" * decode_back)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -225,4 +232,4 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
             out = [bpe.decode(x, np.array([len(x)]))[0] for x in rows]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "decoded": pa.array(out, pa.binary())})
 
-    return encoded.select(F.col(id_col).cast("long"), ids_col).mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {type_of(encoded, id_col)}, decoded binary")

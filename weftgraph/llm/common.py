@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
 
 #: A worker takes texts in slices of about this many bytes, so its memory doesn't follow the Arrow batch.
 CHUNK_BYTES = 1_500_000
+#: Words or pieces that a worker keeps together have at most about so many characters.
+VOCAB_CHARS = 16_000_000
 #: So many ids are broadcast at most.
 MAX_BROADCAST = 1_000_000
 
@@ -27,6 +29,11 @@ def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % folds == fold, F.lit(False))
 
 
+def type_of(rows: DataFrame, column: str) -> str:
+    """The column's type, as a schema names it."""
+    return rows.select(F.col(column)).schema[0].dataType.simpleString()
+
+
 def chunks(batch: pa.RecordBatch, column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes of text in the column; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -47,21 +54,49 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Vocab(dict):
-    """Numbers its keys in order of first look-up."""
+    """Numbers its keys in order of first look-up; size: their length together."""
+
+    def __init__(self):
+        self.size = 0
 
     def __missing__(self, key):
         n = self[key] = len(self)
+        self.size += len(key)
         return n
 
+    def full(self, keys: int, size: int) -> bool:
+        return len(self) > keys or self.size > size
+
     def numbers(self, keys: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
+class Named:
+    """rows: a table under names of its own, so none can clash; back(): its columns under theirs again."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.rows = docs.toDF(*(f"_c{k}" for k in range(len(self.names))))
+
+    def at(self, name: str) -> str:
+        return f"_c{self.names.index(name)}"
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.rows.columns).toDF(*self.names)
+
+
 def sample_ids(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     """At most n ids, those of least hash: the same for any order or partitioning of the rows."""
     return rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
 
 
+def sample_by(marks: DataFrame, id_col: str, label_col: str, n: Column) -> DataFrame:
+    """At most n ids of each label, those of least hash; marks has each id once. Each task hands on no more than n of a label."""
+    order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
+    most = marks.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n)
+    return most.drop("__rank")
+
+
 def few_ids(ids: DataFrame) -> DataFrame:
     """ids, broadcast if they are few; ids must be a checkpoint, as they are counted."""
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids

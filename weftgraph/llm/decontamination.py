@@ -2,8 +2,7 @@
 
 Items and documents are normalised alike: A-Z in lower case, words of digits,
 letters a-z and characters beyond ASCII. The automaton is built over the word
-sequences of all items (a bounded test set; its size is checked) and holds every
-run of words that any item holds. A document's words stream through it, which
+sequences of all items and holds every run of words that any item holds. A document's words stream through it, which
 tracks the length of the longest run ending at each word that some item holds.
 Where that length reaches the window, the last `window` words are a window of
 the items of the state reached by suffix links; an item shorter than the window
@@ -11,25 +10,32 @@ counts as a whole. Hit words are those inside any occurrence.
 
 Words that no item holds reset the automaton, so only stretches of known words
 at least as long as the shortest window are streamed: others can't match.
+
+A test set of more than PASS_WORDS words is read in several passes, each with an
+automaton of some of the items: a pass hands on the hit spans of the documents that
+it hits, and the spans of all passes are united. So neither the driver nor a worker
+holds more than one automaton, whatever the number of items; an item longer than
+that is split into parts that overlap by a window less one word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, ensure_checkpoint_dir, type_of
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A-Z to a-z; bytes that no word holds to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Words of all items together; beyond it the automaton no longer fits a worker and items have to be split over several passes.
-MAX_ITEM_WORDS = 2_000_000
+#: Words of the items of one automaton, which takes about a kilobyte for each.
+PASS_WORDS = 200_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -143,17 +149,23 @@ class SuffixAutomaton:
         return spans, found
 
 
-def build_automaton(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> SuffixAutomaton:
-    """Reads the items to the driver: a test set is bounded, and more than MAX_ITEM_WORDS words raise an error."""
-    items, total = [], 0
-    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
+def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, limit: int = PASS_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items by ascending id, in lists of up to about limit words: (id as string, words). The driver holds one list, and reads one partition of items at a time."""
+    held: list[tuple[str, list[bytes]]] = []
+    total = 0
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull()).orderBy("id", "text")
+    for name, text in rows.toLocalIterator():
         ws = words(text)
-        total += len(ws)
-        if total > MAX_ITEM_WORDS:
-            raise ValueError(f"the items hold more than {MAX_ITEM_WORDS} words: split them over several passes")
-        if item is not None:
-            items.append((item, ws))
-    return SuffixAutomaton(sorted(items), window)
+        # parts of a long item hold each of its windows once
+        for at in range(0, max(1, len(ws) - window + 1), max(1, limit)):
+            part = ws[at : at + limit + window - 1]
+            if held and total + len(part) > limit + window - 1:
+                yield held
+                held, total = [], 0
+            held.append((name, part))
+            total += len(part)
+    if held:
+        yield held
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -167,37 +179,96 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, items (ids of items with occurring windows, ascending as strings), text without hit spans, dropped, and the columns named in keep.
+def _numbers(automaton: SuffixAutomaton, text: str | None) -> np.ndarray:
+    ws = words(text)
+    number = automaton.words.get
+    return np.fromiter((number(w, -1) for w in ws), np.int64, len(ws))
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(rows: DataFrame, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """__id, __mark, spans, items of the rows that items hit; rows has __id, __mark and __text."""
+    automaton = rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))
+    kind = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sa = automaton.value
+        for batch in batches:
+            for part in chunks(batch, 2):
+                at, ends, names = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    spans, found = sa.scan(_numbers(sa, text))
+                    if spans:
+                        at.append(i)
+                        ends.append([x for span in spans for x in span])
+                        names.append(sorted(sa.items[k] for k in found))
+                keep = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array(ends, kind), pa.array(names, pa.list_(pa.string()))], ["__id", "__mark", "spans", "items"])
+
+    return rows.select("__id", "__mark", "__text").mapInArrow(run, f"__id {type_of(rows, '__id')}, __mark long, spans array<long>, items array<string>")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.8, keep: tuple[str, ...] = (), pass_words: int = PASS_WORDS) -> DataFrame:
+    """One row per row of docs: doc_id (as given), n_words, n_hit, items (ids of items with occurring windows, ascending as strings), text without hit spans, dropped, and the columns named in keep (none of these six).
 
     A span is hit from one window on (the length limit); dropped: hit words are
     over max_coverage of all words, so the whole text goes (the coverage limit).
     Null text has no words and stays null. Items with a null id or no words
     never occur; items of one id are one item. Without items nothing is hit.
-    Other columns are not read.
+    Texts of any length are read whole; rows that repeat an id are read each.
+    Other columns are not read; an empty table gives an empty result.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, window=window))
+    aliases = [f"_{k}" for k in range(len(keep))]
+    mark = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("__id"), mark.alias("__mark"), F.col(text_col).alias("__text"), *(F.col(c).alias(a) for c, a in zip(keep, aliases, strict=True)))
+    lists = passes(benchmark, window=window, limit=pass_words)
+    first, second = next(lists, []), next(lists, None)
+    whole = None
+    if second is None:
+        whole = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(first, window))
+        found = rows.withColumns({"__spans": F.lit(None).cast("array<array<long>>"), "__items": F.lit(None).cast("array<array<string>>")})
+    else:
+        ensure_checkpoint_dir(docs.sparkSession)
+        hits = None
+        for items in chain([first, second], lists):
+            own = _hits(rows, items, window).checkpoint()
+            hits = own if hits is None else hits.unionByName(own)
+        # a row's key holds its text's hash, so rows that repeat an id meet the hits of their text
+        hits = hits.distinct().groupBy(F.col("__id").alias("__i"), F.col("__mark").alias("__m")).agg(F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items"))
+        found = rows.join(hits, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left")
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_())
-    names = ["doc_id", "n_words", "n_hit", "items", "text", "dropped", *(f"_{k}" for k in range(len(keep)))]
+    names = ["doc_id", "n_words", "n_hit", "items", "text", "dropped", *aliases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sa = automaton.value
-        number = sa.words.get
+        sa = whole.value if whole is not None else None
         for batch in batches:
             for part in chunks(batch):
                 out: list[list] = [[], [], [], [], []]
-                for text in part.column(1).to_pylist():
-                    ws = words(text)
-                    numbers = np.fromiter((number(w, -1) for w in ws), np.int64, len(ws))
-                    spans, found = sa.scan(numbers)
-                    hit = sum(y - x for x, y in spans)
-                    drop = hit > max_coverage * len(ws) if ws else False
-                    for column, value in zip(out, (len(ws), hit, sorted(sa.items[i] for i in found), _cut(text, spans) if spans else text, drop), strict=True):
+                for text, own, named in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    if sa is not None:
+                        numbers = _numbers(sa, text)
+                        n = len(numbers)
+                        spans, at = sa.scan(numbers)
+                        items = sorted(sa.items[k] for k in at)
+                    else:
+                        n = len(words(text))
+                        spans = _united([(x[k], x[k + 1]) for x in own or () for k in range(0, len(x), 2)])
+                        items = sorted({i for x in named or () for i in x})
+                    hit = sum(b - a for a, b in spans)
+                    drop = hit > max_coverage * n if n else False
+                    for column, value in zip(out, (n, hit, items, _cut(text, spans) if spans else text, drop), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out, kinds), *part.columns[2:]], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out, kinds), *part.columns[4:]], names)
 
-    more = "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    kept = [F.col(c).alias(f"_{k}") for k, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *kept)
-    found = rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, text string, dropped boolean" + more)
-    return found.withColumnsRenamed({f"_{k}": c for k, c in enumerate(keep)}) if keep else found
+    more = "".join(f", {a} {docs.select(F.col(c)).schema[0].dataType.simpleString()}" for a, c in zip(aliases, keep, strict=True))
+    result = found.select("__id", "__text", "__spans", "__items", *aliases).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, n_words long, n_hit long, items array<string>, text string, dropped boolean" + more)
+    return result.withColumnsRenamed(dict(zip(aliases, keep, strict=True))) if keep else result

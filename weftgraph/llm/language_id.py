@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import chunks, held_out, type_of
 from .subwords import Adagrad, WordTable, labelled, means, ngrams, scatter
 
 LOG2, LO, HI = 15, 1, 4
-#: Bound of the sample to fit on, by language, and of the number of languages.
-PER_LANGUAGE, MAX_LANGUAGES = 300, 400
+#: Bounds of the sample to fit on: documents of a language, and of all languages together (one of each at least).
+PER_LANGUAGE, SAMPLE = 300, 20_000
 FOLDS, FOLD = 4, 2
 UNKNOWN = "und"
 #: Gap of loss a bit under which a decision is ambiguous.
@@ -45,15 +45,26 @@ def codewords(k: int, seed: int = 3) -> np.ndarray:
         bits = max(1, 2 ** (k - 1) - 1)
         return np.array([[1 if c == 0 else 1 - 2 * ((b + 1) >> (c - 1) & 1) for b in range(bits)] for c in range(k)])
     bits, rng, best, most = math.ceil(10 * math.log2(k)), np.random.default_rng(seed), None, -1.0
-    for _ in range(50):
+    # of many languages fewer codes are tried, as comparing codewords costs the square of their number
+    for _ in range(max(1, min(50, 10**7 // k**2))):
         code = rng.choice([-1, 1], (k, bits))
-        rows, columns = code @ code.T, np.abs(code.T @ code)
-        np.fill_diagonal(rows, -bits)
+        columns = np.abs(code.T @ code)
         np.fill_diagonal(columns, 0)
-        far = (bits - rows.max()) / 2 + (k - columns.max()) / (2 * k)
+        far = (bits - _nearest(code)) / 2 + (k - columns.max()) / (2 * k)
         if abs(code.sum(0)).max() < k and far > most:
             best, most = code, far
-    return best
+    return code if best is None else best
+
+
+def _nearest(code: np.ndarray, step: int = 512) -> int:
+    """The greatest product of two codewords."""
+    most = -code.shape[1]
+    floats = code.astype(np.float32)
+    for a in range(0, len(code), step):
+        rows = floats[a : a + step] @ floats.T
+        rows[np.arange(len(rows)), a + np.arange(len(rows))] = most
+        most = max(most, int(rows.max()))
+    return most
 
 
 @dataclass
@@ -74,7 +85,9 @@ class LanguageModel:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         number, ends = table.numbers(texts)
         margin = means(table.held, number, np.diff(ends)) + self.bias
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2)
+        # a bit's loss is that of either sign, so no array of documents by languages by bits is needed
+        plus, minus = np.logaddexp(0, -margin), np.logaddexp(0, margin)
+        loss = plus @ (self.code == 1).T + minus @ (self.code == -1).T
         order = np.argsort(loss, axis=1, kind="stable")
         least = np.take_along_axis(loss, order[:, :1], 1)
         score = 1 / np.exp(least - loss).sum(1)
@@ -109,24 +122,23 @@ def fit_texts(texts: list[str], languages: list[str], epochs: int = 20) -> Langu
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fits on at most per_language documents of each language, of those not held out; null languages, ids and texts aren't used.
+    """Fits on at most per_language documents of each language and about SAMPLE of all, of those not held out, whole texts.
 
-    More than MAX_LANGUAGES languages raise an error. Without any, every document is `und`.
+    Null languages, ids and texts aren't used. Without any, every document is `und`.
+    The model has a codeword for each language, of any number of them.
     """
-    names = [r[0] for r in docs.filter(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not names:
-        return fit_texts([], [])
-    marks = docs.select(F.col(id_col), F.col(lang_col).alias("lang__"))
-    rows = labelled(docs, marks, "lang__", dict.fromkeys(sorted(names), per_language), ~held_out(id_col, FOLDS, FOLD), id_col, text_col)
+    some = docs.filter(F.col(lang_col).isNotNull())
+    names = some.select(F.count_distinct(lang_col)).first()[0]
+    rows = labelled(docs, some, lang_col, min(per_language, max(1, SAMPLE // max(1, names))), lambda i: ~held_out(i, FOLDS, FOLD), id_col, text_col)
     return fit_texts([r[0] for r in rows], [r[1] for r in rows])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, lang_pred, score, ambiguous, and the columns named in keep (none of these four).
+    """One row per row of docs: doc_id (as given, null too), lang_pred, score, ambiguous, and the columns named in keep (none of these four).
 
-    lang_pred is `und`, with score 0, if a text is null or has no letter.
+    lang_pred is `und`, with score 0, if a text is null or has no letter. Of languages
+    of equal loss the first by name wins. Texts of any length are read whole. Rows that
+    repeat an id are predicted each. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     aliases = [f"_{k}" for k in range(len(keep))]
@@ -141,6 +153,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(vague), *(part.column(k) for k in at)], ["doc_id", "lang_pred", "score", "ambiguous", *aliases])
 
     kinds = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(aliases, keep, strict=True))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(others)))
-    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean" + kinds)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(others)))
+    out = rows.mapInArrow(run, f"doc_id {type_of(docs, id_col)}, lang_pred string, score double, ambiguous boolean" + kinds)
     return out.withColumnsRenamed(dict(zip(aliases, keep, strict=True))) if keep else out

@@ -27,11 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import ensure_checkpoint_dir, sample_ids
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCHES, FAN, SHARE = 4, 2, 1024
+CUT_SAMPLE = 1000
 HASH = ["h1", "h2"]
 
 
@@ -55,7 +56,9 @@ def _compact(runs: list[DataFrame]) -> DataFrame:
 
 def common_lines(lines: DataFrame, min_docs: int = 5, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
     """h1, h2, n_docs (different ids; null is one), keep_id of the keys in at least min_docs documents; lines has doc_id, h1, h2 and is a checkpoint."""
-    cuts = lines.agg(F.percentile_approx("doc_id", [1 - (i + 1) / batches for i in range(batches - 1)], 1000)).first()[0] or []
+    # cuts only shape the batches: at quantiles of a sample of ids, of any type that sorts
+    some = [r[0] for r in sample_ids(lines.filter(F.col("doc_id").isNotNull()), "doc_id", CUT_SAMPLE).orderBy(F.desc("doc_id")).collect()]
+    cuts = [some[len(some) * (i + 1) // batches] for i in range(batches - 1)] if some else []
     batch = reduce(lambda n, cut: n + F.when(F.col("doc_id") >= cut, 0).otherwise(1), cuts, F.lit(0))
     runs = (
         lines.select("doc_id", *HASH)

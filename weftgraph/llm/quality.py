@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import chunks, held_out, type_of
 from .subwords import Adagrad, WordTable, labelled
 
 LOG2, RANK = 15, 4
@@ -42,7 +42,7 @@ def shape(word: bytes) -> bytes:
     for b in out[1:]:
         if b != short[-1]:
             short.append(b)
-    return bytes(short[:16])
+    return bytes(short)
 
 
 def word_rows(words: list[bytes]) -> np.ndarray:
@@ -154,13 +154,18 @@ def fit_texts(texts: list[str], stated: list[int | None], labels: list[int], epo
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", sample: dict | None = None) -> QualityModel:
-    """Fits on a sample, bounded by label, of the rows that aren't held out; rows with a null label, id or text aren't used."""
-    rows = labelled(docs, labels, label, sample or SAMPLE, ~held_out(id_col, FOLDS, FOLD), id_col, text_col, (chars_col,))
+    """Fits on a sample, bounded by label, of the rows that aren't held out, whole texts; rows with a null label, id or text aren't used."""
+    rows = labelled(docs, labels, label, sample or SAMPLE, lambda i: ~held_out(i, FOLDS, FOLD), id_col, text_col, (chars_col,))
     return fit_texts([r[0] for r in rows], [r[2] for r in rows], [int(r[1]) for r in rows])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """One row per row of docs: doc_id, score (0 to 1). Null text counts as empty; a null stated length is unknown. Other columns are not read."""
+    """One row per row of docs: doc_id (as given, null too), score (0 to 1).
+
+    Null text counts as empty; a null stated length is unknown. Texts of any length
+    are scored whole. Rows that repeat an id are scored each. Other columns are not
+    read; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,4 +175,4 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
                 scores = shared.value.scores(table, part.column(1).to_pylist(), part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col, F.col(chars_col).cast("long")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(chars_col).cast("long").alias("chars")).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, score double")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, ensure_checkpoint_dir, few_ids
+from .common import Named, chunks, ensure_checkpoint_dir, few_ids, type_of
 
 BUCKET = 32
 #: Fingerprints that differ in at most so many bits link; the keys and the centres are made for this number.
@@ -160,7 +160,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 prints = fingerprints(part.column(1).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, fp long")
 
 
 def _keys(prints: DataFrame) -> DataFrame:
@@ -189,12 +189,12 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (the least node reachable) of edges a, b of longs; nodes without an edge don't appear."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node reachable) of edges a, b; nodes without an edge don't appear. Rounds go on until nothing changes."""
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # large-star: larger neighbours meet the least of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -207,8 +207,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -237,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns; rows with a null id stay only in components without ids."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
+    named = Named(docs)
+    found = near_duplicates(named.rows, named.at(id_col), named.at(text_col), shingle)
     # those that go are few, so texts needn't be dealt out
     gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select("__id").checkpoint()
-    return docs.join(few_ids(gone), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    return named.back(named.rows.join(few_ids(gone), F.col(named.at(id_col)).eqNullSafe(F.col("__id")), "left_anti"))

@@ -8,17 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocab, sample_ids
+from .common import VOCAB_CHARS, Vocab, sample_by
 
-#: Texts longer than this aren't used to fit (they are scored in full like all others).
-MAX_FIT_CHARS = 30_000
 MAX_WORDS = 200_000
+#: Characters of texts whose words are numbered at a time.
+SLICE = 2_000_000
 #: n-grams that are in memory as vectors at a time.
 BLOCK = 400_000
 
 
 class Words:
-    """Splits texts and numbers the different words; forgets them all when there are over MAX_WORDS."""
+    """Splits texts and numbers the different words, to be forgotten when they are over MAX_WORDS or VOCAB_CHARS."""
 
     def __init__(self, split):
         self.split, self.vocab = split, Vocab()
@@ -26,18 +26,23 @@ class Words:
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The word numbers of all texts together; where each text's words end, after a first 0."""
         words: list[bytes] = []
+        parts, before, size = [], 0, 0
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts, 1):
             if t:
                 words += self.split(t)
-            ends[i] = len(words)
-        return self.vocab.numbers(words), ends
+                size += len(t)
+            ends[i] = before + len(words)
+            if size > SLICE:
+                parts.append(self.vocab.numbers(words))
+                words, before, size = [], before + len(words), 0
+        return np.concatenate([*parts, self.vocab.numbers(words)]), ends
 
     def since(self, n: int) -> list[bytes]:
         return list(self.vocab)[n:]
 
     def full(self) -> bool:
-        return len(self.vocab) > MAX_WORDS
+        return self.vocab.full(MAX_WORDS, VOCAB_CHARS)
 
 
 class WordTable:
@@ -128,18 +133,24 @@ class Adagrad:
         value -= self.rate * grad / np.sqrt(held + 1e-12)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: dict, fit_rows, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> list[tuple]:
-    """(text, label, *more) of at most per_label[x] documents of each label x, those of least hash of the id, by ascending id.
+def labelled(docs: DataFrame, marks: DataFrame, label: str, per_label: dict | int, fit_rows, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> list[tuple]:
+    """(text, label, *more) of documents whose id has a label in marks by ascending id.
 
-    fit_rows: which ids may be used. Only ids are sampled before the join, so the
-    broadcast side has at most sum(per_label) rows; texts over MAX_FIT_CHARS are
-    left out of the sample.
+    per_label: how many documents of each label at most, those of least hash of the
+    id; labels that a dict lacks aren't used. This bounds the rows that reach the
+    driver, whatever their length. fit_rows: which ids may be used. Of an id with
+    several labels the greatest counts; of one with several texts that of least hash.
     """
-    marks = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).filter(fit_rows).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__label"))
-    parts = [sample_ids(marks.filter(F.col("__label") == x), "__id", n).withColumn("__label", F.lit(x)) for x, n in per_label.items()]
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.unionByName(p)
-    rows = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= MAX_FIT_CHARS)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *more)
-    found = rows.join(F.broadcast(ids), "__id").dropDuplicates(["__id"]).select("__id", "__text", "__label", *more).collect()
-    return [tuple(r)[1:] for r in sorted(found, key=lambda r: r[0])]
+    known = marks.select(F.col(id_col).alias("__id"), F.col(label).alias("__label")).filter(F.col("__label").isNotNull() & F.col("__id").isNotNull() & fit_rows(F.col("__id")))
+    known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
+    if isinstance(per_label, dict):
+        known = known.filter(F.col("__label").isin(list(per_label)))
+        n = F.create_map(*(F.lit(x) for pair in per_label.items() for x in pair))[F.col("__label")]
+    else:
+        n = F.lit(per_label)
+    # at most the sum of per_label rows
+    ids = F.broadcast(sample_by(known, "__id", "__label", n))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(more)))
+    row = F.struct(F.xxhash64("__text"), "__text", "__label", *(f"__{k}" for k in range(len(more))))
+    found = rows.join(ids, "__id").groupBy("__id").agg(F.min(row).alias("row")).collect()
+    return [tuple(r.row)[1:] for r in sorted(found, key=lambda r: r[0])]

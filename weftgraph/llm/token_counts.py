@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import Vocab, chunks
+from .common import VOCAB_CHARS, Vocab, chunks, type_of
 from .pairtable import PairTable
 
 MAX_WORDS = 200_000
 CELLS = 4_000_000
+#: Fewer words than this go on byte by byte.
+FEW = 24
 
 
 class LongestMatch:
@@ -63,6 +65,8 @@ class LongestMatch:
                     fail[v], pops[v] = child[z][b], n
             level = below
         self.fail, self.pops = np.array(fail), np.array(pops)
+        self.steps: dict[int, int] | None = None  # the edges again, made by a worker that needs them
+        self.links: tuple[list[int], list[int]] = [], []
         edges = [(u << 8 | b, v) for u, to in enumerate(child) for b, v in to.items()]
         self.edges = PairTable(np.array([k for k, _ in edges], np.int64), np.array([v for _, v in edges], np.int64), -1)
 
@@ -75,6 +79,10 @@ class LongestMatch:
         state, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for j in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-longest, -j, side="left"))
+            if live < FEW:
+                for k in range(live):
+                    self._go_on(state, count, k, flat[start[k] + j : start[k] + longest[k]].tolist())
+                break
             byte = flat[start[:live] + j]
             to = self.edges.get(state[:live] << 8 | byte)
             left = np.flatnonzero(to < 0)
@@ -93,6 +101,23 @@ class LongestMatch:
         out[order] = count
         return out
 
+    def _go_on(self, state: np.ndarray, count: np.ndarray, k: int, rest: list[int]) -> None:
+        """The walk of one word's other bytes, byte by byte: few long words aren't worth a column each."""
+        if self.steps is None:
+            held = self.edges.keys >= 0
+            self.steps = dict(zip(self.edges.keys[held].tolist(), self.edges.values[held].tolist(), strict=True))
+            self.links = self.fail.tolist(), self.pops.tolist()
+        steps, (fail, pops) = self.steps, self.links
+        at, n = int(state[k]), int(count[k])
+        for b in rest:
+            to = steps.get(at << 8 | b)
+            while to is None:
+                n += pops[at]
+                at = fail[at]
+                to = steps.get(at << 8 | b)
+            at = to
+        state[k], count[k] = at, n
+
     def count(self, words: list[bytes]) -> np.ndarray:
         """Number of greedy longest-match tokens of each word."""
         out, at, size = [], 0, 0
@@ -105,7 +130,12 @@ class LongestMatch:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_tokens. Null and empty texts have none. Other columns are not read."""
+    """One row per row of docs: doc_id (as given, null too), n_words, n_tokens.
+
+    Null and empty texts have none. Texts and words of any length are read whole.
+    Rows that repeat an id are counted each. Other columns are not read; an empty
+    table gives an empty result.
+    """
     with open(vocabulary, "rb") as f:
         automaton = docs.sparkSession.sparkContext.broadcast(LongestMatch(read_ranks(f.read())))
 
@@ -113,7 +143,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         match, vocab, counts = automaton.value, Vocab(), np.zeros(0, np.int64)
         for batch in batches:
             for part in chunks(batch):
-                if len(vocab) > MAX_WORDS:
+                if vocab.full(MAX_WORDS, VOCAB_CHARS):
                     vocab, counts = Vocab(), np.zeros(0, np.int64)
                 words: list[bytes] = []
                 ends = np.zeros(part.num_rows + 1, np.int64)
@@ -127,4 +157,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 total = np.concatenate([[0], np.cumsum(counts[number])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.array(np.diff(total[ends]))], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, n_words long, n_tokens long")

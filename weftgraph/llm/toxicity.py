@@ -3,7 +3,7 @@
 A word is the mean of the embeddings of its hashed byte n-grams and of itself, so
 an unseen misspelling shares vectors with the word it comes from. A window is
 the mean of its words, a linear softmax scores it. A document is scored by its
-most toxic window: a few toxic words in a long text aren't averaged away. Fitting
+most toxic window of neighbouring words, which slides by one: a few toxic words in a long text aren't averaged away. Fitting
 begins with means of whole documents, then takes each document's most toxic
 window at that point, for either label (multiple-instance learning).
 
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import chunks, held_out, type_of
 from .subwords import Adagrad, WordTable, labelled, means, ngrams, scatter
 
-WINDOW = 4
+WINDOW = 2
 LOG2, DIM, LO, HI = 16, 8, 3, 5
 #: Bound of the sample to fit on, by label.
 SAMPLE = {1: 1000, 0: 2000}
@@ -37,11 +37,22 @@ def split(text: str) -> list[bytes]:
 
 
 def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows of WINDOW words, the last of a text being WINDOW to 2 WINDOW - 1 words if the text has as many, and the number of windows of each text."""
+    """Starts of all windows of WINDOW neighbouring words, or of all words of a text that has fewer, and the number of windows of each text."""
     n = np.diff(ends)
-    count = np.where(n > 0, np.maximum(n // WINDOW, 1), 0)
+    count = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
     first = np.cumsum(count) - count
-    return np.repeat(ends[:-1], count) + WINDOW * (np.arange(int(count.sum())) - np.repeat(first, count)), count
+    return np.repeat(ends[:-1], count) + np.arange(int(count.sum())) - np.repeat(first, count), count
+
+
+def sizes(ends: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Words of each window."""
+    return np.repeat(np.minimum(np.diff(ends), WINDOW), count)
+
+
+def totals(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of values over windows, of WINDOW terms at most each."""
+    held = np.append(values, np.zeros(WINDOW))
+    return sum((np.where(k < size, held[starts + k], 0) for k in range(1, WINDOW)), held[starts])
 
 
 def once(number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +78,13 @@ class ToxicityModel:
         top = np.full(len(texts), self.bias)
         starts, count = windows(ends)
         if len(starts):
-            size = np.diff(np.append(starts, ends[-1]))
-            logit = np.add.reduceat(per_word, starts) / size + self.bias
+            size = sizes(ends, count)
+            logit = totals(per_word, starts, size) / size + self.bias
             top[count > 0] = np.maximum.reduceat(logit, (np.cumsum(count) - count)[count > 0])
         return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
 
 
-def fit_texts(texts: list[str], labels: list[int], epochs: tuple[int, int] = (6, 60), seed: int = 7) -> ToxicityModel:
+def fit_texts(texts: list[str], labels: list[int], epochs: tuple[int, int] = (6, 20), seed: int = 7) -> ToxicityModel:
     """Without examples of both labels the model gives the label it saw, or 0, to all."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
@@ -112,10 +123,10 @@ def fit_texts(texts: list[str], labels: list[int], epochs: tuple[int, int] = (6,
     whole = np.diff(ends)
     for _ in range(epochs[0]):
         step(number, whole[some], some)
-    size = np.diff(np.append(starts, ends[-1]))
+    size = sizes(ends, count)
     for _ in range(epochs[1]):
         v = means(embed @ (soft[:, 1] - soft[:, 0]), at, n)
-        logit = np.add.reduceat(v[number], starts) / size
+        logit = totals(v[number], starts, size) / size
         best = _argmax(logit, top, len(starts))
         n_best = size[best]
         tokens = number[np.repeat(starts[best] - (np.cumsum(n_best) - n_best), n_best) + np.arange(int(n_best.sum()))]
@@ -131,13 +142,18 @@ def _argmax(values: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: dict | None = None) -> ToxicityModel:
-    """Fits on a sample, bounded by label, of the rows that aren't held out; rows with a null label, id or text aren't used."""
-    rows = labelled(docs, labels, label, sample or SAMPLE, ~held_out(id_col, FOLDS, FOLD), id_col, text_col)
+    """Fits on a sample, bounded by label, of the rows that aren't held out, whole texts; rows with a null label, id or text aren't used."""
+    rows = labelled(docs, labels, label, sample or SAMPLE, lambda i: ~held_out(i, FOLDS, FOLD), id_col, text_col)
     return fit_texts([r[0] for r in rows], [int(r[1]) for r in rows])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score (0 to 1). A text without words has the score of the bias. Other columns are not read."""
+    """One row per row of docs: doc_id (as given, null too), score (0 to 1).
+
+    A text without words, null or empty, has the score of the bias. Texts of any
+    length are scored whole. Rows that repeat an id are scored each. Other columns
+    are not read; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,4 +163,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 scores = shared.value.scores(table, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, score double")
