@@ -41,7 +41,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("tk"))
     pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_partkey").alias("sk"), "tk").agg(F.min("l_orderkey").cast("int").alias("source_line"))
     ids = symbols(spark, sf_dir).select("k", "id")
@@ -126,7 +126,7 @@ edges AS (
   FROM (
     SELECT a.l_partkey AS sk, b.l_partkey AS tk, CAST(min(a.l_orderkey) AS INTEGER) AS source_line
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE a.l_orderkey % 20 = 0 GROUP BY 1, 2) p
+    GROUP BY 1, 2) p
   JOIN symbols s ON s.k = sk JOIN symbols t ON t.k = tk),
 root AS (
   SELECT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)"""

@@ -558,12 +558,13 @@ def _orders(spark: SparkSession, d: str, old: bool) -> DataFrame:
     o = fx.table(spark, d, "orders")
     kind = F.element_at(F.array(F.lit("public"), F.lit("protected"), F.lit("private")), ((F.col("o_orderkey") + (0 if old else F.col("o_custkey"))) % 3 + 1).cast("int"))
     shown = kind if old else F.when(F.col("o_custkey") % 10 != 0, kind)
-    return o.filter(F.col("o_orderkey") % (5 if old else 7) != 0).select(F.col("o_orderkey").alias("symbol"), (F.col("o_orderstatus") if old else F.substring("o_orderpriority", 1, 1)).alias("return_type"), shown.alias("visibility"))
+    # low priority was given up, urgent is new
+    return o.filter(F.col("o_orderpriority") != ("1-URGENT" if old else "5-LOW")).select(F.col("o_orderkey").alias("symbol"), (F.col("o_orderstatus") if old else F.substring("o_orderpriority", 1, 1)).alias("return_type"), shown.alias("visibility"))
 
 
 ORDERS = """
-o1 AS (SELECT o_orderkey AS symbol, o_orderstatus AS r, ['public', 'protected', 'private'][o_orderkey % 3 + 1] AS v FROM orders WHERE o_orderkey % 5 <> 0),
-o2 AS (SELECT o_orderkey AS symbol, substr(o_orderpriority, 1, 1) AS r, CASE WHEN o_custkey % 10 <> 0 THEN ['public', 'protected', 'private'][(o_orderkey + o_custkey) % 3 + 1] END AS v FROM orders WHERE o_orderkey % 7 <> 0),
+o1 AS (SELECT o_orderkey AS symbol, o_orderstatus AS r, ['public', 'protected', 'private'][o_orderkey % 3 + 1] AS v FROM orders WHERE o_orderpriority <> '1-URGENT'),
+o2 AS (SELECT o_orderkey AS symbol, substr(o_orderpriority, 1, 1) AS r, CASE WHEN o_custkey % 10 <> 0 THEN ['public', 'protected', 'private'][(o_orderkey + o_custkey) % 3 + 1] END AS v FROM orders WHERE o_orderpriority <> '5-LOW'),
 lv(v, n) AS (VALUES ('public', 3), ('protected', 2), ('private', 1))"""
 
 
@@ -836,9 +837,9 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
     return symbols.file_symbols(symbols.analyse_files(texts)).select("id", "category", "line", "is_exported")
 
 
-@query("b1_signatures", "WITH" + fx.PARAMS + " SELECT concat('s', symbol) AS symbol, concat('p', name) AS name, type, is_optional FROM olds WHERE symbol % 10 = 0")
+@query("b1_signatures", "WITH" + fx.PARAMS + " SELECT concat('s', symbol) AS symbol, concat('p', name) AS name, type, is_optional FROM olds")
 def b1(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.params(spark, d, True).filter("symbol % 10 = 0")
+    p = fx.params(spark, d, True)
     param = F.concat(F.lit("p"), "name", F.when(F.col("is_optional"), "?: ").otherwise(": "), "type")
     per = p.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(param)), ", ").alias("list"))
     line = F.concat(F.lit("export function s"), F.col("symbol").cast("string"), F.lit("("), "list", F.lit("): void {}"))
