@@ -205,10 +205,11 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
     return traverse.trace(_pairs(_edges(spark, d)), fx.root(spark, d).select(F.col("id").alias("node")), 4)
 
 
-@query("g20_merge", "WITH" + fx.DEPS + " SELECT source, target FROM deps WHERE line % 2 = 0 UNION SELECT source, target FROM deps WHERE line % 3 = 0")
+@query("g20_merge", "WITH" + fx.EDGES + " SELECT DISTINCT source_id AS source, target_id AS target FROM edges")
 def g20(spark: SparkSession, d: str) -> DataFrame:
-    dep = fx.deps(spark, d)
-    return views.merge_edges(dep.filter("line % 2 = 0").select("source", "target"), dep.filter("line % 3 = 0").select("source", "target"))
+    e = _edges(spark, d)
+    old, new = (e.filter(c).select(F.col("source_id").alias("source"), F.col("target_id").alias("target")) for c in ("type_relation <> 'USES'", "type_relation <> 'CALLS'"))
+    return views.merge_edges(old, new)
 
 
 @query("g22_filter", "WITH" + fx.DEPS + ", f AS (SELECT DISTINCT source_path AS path FROM edges JOIN root ON target_id = id UNION SELECT s.path FROM symbols s JOIN root USING (id)) SELECT source, target FROM deps WHERE source IN (SELECT path FROM f) AND target IN (SELECT path FROM f)")
@@ -309,8 +310,8 @@ def _changed(s: DataFrame) -> DataFrame:
     "e5_upsert",
     "WITH" + fx.EDGES + f""",
 old AS (SELECT * FROM symbols WHERE {CHANGED}),
-fresh AS (SELECT * FROM old WHERE k % 5 <> 0),
-added AS (SELECT source_id, target_id, type_relation FROM edges WHERE source_id IN (SELECT id FROM fresh) AND source_line % 2 = 0)
+fresh AS (SELECT * FROM old WHERE type <> 'variable'),
+added AS (SELECT source_id, target_id, type_relation FROM edges WHERE source_id IN (SELECT id FROM fresh) AND type_relation = 'CALLS')
 SELECT source_id, target_id, type_relation FROM edges WHERE source_id NOT IN (SELECT id FROM old)
   AND target_id NOT IN (SELECT id FROM old WHERE id NOT IN (SELECT id FROM fresh))
 UNION SELECT source_id, target_id, type_relation FROM added""",
@@ -318,8 +319,8 @@ UNION SELECT source_id, target_id, type_relation FROM added""",
 def e5(spark: SparkSession, d: str) -> DataFrame:
     s, e = fx.symbols(spark, d), fx.edges(spark, d)
     changed = _changed(s)
-    fresh = s.join(changed, "path", "left_semi").filter("k % 5 <> 0").select(*s.columns)
-    added = e.join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_semi").filter("source_line % 2 = 0")
+    fresh = s.join(changed, "path", "left_semi").filter("type <> 'variable'").select(*s.columns)
+    added = e.join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_semi").filter("type_relation = 'CALLS'")
     return store.upsert(s, e, fresh, added, changed)[1].select("source_id", "target_id", "type_relation")
 
 
@@ -386,13 +387,13 @@ def e11(spark: SparkSession, d: str) -> DataFrame:
 STATE = (
     LISTING
     + """,
-now AS (SELECT path, mtime, size FROM listing WHERE doc_id % 7 <> 0),
+now AS (SELECT path, mtime, size FROM listing WHERE lang <> 'es'),
 states AS (SELECT f.path, CASE WHEN n.path IS NULL THEN 'missing' WHEN f.last_modified <> n.mtime OR f.size <> n.size THEN 'stale' END AS state FROM files f LEFT JOIN now n USING (path))"""
 )
 
 
 def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _indexed(spark, d).withColumnRenamed("last_modified", "mtime"), _listing(spark, d).filter("doc_id % 7 <> 0")
+    return _indexed(spark, d).withColumnRenamed("last_modified", "mtime"), _listing(spark, d).filter("lang <> 'es'")
 
 
 @query("d5_stale", "WITH" + STATE + " SELECT path, state FROM states WHERE state IS NOT NULL")
@@ -439,10 +440,10 @@ def d4_symbols(spark: SparkSession, d: str) -> DataFrame:
     return usage.symbol_stats(fx.symbol_deps(spark, d))
 
 
-@query("d7_lookup", "WITH" + fx.DEPS + " SELECT target, source, CASE WHEN line % 2 = 0 THEN 'index' ELSE 'scan' END AS module FROM deps")
+@query("d7_lookup", "WITH" + fx.DEPS + " SELECT target, source, CASE WHEN target LIKE '%.ts' THEN 'index' ELSE 'scan' END AS module FROM deps")
 def d7(spark: SparkSession, d: str) -> DataFrame:
     dep = fx.deps(spark, d)
-    found = usage.lookup(dep.filter("line % 2 = 0").withColumn("module", F.lit("index")), dep.withColumn("module", F.lit("scan")))
+    found = usage.lookup(dep.filter("target LIKE '%.ts'").withColumn("module", F.lit("index")), dep.withColumn("module", F.lit("scan")))
     return found.select("target", "source", "module")
 
 
@@ -479,14 +480,16 @@ UNUSED = (
     + """,
 exported AS (SELECT id, path FROM symbols WHERE is_exported),
 used AS (
-  SELECT DISTINCT target_id AS id FROM edges WHERE source_path <> target_path AND source_line % 4 = 0 AND target_id IN (SELECT id FROM exported)
-  UNION SELECT e.target_id FROM used u JOIN edges e ON e.source_id = u.id AND e.target_id IN (SELECT id FROM exported)),
+  SELECT DISTINCT target_id AS id FROM edges WHERE source_path <> target_path AND type_relation = 'USES' AND source_path LIKE '%.go' AND target_id IN (SELECT id FROM exported)
+  UNION SELECT e.target_id FROM used u JOIN edges e ON e.source_id = u.id AND e.type_relation = 'INHERITS' AND e.source_path LIKE '%.py' AND e.target_id IN (SELECT id FROM exported)),
 unused AS (SELECT id, path FROM exported WHERE id NOT IN (SELECT id FROM used))"""
 )
 
 
 def _usage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return fx.symbols(spark, d), fx.symbol_deps(spark, d).filter("line % 4 = 0"), _pairs(fx.edges(spark, d))
+    # Go files use names as types; exports of Python files mention what they inherit
+    mentions = fx.edges(spark, d).filter("type_relation = 'INHERITS' AND source_id LIKE '%.py:%'")
+    return fx.symbols(spark, d), fx.symbol_deps(spark, d).filter("is_type_only AND source_path LIKE '%.go'"), _pairs(mentions)
 
 
 @query("d12_unused_exports", UNUSED + " SELECT id, path FROM unused")
@@ -503,7 +506,7 @@ USAGE = (
     "WITH"
     + fx.DEPS
     + """,
-sd AS (SELECT DISTINCT source_path, target_path FROM edges WHERE source_line % 3 <> 0),
+sd AS (SELECT DISTINCT source_path, target_path FROM edges WHERE type_relation = 'USES'),
 flags AS (
   SELECT d.source, d.target, (sd.source_path IS NOT NULL OR d.source LIKE '%.go') AS is_used
   FROM deps d LEFT JOIN sd ON sd.source_path = d.source AND sd.target_path = d.target)"""
@@ -511,7 +514,7 @@ flags AS (
 
 
 def _edge_usage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return fx.deps(spark, d), fx.symbol_deps(spark, d).filter("line % 3 <> 0"), fx.symbols(spark, d).select("path").distinct()
+    return fx.deps(spark, d), fx.symbol_deps(spark, d).filter("is_type_only"), fx.symbols(spark, d).select("path").distinct()
 
 
 @query("d16_edge_usage", USAGE + " SELECT source, target, is_used FROM flags")
@@ -818,25 +821,14 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.extract_call_graph(_script_files(spark, d), "/ws", 0)[1].select("source_id", "target_id", "type_relation", "source_line")
 
 
-@query("i1_extract_imports", "WITH" + fx.IMPORTS + " SELECT source, module, 'import' AS type, CAST(min(line) AS BIGINT) AS line FROM imports WHERE NOT contains(module, chr(39)) GROUP BY 1, 2")
+@query("i1_extract_imports", "WITH" + fx.IMPORTS + " SELECT source, module, 'import' AS type, CAST(min(line) AS BIGINT) AS line FROM imports GROUP BY 1, 2")
 def i1(spark: SparkSession, d: str) -> DataFrame:
-    links = fx.imports(spark, d).filter(~F.col("module").contains("'"))
-    line = F.concat(F.lit("import x"), F.col("line").cast("string"), F.lit(" from '"), F.col("module"), F.lit("'; // import y from 'z'"))
+    links = fx.imports(spark, d)
+    line = F.concat(F.lit("import x"), F.col("line").cast("string"), F.lit(' from "'), F.col("module"), F.lit("\"; // import y from 'z'"))
     texts = _joined(links.withColumnRenamed("source", "path"), ["path"], "line", line)
     return imports.extract_imports(texts.withColumn("lang", F.lit("typescript"))).select("source", "module", "type", "line")
 
 
-@query(
-    "a6_python_symbols",
-    FUNCTIONS + " SELECT concat(replace(path, '.ts', '.py'), ':', CASE WHEN is_exported THEN '' ELSE '_' END, name) AS id, 'function' AS category, CAST(start_line + 1 AS BIGINT) AS line, is_exported FROM fs",
-)
-def a6(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.symbols(spark, d).select(F.concat("folder", F.lit("/all.py")).alias("path"), "k", "is_exported")
-    line = F.concat(F.lit("def "), F.when(F.col("is_exported"), "").otherwise("_"), F.lit("f"), F.col("k").cast("string"), F.lit("(): return 1"))
-    texts = _joined(s, ["path"], "k", line).withColumn("lang", F.lit("python"))
-    return symbols.file_symbols(symbols.analyse_files(texts)).select("id", "category", "line", "is_exported")
-
-
 @query("b1_signatures", "WITH" + fx.PARAMS + " SELECT concat('s', symbol) AS symbol, concat('p', name) AS name, type, is_optional FROM olds")
 def b1(spark: SparkSession, d: str) -> DataFrame:
     p = fx.params(spark, d, True)

@@ -75,7 +75,7 @@ RULES = {
             ("INHERITS", _p(r"\bclass\s+(?:NAME\s*)?(?:<[^{]*?>\s*)?extends\s+(?P<bases>NAME(?:\s*\.\s*NAME)*)")),
             ("IMPLEMENTS", _p(r"\bclass\b[^{;]*?\bimplements\s+(?P<bases>[^{]+)")),
         ],
-        _p(r"(?:[:|&]\s*|\bas\s+|<\s*|,\s*(?=[A-Z])|\bextends\s+|\bimplements\s+|=>\s*)(?P<n>[A-Z][\w$]*)(?=\s*(?:[;,)\]>=|&{\[<]|$))"),
+        _p(r"(?:[:|&]\s*|\btype\s+NAME\s*" + _TYPE_PARAMS + r"\s*=\s*|\bas\s+|<\s*|,\s*(?=[A-Z])|\bextends\s+|\bimplements\s+|=>\s*)(?P<n>[A-Z][\w$]*)(?=\s*(?:[;,)\]>=|&{\[<]|$))"),
         method_in=_p(r"(?<![.\w$])(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*(?P<n>#?NAME)\s*" + _TYPE_PARAMS + r"\((?=[^;]*?\{)"),
     ),
     "rust": Rules(
@@ -183,8 +183,10 @@ def _by_rules(text: str, lang: str) -> tuple[list[Definition], list[Reference]]:
         for m in re.finditer(r"\bstruct\s*\{([^}]*)\}", code):
             refs += [Reference("INHERITS", x[1], m.start(1) + x.start(1)) for x in re.finditer(r"(?:^|[\s*\].])([A-Z]\w*)\s*(?:$|`)", m[1], re.M)]
     if rules.uses:
+        # the base of a script's class is a value and no type
+        bases = {r.at for r in refs if r.relation == "INHERITS"} if lang in ("typescript", "javascript") else ()
         for m in rules.uses.finditer(code):
-            if m.start("n") not in found and not (lang == "csharp" and m["n"] in CSHARP_WORDS):
+            if m.start("n") not in found and m.start("n") not in bases and not (lang == "csharp" and m["n"] in CSHARP_WORDS):
                 refs.append(Reference("USES", m["n"], m.start("n")))
     return sorted(found.values(), key=lambda d: d.start), sorted(refs, key=lambda r: r.at)
 

@@ -92,7 +92,7 @@ def swift(text: str) -> list[Row]:
 
 
 BY_LANGUAGE = {"typescript": script, "javascript": script, "python": python, "rust": rust, "go": go, "java": java, "csharp": csharp, "swift": swift, "graphql": graphql}
-BY_ENDING = {".gql": graphql, ".graphql": graphql}
+BY_ENDING = {".gql": graphql, ".graphql": graphql, ".vue": script, ".svelte": script}
 
 
 def of_file(path: str, lang: str | None, text: str) -> list[Row]:

@@ -21,7 +21,7 @@ from .lex import Lines, code_only, without_comments
 KINDS = {"function": "FunctionDeclaration", "class": "ClassDeclaration", "method": "MethodDeclaration", "interface": "InterfaceDeclaration", "type": "TypeAliasDeclaration", "variable": "VariableDeclaration"}
 CATEGORIES = {"function": "function", "method": "function", "class": "class", "interface": "interface", "type": "type", "variable": "variable"}
 IMPORT = re.compile(r"\bimport\s+(?P<t>type\s+)?(?P<c>[^;'\"]*?)\s+from\s+['\"](?P<m>[^'\"]+)['\"]")
-VALUE = re.compile(rf"^[ \t]*(?:export\s+)?(?:declare\s+)?(?:const|let|var|enum)\s+(?P<n>{NAME})", re.M)
+VALUE = re.compile(rf"(?:^|[;{{}}])[ \t]*(?:export\s+)?(?:declare\s+)?(?:const|let|var|enum)\s+(?P<n>{NAME})", re.M)
 
 
 def import_map(text: str, lang: str) -> dict[str, tuple[str, str, bool]]:
@@ -60,7 +60,15 @@ def import_map(text: str, lang: str) -> dict[str, tuple[str, str, bool]]:
     return out
 
 
-def _is_exported(code: str, lang: str, d: Definition) -> bool:
+EXPORTS = re.compile(rf"\bexport\s*(?:default\s+({NAME})\b|\{{([^}}]*)\}}(?!\s*from))")
+
+
+def _exported_names(code: str) -> set[str]:
+    """Names in export clauses and default exports."""
+    return {name for m in EXPORTS.finditer(code) for name in ([m[1]] if m[1] else re.findall(NAME, m[2]))}
+
+
+def _is_exported(code: str, lang: str, d: Definition, listed: set[str]) -> bool:
     if lang == "python":
         return not d.name.startswith("_")
     before = code[max(0, d.start - 80) : d.start].rpartition("\n")[2]
@@ -69,7 +77,7 @@ def _is_exported(code: str, lang: str, d: Definition) -> bool:
     if lang == "swift":
         return not re.search(r"\b(?:private|fileprivate)\b", before)
     if lang in ("typescript", "javascript"):
-        return d.exported or bool(re.search(rf"\bexport\s*(?:default\s+{re.escape(d.name)}\b|\{{[^}}]*\b{re.escape(d.name)}\b[^}}]*\}}(?!\s*from))", code)) or bool(re.match(r"\s*export\b", before))
+        return d.exported or d.name in listed or bool(re.match(r"\s*export\b", before))
     return bool(re.search(r"\bpublic\b", before)) or lang == "go" and d.name[:1].isupper()
 
 
@@ -84,9 +92,21 @@ def analyse(path: str, lang: str, text: str) -> tuple[list[dict], list[dict]]:
             if m.start("n") not in arrows:
                 end = code.find("\n", m.end())
                 exported = "export" in m[0]
-                defs.append(Definition("variable", m["n"], m.start("n"), len(code) if end < 0 else end, m.start(), exported))
+                stop = code.find(";", m.end())
+                end = min(x for x in (end, stop, len(code)) if x >= 0)
+                defs.append(Definition("variable", m["n"], m.start("n"), end, m.start("n"), exported))
+        # what stands in a block, but for members of classes, is local to it
         defs.sort(key=lambda d: d.start)
+        depth, last, outer = 0, 0, []
+        for d in defs:
+            depth += code.count("{", last, d.start) - code.count("}", last, d.start)
+            last = d.start
+            if not depth or d.kind == "method":
+                outer.append(d)
+        held = [d for d in outer if d.kind == "class"]
+        defs = [d for d in outer if d.kind != "method" or any(c.start < d.start < c.end for c in held)]
     lines, names = Lines(text), import_map(text, lang)
+    plain, listed = (without_comments(text), _exported_names(code)) if script else ("", set())
     around: list[tuple[Definition, str]] = []
     symbols: dict[str, dict] = {}
     kept: list[tuple[Definition, str]] = []
@@ -102,43 +122,45 @@ def analyse(path: str, lang: str, text: str) -> tuple[list[dict], list[dict]]:
             kind = "Static" + kind
         sid = f"{path}:{name}"
         symbols.pop(sid, None)
-        symbols[sid] = {"id": sid, "path": path, "name": name, "kind": kind, "category": CATEGORIES[d.kind], "line": lines.at(d.start) + 1, "is_exported": _is_exported(code, lang, d) if not (script and parent) else parent[0].exported, "parent_symbol_id": parent[1] if parent else None}
+        symbols[sid] = {"id": sid, "path": path, "name": name, "kind": kind, "category": CATEGORIES[d.kind], "line": lines.at(d.start) + 1, "is_exported": _is_exported(code, lang, d, listed) if not (script and parent) else parent[0].exported, "parent_symbol_id": parent[1] if parent else None}
         kept.append((d, sid))
         if d.kind == "class" or lang == "python":
             around.append((d, sid))
     own = {d.name: sid for d, sid in kept if symbols.get(sid, {}).get("parent_symbol_id") is None}
     deps: dict[tuple, dict] = {}
 
-    def scan(source: str, start: int, end: int) -> None:
-        for m in re.finditer(NAME, code[start:end]):
+    member_of, colon = re.compile(rf"\s*\.\s*({NAME})"), re.compile(r"\s*:")
+
+    def scan(source: str, start: int, part: str) -> None:
+        """part: the code from start on, and a character or more behind it."""
+        for m in re.finditer(NAME, part):
             name, at = m[0], start + m.start()
             line = lines.at(at) + 1
-            if name in names and not re.match(r"\s*:", code[at + len(name) :]) or name in names and script:
+            if name in names and (script or not colon.match(part, m.end())):
                 module, there, types = names[name]
                 if there == "*":
-                    member = re.match(rf"\s*\.\s*({NAME})", code[at + len(name) :])
+                    member = member_of.match(part, m.end())
                     there = member[1] if member else "*"
                 deps.setdefault((source, module, there), {"source_symbol_id": source, "source_path": path, "module": module, "target_name": there, "is_type_only": types, "line": line})
-            elif name in own and own[name] != source and not re.search(r"\.\s*$", code[max(0, at - 3) : at]):
+            elif name in own and own[name] != source and not part[max(0, m.start() - 3) : m.start()].rstrip().endswith("."):
                 deps.setdefault((source, None, name), {"source_symbol_id": source, "source_path": path, "module": None, "target_name": name, "is_type_only": False, "line": line})
 
     tops = [(d, sid) for d, sid in kept if symbols[sid]["parent_symbol_id"] is None]
     for d, sid in kept:
         if d.kind != "class":
-            scan(sid, d.start + len(d.name), d.end)
+            scan(sid, d.start + len(d.name), code[d.start + len(d.name) : d.end])
         else:
-            scan(sid, d.start + len(d.name), d.end if lang != "python" else code.find("\n", d.start) if code.find("\n", d.start) > 0 else d.end)
+            line_end = code.find("\n", d.start)
+            scan(sid, d.start + len(d.name), code[d.start + len(d.name) : line_end if lang == "python" and line_end > 0 else d.end])
     if script:  # usage outside all symbols
         at = 0
         for d, _ in [*tops, (None, "")]:
             end = d.first if d else len(code)
             if end > at:
-                part = IMPORT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), without_comments(text)[at:end])
-                hold, code = code, code[:at] + re.sub(r"\b(?:import|export)\b[^;\n]*", lambda m: " " * len(m[0]), part) + code[end:]
-                scan(f"{path}:(file)", at, end)
-                code = hold
+                part = IMPORT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), plain[at:end])
+                scan(f"{path}:(file)", at, re.sub(r"\b(?:import|export)\b[^;\n]*", lambda m: " " * len(m[0]), part) + " ")
             at = max(at, d.end) if d else at
-        for m in re.finditer(r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", without_comments(text)):
+        for m in re.finditer(r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", plain):
             holder = next((sid for d, sid in reversed(kept) if d.start <= m.start() < d.end), f"{path}:(file)")
             deps.setdefault((holder, m[1], "default"), {"source_symbol_id": holder, "source_path": path, "module": m[1], "target_name": "default", "is_type_only": False, "line": lines.at(m.start()) + 1})
     return sorted(symbols.values(), key=lambda s: (not s["is_exported"], s["line"])), list(deps.values())
