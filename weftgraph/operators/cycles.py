@@ -148,6 +148,12 @@ def cycle_edges(pairs: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     return same.unionByName(pairs.filter("src = dst"))
 
 
+def capped_cycle_edges(pairs: DataFrame, cap: int = 0) -> DataFrame:
+    """cycle_edges, or none if there are more than cap pairs (0: no cap)."""
+    pairs = pairs.select("src", "dst").distinct()
+    return pairs.limit(0) if cap and pairs.limit(cap + 1).count() > cap else cycle_edges(pairs)
+
+
 def cycle_nodes(pairs: DataFrame) -> DataFrame:
     """node of those on a cycle."""
     found = cycle_edges(pairs)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import shared_segments
 from ..schema import EDGE_KEY, is_stub, stub_name
 
 
@@ -44,20 +43,27 @@ def stub_candidates(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Each stub edge with its best symbol, resolved_id: of the caller's language and the stub's name, the one with
     the most leading directories in common, then exported, then indexed last, then of least id.
 
-    A name that many files define meets its callers in one equi-join; AQE splits it where it is hot. The join and the window
-    carry only ids and what ranks candidates.
+    Every definition stands in each directory above it, of which the best definition of a name is kept; callers take it from
+    the deepest of their directories that has one. So a name that many files define costs a row for each of its directories,
+    and not one for each definition and caller.
     """
     stubs = edges.filter(is_stub(F.col("target_id"))).withColumn("name", stub_name(F.col("target_id")))
-    sources = symbols.select(F.col("id").alias("source_id"), "lang", F.col("path").alias("__from"))
-    targets = symbols.select("name", "lang", F.col("id").alias("resolved_id"), F.col("path").alias("__to"), F.col("is_exported").alias("__exported"), F.col("indexed_at").alias("__at"))
-    # callers of one directory share their best symbol, so candidates are ranked once for each
-    asked = stubs.join(sources, "source_id").withColumn("__dir", F.regexp_replace("__from", "/[^/]*$", "/"))
-    wanted = asked.select("name", "lang", "__dir").distinct()
-    best = first_of(
-        wanted.join(targets, ["name", "lang"]).withColumn("__shared", shared_segments(F.col("__dir"), F.col("__to"))),
-        ["name", "lang", "__dir"], F.col("__shared").desc(), F.col("__exported").desc(), F.col("__at").desc(), F.col("resolved_id"),
-    )
-    return asked.join(best.select("name", "lang", "__dir", "resolved_id"), ["name", "lang", "__dir"], "left").select(*edges.columns, "resolved_id")
+    sources = symbols.select(F.col("id").alias("source_id"), "lang", _directories(F.col("path")).alias("__dirs"))
+    rank = F.struct(~F.coalesce("is_exported", F.lit(False)), -F.coalesce("indexed_at", F.lit(0)), F.col("id"))
+    above = symbols.select("name", "lang", F.posexplode(_directories(F.col("path"))).alias("__level", "__dir"), F.col("id"), rank.alias("__rank"))
+    best = above.groupBy("name", "lang", "__level", "__dir").agg(F.min_by("id", "__rank").alias("resolved_id"))
+    asked = stubs.join(sources, "source_id")
+    # callers of one directory share their best symbol
+    wanted = asked.select("name", "lang", "__dirs").distinct().withColumn("__own", F.col("__dirs"))
+    tried = wanted.select("name", "lang", "__own", F.posexplode("__dirs").alias("__level", "__dir")).join(best, ["name", "lang", "__level", "__dir"])
+    found = tried.groupBy("name", "lang", "__own").agg(F.max_by("resolved_id", "__level").alias("resolved_id")).withColumnRenamed("__own", "__dirs")
+    return asked.join(found, ["name", "lang", "__dirs"], "left").select(*edges.columns, "resolved_id")
+
+
+def _directories(path: Column) -> Column:
+    """Directories above a path by level: none, the first part, and so on down to its own."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
 def resolve_stubs(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,6 +105,11 @@ def changed_files(listing: DataFrame, files: DataFrame, cutoffs: DataFrame | Non
     return rows.filter(~F.coalesce(fresh, F.lit(False))).select("path")
 
 
+def file_record(files: DataFrame, path: str) -> DataFrame:
+    """The record of one file, or no row."""
+    return files.filter(F.col("path") == path)
+
+
 def stale(hashes: DataFrame, now: DataFrame) -> DataFrame:
     """path, state (stale or missing) of indexed files (path, mtime, size) that differ from now, or aren't there."""
     rows = hashes.select("path", "mtime", "size").join(now.select("path", F.col("mtime").alias("__m"), F.col("size").alias("__s")), "path", "left")

@@ -141,6 +141,16 @@ def capped(nodes: DataFrame, edges: DataFrame, max_nodes: int = 400, max_edges:
     return shown, inner.orderBy("src", "dst").limit(max_edges), cut
 
 
+def trace_rows(deps: DataFrame, start: DataFrame, known: DataFrame, max_depth: int = 10) -> DataFrame:
+    """The rows of trace() with resolved, the file of what is called (known: id, path; null for others), and max_depth_reached, alike in all rows: whether something known is called from below the last depth."""
+    rows = settled(trace(deps, start, max_depth))
+    files = known.select(F.col("id").alias("called"), F.col("path").alias("resolved"))
+    callers = rows.select(F.col("caller").alias("node")).distinct()
+    deeper = rows.filter(F.col("depth") == max_depth).select(F.col("called").alias("node")).distinct().join(callers, "node", "left_anti")
+    cut = not deeper.join(files.select(F.col("called").alias("node")), "node", "left_semi").join(deps.select(F.col("src").alias("node")), "node", "left_semi").isEmpty()
+    return rows.join(files, "called", "left").select("depth", "caller", "called", "resolved", F.lit(cut).alias("max_depth_reached"))
+
+
 def trace(deps: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
     """depth, caller, called of calls from start (column node), each caller once, at its least depth; deps has src, dst."""
     callers = reach(deps, start, max_depth - 1) if max_depth > 0 else start.select("node").limit(0).withColumn("depth", F.lit(0))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import in_ignored_directory, is_source_file
 from ..plans.runtime import settled
+from ..sources.imports import extract_imports
 from .store import first_of
 
 
@@ -38,12 +41,41 @@ def lookup(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return first_of(both, ["target", "source"], F.col("__p"), F.col("line"), F.col("module")).drop("__p")
 
 
+def replaced(deps: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
+    """deps with those of sources (column path) replaced by fresh ones, one for each source and target, the last by line and module."""
+    kept = deps.join(sources.select(F.col("path").alias("source")), "source", "left_anti").select(*deps.columns)
+    return kept.unionByName(one_per_pair(fresh).select(*deps.columns))
+
+
+WORD = r"[\w$]+"
+
+
 def scan_candidates(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """path, target of files whose text holds the target's base name without extension, to be analysed; targets are few (at most 1000 are broadcast)."""
-    names = targets.select(F.col("path").alias("target"), F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("__name"))
-    if names.limit(1001).count() > 1000:
-        raise ValueError("a scan is for at most 1000 targets: build the index instead")
-    return files.join(F.broadcast(names), F.col("text").contains(F.col("__name")) & (F.col("path") != F.col("target"))).select("path", "target")
+    """path, target of files whose text holds the target's base name without extension, to be analysed.
+
+    Texts are cut into words once, which meet the longest word of each name; names
+    of several words (a-b) are then looked for whole.
+    """
+    base = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    names = targets.select(F.col("path").alias("target"), base.alias("__name")).distinct()
+    longest = F.array_sort(F.regexp_extract_all("__name", F.lit(f"({WORD})"), 1), lambda a, b: F.coalesce(F.length(b) - F.length(a), F.lit(0)))
+    names = names.withColumn("__word", F.coalesce(F.get(longest, F.lit(0)), F.lit("")))
+    held = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1))).alias("__word"))
+    found = held.join(names, "__word").filter(F.col("path") != F.col("target"))
+    whole = found.filter(F.col("__name") == F.col("__word")).select("path", "target")
+    parts = found.filter(F.col("__name") != F.col("__word")).join(files.select("path", "text"), "path").filter(F.col("text").contains(F.col("__name"))).select("path", "target")
+    return whole.unionByName(parts)
+
+
+def scan_references(files: DataFrame, targets: DataFrame, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """target, source, type, line, module of what refers to targets (column path), from the texts of files (path, lang, text) without an index.
+
+    Only candidates are analysed. resolve: from imports (source, module) to targets (source, module, target).
+    """
+    asked = settled(files.join(scan_candidates(files, targets).select("path").distinct(), "path", "left_semi"))
+    found = settled(extract_imports(asked).filter("error IS NULL"))
+    deps = found.select("source", "module", "type", "line").join(resolve(found.select("source", "module")), ["source", "module"])
+    return referencing_files(deps, targets)
 
 
 def symbol_callers(deps: DataFrame, mode: str = "all") -> DataFrame:
@@ -131,10 +163,15 @@ def edge_usage(pairs: DataFrame, deps: DataFrame, analysed: DataFrame) -> DataFr
     return pairs.select("source", "target").distinct().join(real, ["source", "target"], "left").join(known, "source", "left").select("source", "target", used.alias("is_used"))
 
 
+def over_cap(pairs: DataFrame, cap: int) -> bool:
+    """Whether unused_edges leaves its result empty because of the cap."""
+    return bool(cap) and pairs.select("source", "target").distinct().limit(cap + 1).count() > cap
+
+
 def unused_edges(pairs: DataFrame, deps: DataFrame, analysed: DataFrame, cap: int = 0) -> DataFrame:
-    """source, target of edges that aren't used; none if a cap above 0 is exceeded by the number of edges."""
+    """source, target of edges that aren't used; none if a cap above 0 is exceeded by the number of edges, as over_cap() tells."""
     pairs = pairs.select("source", "target").distinct()
-    if cap and pairs.limit(cap + 1).count() > cap:
+    if over_cap(pairs, cap):
         return pairs.limit(0)
     return edge_usage(pairs, deps, analysed).filter("NOT is_used").select("source", "target")
 

@@ -282,3 +282,299 @@ SELECT CASE s WHEN 'f' THEN concat('f', k) WHEN 'v' THEN concat('v', k) WHEN 'K.
 def b1_kinds(spark: SparkSession, d: str) -> DataFrame:
     found = signatures.extract_signatures(source_files(spark, d, ".ts", "typescript", SIGNED), "old")
     return found.select("symbol", "kind", "return_type", "visibility", "is_async", F.size("params").alias("n_params"))
+
+
+# Resolution: sources, modules and targets with {k} (key), {f} (folder) and {b} (its name); a null target doesn't resolve
+
+ROOT = "/ws"
+ALL_KINDS = [
+    ("{f}/all.ts", "@lib/x{k}", "{f}/lib/x{k}.ts"),
+    ("{f}/all.ts", "@base/y{k}", "/ws/base/y{k}/index.ts"),
+    ("{f}/all.ts", "@lib", "{f}/lib/index.js"),
+    ("{f}/all.ts", "@none/x{k}", None),
+]
+RESOLVED = {
+    "r3_alias": ALL_KINDS,
+    "r5_package_imports": [("{f}/deep/all.js", "#util/x{k}", "{f}/util/x{k}.js"), ("{f}/all.js", "#one{k}", None), ("{f}/all.js", "#one", "{f}/one.js")],
+    "r6_packages": [("/ws/all.ts", "@s/{b}/x{k}", "{f}/pkg/src/x{k}.ts"), ("/ws/all.ts", "@s/{b}", "{f}/pkg/src/index.ts"), ("/ws/all.ts", "@s/none{k}", None)],
+    "r7_python_relative": [("{f}/sub/a{k}.py", "..lib{k}.deep", "{f}/lib{k}/deep.py"), ("{f}/sub/a{k}.py", ".m{k}", "{f}/sub/m{k}/__init__.py"), ("{f}/sub/a{k}.py", ".none{k}", None)],
+    "r8_python_absolute": [("{f}/sub/a{k}.py", "near{k}.x", "{f}/near{k}/x.py"), ("{f}/sub/a{k}.py", "far{k}", "/ws/far{k}.pyi"), ("{f}/sub/a{k}.py", "os", None)],
+    "r9_rust": [("{f}/sub/a{k}.rs", "crate::p{k}::q", "/ws/p{k}/q.rs"), ("{f}/sub/a{k}.rs", "super::r{k}", "{f}/r{k}/mod.rs"), ("{f}/sub/a{k}.rs", "s{k}", "{f}/sub/s{k}.rs"), ("{f}/sub/a{k}.rs", "std::io", None), ("{f}/sub/a{k}.rs", "crate::Type{k}", None)],
+    "r10_go": [("{f}/all.go", "h.org/{b}/p{k}", "{f}/p{k}/b.go"), ("{f}/all.go", "x.org/y/q{k}", "/ws/q{k}/z.go"), ("{f}/all.go", "fmt", None)],
+    "r11_java": [("{f}/A.java", "{b}.P{k}", "{f}/P{k}.java"), ("{f}/A.java", "no.such.Q{k}", "{f}/q/Q{k}.java"), ("{f}/A.java", "java.util.List", None), ("{f}/A.java", "{b}.*", None)],
+    "r12_csharp": [("{f}/A.cs", "App.{b}.N{k}", "{f}/N{k}/B.cs"), ("{f}/A.cs", "App.M{k}", "/ws/M{k}/C.cs"), ("{f}/A.cs", "System.IO", None)],
+    "r13_swift": [("{f}/sub/A.swift", "M{k}", "{f}/Sources/M{k}/B.swift"), ("{f}/sub/A.swift", "N{k}", "/ws/x/y/Sources/N{k}/C.swift"), ("{f}/sub/A.swift", "UIKit", None)],
+}
+#: Files beside the targets that must not win.
+DECOYS = {"r8_python_absolute": ["/ws/near{k}/x.py"], "r10_go": ["{f}/p{k}/a_test.go", "{f}/p{k}/c.go"], "r11_java": ["{f}/q/z/Q{k}.java"], "r12_csharp": ["{f}/N{k}/D.cs"], "r13_swift": ["{f}/Sources/M{k}/C.swift"], "r3_alias": ["{f}/base/y{k}.ts"]}
+CONFIGS = {
+    "r3_alias": [("{f}/tsconfig.json", '{{"extends": "../tsconfig.base", /* c */ "compilerOptions": {{"paths": {{"@lib/*": ["./lib/*"],}}}}}}'), ("/ws/tsconfig.base.json", '{{"compilerOptions": {{"baseUrl": ".", "paths": {{"@base/*": ["base/*"]}}}}}}')],
+    "r5_package_imports": [("{f}/package.json", '{{"imports": {{"#util/*": {{"default": "./util/*"}}, "#one": "./one"}}}}')],
+    "r6_packages": [("{f}/pkg/package.json", '{{"name": "@s/{b}", "main": "./dist/index.js"}}')],
+    "r10_go": [("{f}/go.mod", "module h.org/{b}\n\ngo 1.22\n")],
+}
+
+
+def _spelt(spark: SparkSession, d: str, rows: list[tuple], names: list[str], by_symbol: bool = True) -> DataFrame:
+    """The rows with {k}, {f} and {b} filled in by each symbol, or each folder."""
+    s = fx.symbols(spark, d).select("folder", *(["k"] if by_symbol else [])).distinct()
+    kinds = "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
+    each = s.withColumn("r", F.explode(F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(names, r, strict=True))) for r in rows)).cast(kinds)))
+
+    def fill(c: Column) -> Column:
+        c = F.replace(F.replace(c, F.lit("{f}"), F.col("folder")), F.lit("{b}"), F.element_at(F.split("folder", "/"), -1))
+        c = F.replace(c, F.lit("{k}"), F.col("k").cast("string")) if by_symbol else c
+        return F.replace(F.replace(c, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+
+    return each.select(*(fill(F.col(f"r.{n}")).alias(n) for n in names)).distinct()
+
+
+def _resolution(spark: SparkSession, d: str, name: str) -> DataFrame:
+    cases = RESOLVED[name]
+    wanted = settled(_spelt(spark, d, [c[:2] for c in cases], ["source", "module"]))
+    files = settled(_spelt(spark, d, [(t,) for t in [*(c[2] for c in cases if c[2]), *DECOYS.get(name, ())]], ["path"]))
+    aliases = packages = modules = None
+    if name in CONFIGS:
+        configs = settled(_spelt(spark, d, CONFIGS[name], ["path", "text"], by_symbol=False))
+        named = configs.filter(F.col("path").endswith(".json"))
+        aliases, packages, modules = resolve.alias_table(named), resolve.package_table(named), resolve.go_module_table(configs)
+    return resolve.resolve(wanted, files, ROOT, aliases, modules, packages)
+
+
+def _filled_sql(column: str) -> str:
+    return f"replace(replace(replace({column}, '{{k}}', CAST(k AS VARCHAR)), '{{f}}', folder), '{{b}}', regexp_extract(folder, '[^/]+$'))"
+
+
+for _name in RESOLVED:
+
+    def _resolve(spark: SparkSession, d: str, name: str = _name) -> DataFrame:
+        return _resolution(spark, d, name)
+
+    query(
+        _name,
+        "WITH" + fx.SYMBOLS + f", cases(s, m, t) AS (VALUES {values([c for c in RESOLVED[_name] if c[2]])}) SELECT DISTINCT {_filled_sql('s')} AS source, {_filled_sql('m')} AS module, {_filled_sql('t')} AS target FROM symbols, cases",
+    )(_resolve)
+
+
+@query(
+    "r1_master_order",
+    "WITH" + fx.SYMBOLS + f", cases(s, m, t) AS (VALUES {values([c for n in ('r3_alias', 'r6_packages', 'r7_python_relative', 'r9_rust', 'r10_go', 'r11_java', 'r12_csharp') for c in RESOLVED[n] if c[2]] + [('{f}/all.ts', './rel{k}', '{f}/rel{k}/index.ts')])}) SELECT DISTINCT {_filled_sql('s')} AS source, {_filled_sql('m')} AS module, {_filled_sql('t')} AS target FROM symbols, cases",
+)
+def r1(spark: SparkSession, d: str) -> DataFrame:
+    """All languages and stages in one call; a relative path falls to the last stage."""
+    names = ("r3_alias", "r6_packages", "r7_python_relative", "r9_rust", "r10_go", "r11_java", "r12_csharp")
+    cases = [*(c for n in names for c in RESOLVED[n]), ("{f}/all.ts", "./rel{k}", "{f}/rel{k}/index.ts")]
+    wanted = settled(_spelt(spark, d, [c[:2] for c in cases], ["source", "module"]))
+    files = settled(_spelt(spark, d, [(t,) for t in [*(c[2] for c in cases if c[2]), *(t for n in names for t in DECOYS.get(n, ()))]], ["path"]))
+    configs = settled(_spelt(spark, d, [c for n in names for c in CONFIGS.get(n, ())], ["path", "text"], by_symbol=False))
+    named = configs.filter(F.col("path").endswith(".json"))
+    return resolve.resolve(wanted, files, ROOT, resolve.alias_table(named), resolve.go_module_table(configs), resolve.package_table(named))
+
+
+# Paths, texts and small views
+
+
+@query(
+    "f1_paths",
+    r"""WITH p AS (SELECT page_id, concat('C:\ws//', replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/', '\'), '/') AS path FROM pages),
+n AS (SELECT page_id, path, regexp_replace(concat('c', replace(path, '\', '/')[2:]), '/+', '/', 'g') AS x FROM p)
+SELECT page_id, rtrim(x, '/') AS path, regexp_extract(rtrim(x, '/'), '[^/]+$') AS file, string_split(rtrim(x, '/'), '/')[-2] AS parent, replace(rtrim(x, '/'), 'c:/ws/', '') AS relative FROM n""",
+)
+def f1(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit("C:\\ws//"), F.replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), F.lit("/"), F.lit("\\")), F.lit("/"))
+    p = fx.table(spark, d, "pages").select("page_id", paths.normalize(raw).alias("path"))
+    return p.select("page_id", "path", paths.file_name(F.col("path")).alias("file"), paths.parent_name(F.col("path")).alias("parent"), paths.relative(F.col("path"), "c:/ws").alias("relative"))
+
+
+@query(
+    "f3_external_packages",
+    "WITH" + fx.SYMBOLS + """,
+m AS (SELECT concat(pre, name, e) AS module, pre, e FROM (SELECT DISTINCT replace(name, ' ', '-') AS name FROM symbols), (VALUES (''), ('./'), ('/'), ('C:/'), ('a/'), ('node_modules/')) p(pre), (VALUES (''), ('.ts'), ('.md')) x(e))
+SELECT module, pre IN ('', 'node_modules/') AND e <> '.ts' AS is_external FROM m""",
+)
+def f3(spark: SparkSession, d: str) -> DataFrame:
+    names = fx.symbols(spark, d).select(F.replace("name", F.lit(" "), F.lit("-")).alias("name")).distinct()
+    each = names.withColumn("p", F.explode(F.array(*map(F.lit, ("", "./", "/", "C:/", "a/", "node_modules/"))))).withColumn("e", F.explode(F.array(*map(F.lit, ("", ".ts", ".md")))))
+    m = each.select(F.concat("p", "name", "e").alias("module"))
+    return m.select("module", paths.is_external_package(F.col("module")).alias("is_external"))
+
+
+@query(
+    "s4_directories",
+    "WITH" + fx.SYMBOLS + """,
+p AS (SELECT concat(folder, x, regexp_extract(path, '[^/]+$')) AS path, x FROM symbols, (VALUES ('/'), ('/node_modules/a/'), ('/.cache/'), ('/dist/'), ('/src/'), ('/../')) v(x))
+SELECT DISTINCT path, x IN ('/node_modules/a/', '/.cache/', '/dist/') AS skipped, x IN ('/.cache/', '/dist/') AS skipped_with_packages, x IN ('/node_modules/a/', '/dist/') AS ignored FROM p""",
+)
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.symbols(spark, d)
+    p = s.withColumn("x", F.explode(F.array(*map(F.lit, ("/", "/node_modules/a/", "/.cache/", "/dist/", "/src/", "/../"))))).select(F.concat("folder", "x", F.regexp_extract("path", "[^/]+$", 0)).alias("path")).distinct()
+    c = F.col("path")
+    return p.select("path", paths.in_skipped_directory(c).alias("skipped"), paths.in_skipped_directory(c, False).alias("skipped_with_packages"), paths.in_ignored_directory(c).alias("ignored"))
+
+
+@query("f5_token_savings", "SELECT event_id, CAST(ceil(length(props) / 4.0) AS BIGINT) AS json_tokens, CAST(ceil(length(event_type) / 4.0) AS BIGINT) AS compact_tokens FROM events")
+def f5(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "events")
+    return e.select("event_id", codec.token_savings(F.col("props"), F.col("event_type")).alias("s")).select("event_id", "s.json_tokens", "s.compact_tokens")
+
+
+@query(
+    "f6_bounding_box",
+    "WITH" + fx.SYMBOLS + ", p AS (SELECT CAST(start_line AS DOUBLE) AS x, CAST(end_line AS DOUBLE) AS y FROM symbols) SELECT min(x) AS \"left\", min(y) AS top, max(x) - min(x) AS width, max(y) - min(y) AS height FROM p",
+)
+def f6(spark: SparkSession, d: str) -> DataFrame:
+    return misc.bounding_box(fx.symbols(spark, d).select(F.col("start_line").cast("double").alias("x"), F.col("end_line").cast("double").alias("y")))
+
+
+@query(
+    "t5_progress",
+    "WITH e AS (SELECT event_id, event_id + 1 AS done, event_id + user_id + 1 AS total FROM events) SELECT event_id, CAST(round(done * 100 / total) AS BIGINT) AS percent, CAST(round(1000.0::DOUBLE / done * (total - done)) AS BIGINT) AS left_ms FROM e",
+)
+def t5(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "events")
+    return e.select("event_id", misc.progress(F.col("event_id") + 1, F.col("event_id") + F.col("user_id") + 1, F.lit(1000.0)).alias("p")).select("event_id", "p.percent", "p.left_ms")
+
+
+@query(
+    "f11_errors",
+    """WITH m AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'ENOENT' WHEN 'signup' THEN 'EACCES' WHEN 'click' THEN 'EFBIG' ELSE '' END AS code, CASE WHEN event_id < 100 THEN 'a syntax error' ELSE 'other' END AS message FROM events)
+SELECT event_id, CASE code WHEN 'ENOENT' THEN 'FILE_NOT_FOUND' WHEN 'EACCES' THEN 'PERMISSION_DENIED' WHEN 'EFBIG' THEN 'FILE_TOO_LARGE' ELSE CASE WHEN event_id < 100 THEN 'PARSE_ERROR' ELSE 'UNKNOWN' END END AS kind,
+  code IN ('ENOENT', 'EACCES') OR code = '' AND event_id < 100 AS recoverable FROM m""",
+)
+def f11(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "events")
+    code = F.when(F.col("event_type") == "error", "ENOENT").when(F.col("event_type") == "signup", "EACCES").when(F.col("event_type") == "click", "EFBIG").otherwise("")
+    m = e.select("event_id", misc.error(code, F.when(F.col("event_id") < 100, "a syntax error").otherwise("other")).alias("e"))
+    return m.select("event_id", F.col("e.code").alias("kind"), "e.recoverable")
+
+
+@query("g11_scoped_labels", "WITH" + fx.SYMBOLS + ", m AS (SELECT DISTINCT concat(pre, replace(name, ' ', '/')) AS module, pre FROM symbols, (VALUES ('@'), ('@/'), ('')) v(pre)) SELECT module, CASE WHEN pre = '@' AND contains(module, '/') THEN module END AS label FROM m")
+def g11(spark: SparkSession, d: str) -> DataFrame:
+    names = fx.symbols(spark, d).select(F.replace("name", F.lit(" "), F.lit("/")).alias("name"))
+    m = names.select(F.explode(F.array(*(F.concat(F.lit(p), "name") for p in ("@", "@/", "")))).alias("module")).distinct()
+    return m.select("module", paths.scoped_label(F.col("module")).alias("label"))
+
+
+@query("g20_merge_nodes", "WITH" + fx.SYMBOLS + " SELECT id, CASE WHEN type IN ('class', 'method') THEN 'right' ELSE 'left' END AS side FROM symbols WHERE type <> 'variable' OR lang = 'go'")
+def g20_nodes(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.symbols(spark, d).filter("type <> 'variable' OR lang = 'go'")
+    return views.merge_nodes(s.select("id", F.lit("left").alias("side")), s.filter("type IN ('class', 'method')").select("id", F.lit("right").alias("side")))
+
+
+@query(
+    "g25_add_referencing",
+    "WITH" + fx.DEPS + """,
+t AS (SELECT min(target) AS target FROM deps),
+shown AS (SELECT DISTINCT target AS path FROM deps WHERE target LIKE '%.ts' UNION SELECT target FROM t),
+r AS (SELECT source FROM deps, t WHERE deps.target = t.target)
+SELECT path, regexp_extract(path, '[^/]+$') AS label FROM (SELECT path FROM shown UNION SELECT source FROM r)""",
+)
+def g25(spark: SparkSession, d: str) -> DataFrame:
+    deps = settled(fx.deps(spark, d))
+    target = deps.agg(F.min("target")).first()[0]
+    nodes = deps.filter(F.col("target").endswith(".ts") | (F.col("target") == target)).select(F.col("target").alias("path")).distinct()
+    nodes = nodes.withColumn("label", paths.file_name(F.col("path")))
+    references = usage.referencing_files(deps, spark.createDataFrame([(target,)], "path string"))
+    return views.add_referencing(nodes, deps.filter(F.col("target").endswith(".ts")).select("source", "target"), references, target)[0]
+
+
+@query(
+    "g16_flags",
+    "WITH RECURSIVE" + fx.DEPS + """,
+walk AS (SELECT node, 0 AS depth FROM start UNION SELECT target, depth + 1 FROM walk JOIN deps ON source = node WHERE depth < 3),
+nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+drawn AS (SELECT node FROM nodes ORDER BY depth, node LIMIT 40),
+inner_edges AS (SELECT DISTINCT source, target FROM deps WHERE source IN (SELECT node FROM drawn) AND target IN (SELECT node FROM drawn))
+SELECT (SELECT count(*) FROM nodes) > 40 AS nodes_cut, (SELECT count(*) FROM inner_edges) > 100 AS edges_cut""",
+)
+def g16_flags(spark: SparkSession, d: str) -> DataFrame:
+    deps = settled(fx.deps(spark, d))
+    nodes = settled(traverse.crawl(deps, fx.root_file(spark, d), 2))
+    return traverse.capped(nodes, deps.select(F.col("source").alias("src"), F.col("target").alias("dst")), 40, 100)[2]
+
+
+@query(
+    "d1_reverse_index",
+    "WITH" + fx.DEPS + """,
+fresh AS (SELECT source, target, max(line) + 1 AS line FROM deps WHERE source LIKE '%.ts' AND target LIKE '%.py' GROUP BY ALL)
+SELECT source, target, line FROM deps WHERE source NOT LIKE '%.ts' UNION ALL SELECT source, target, line FROM fresh""",
+)
+def d1(spark: SparkSession, d: str) -> DataFrame:
+    deps = settled(fx.deps(spark, d))
+    sources = deps.filter(F.col("source").endswith(".ts")).select(F.col("source").alias("path")).distinct()
+    fresh = deps.filter(F.col("source").endswith(".ts") & F.col("target").endswith(".py"))
+    # each twice: the later line wins
+    fresh = fresh.unionByName(fresh.withColumn("line", F.col("line") + 1))
+    return usage.replaced(deps, fresh, sources).select("source", "target", "line")
+
+
+@query(
+    "d8_scan",
+    "WITH" + fx.SYMBOLS + """,
+t AS (SELECT DISTINCT folder FROM symbols WHERE lang = 'go')
+SELECT concat(s.folder, '/lib/x', k, '.ts') AS target, concat(s.folder, '/all.ts') AS source, 'import' AS type FROM symbols s JOIN t USING (folder) WHERE is_exported""",
+)
+def d8(spark: SparkSession, d: str) -> DataFrame:
+    """Exported keys' libraries in folders with Go files, sought in the texts of all folders."""
+    files = settled(source_files(spark, d, ".ts", "typescript", "import a{k} from './lib/x{k}'; const b{k} = 'x{j}';"))
+    s = fx.symbols(spark, d)
+    go = s.filter("lang = 'go'").select("folder").distinct()
+    targets = s.filter("is_exported").join(go, "folder", "left_semi").select(F.concat("folder", F.lit("/lib/x"), F.col("k").cast("string"), F.lit(".ts")).alias("path"))
+    listing = targets.unionByName(files.select("path"))
+    return usage.scan_references(files, targets, lambda found: resolve.resolve(found, listing, ROOT)).select("target", "source", "type")
+
+
+@query(
+    "d15_verify_usage",
+    "WITH" + fx.DEPS + """,
+d AS (SELECT * FROM deps WHERE target = (SELECT min(target) FROM deps))
+SELECT d.source, d.target, d.source LIKE '%.go' OR EXISTS (SELECT 1 FROM edges e WHERE e.type_relation = 'USES' AND e.source_path = d.source AND e.target_path = d.target) AS is_used FROM d""",
+)
+def d15(spark: SparkSession, d: str) -> DataFrame:
+    deps = settled(fx.deps(spark, d))
+    target = deps.agg(F.min("target")).first()[0]
+    return usage.edge_usage(deps.filter(F.col("target") == target), fx.symbol_deps(spark, d).filter("is_type_only"), fx.symbols(spark, d).select("path").distinct())
+
+
+@query(
+    "d22_tolerant_targets",
+    "WITH" + fx.EDGES + " SELECT source_id AS source_symbol_id, target_id AS target_symbol_id, target_path FROM edges",
+)
+def d22(spark: SparkSession, d: str) -> DataFrame:
+    deps = settled(fx.symbol_deps(spark, d))
+    # targets as their files name them: a module, a path with backslashes, or the path itself
+    module = F.concat(F.lit("./"), F.regexp_extract("target_path", "[^/]+$", 0), F.lit("?"), F.col("target_path"))
+    how = F.pmod(F.xxhash64("target_path"), F.lit(3))
+    named = deps.withColumn("named", F.when(how == 0, module).when(how == 1, F.replace("target_path", F.lit("/"), F.lit("\\"))).otherwise(F.col("target_path")))
+    targets = named.filter(F.col("named").startswith("./")).select(F.col("source_path").alias("source"), F.col("named").alias("module"), F.col("target_path").alias("target")).distinct()
+    loose = named.withColumn("target_path", F.col("named")).drop("named")
+    return usage.match_targets(loose, targets).select("source_symbol_id", "target_symbol_id", "target_path")
+
+
+@query("e9_file_record", "SELECT concat('/ws/d', doc_id, '.ts') AS path, lang, n_chars AS size FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)")
+def e9(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents")
+    files = docs.select(F.concat(F.lit("/ws/d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), "lang", F.col("n_chars").alias("size"))
+    return store.file_record(files, f"/ws/d{docs.agg(F.min('doc_id')).first()[0]}.ts")
+
+
+@query(
+    "g18_trace_rows",
+    "WITH RECURSIVE" + fx.EDGES + """,
+walk AS (SELECT id AS node, 0 AS depth FROM root UNION SELECT target_id, depth + 1 FROM walk JOIN edges ON source_id = node WHERE depth < 1),
+callers AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
+SELECT DISTINCT depth + 1 AS depth, source_id AS caller, target_id AS called, CASE WHEN target_path NOT LIKE '%.go' THEN target_path END AS resolved, true AS max_depth_reached
+FROM callers JOIN edges ON source_id = node WHERE depth < 2""",
+)
+def g18_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = settled(traverse.call_pairs(fx.edges(spark, d)))
+    known = fx.symbols(spark, d).filter("lang <> 'go'").select("id", "path")
+    return traverse.trace_rows(e, fx.root(spark, d).select(F.col("id").alias("node")), known, 2)
+
+
+@query("c8_cycle_cap", "WITH" + fx.DEPS + " SELECT source AS src, target AS dst FROM deps LIMIT 0")
+def c8(spark: SparkSession, d: str) -> DataFrame:
+    """Over the cap no cycles are sought."""
+    from ..operators import cycles
+
+    return cycles.capped_cycle_edges(fx.deps(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst")), 1)
