@@ -37,9 +37,10 @@ IGNORED_DIRECTORIES = ("node_modules", ".git", "dist", "build", "out", "coverage
 
 def normalize(path: Column) -> Column:
     """Slashes for backslashes, runs of slashes as one, a drive letter in lower case, no slash at the end but a root's."""
-    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/")
-    p = F.when(p.rlike("^[A-Za-z]:/"), F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
-    return F.when((F.length(p) > 1) & p.endswith("/") & ~p.rlike("^[a-zA-Z]:/$"), F.regexp_replace(p, "/$", "")).otherwise(p)
+    slash = path.rlike(r"^[/\\]")
+    drive = F.regexp_extract(path, r"^([A-Za-z]:)[/\\]", 1)
+    parts = F.array_join(F.filter(F.split(F.regexp_replace(path, r"^[A-Za-z]:(?=[/\\])", ""), r"[/\\]+"), lambda x: x != ""), "/")
+    return F.when(drive != "", F.concat(F.lower(drive), F.lit("/"), parts)).when(slash, F.concat(F.lit("/"), parts)).otherwise(parts)
 
 
 def file_name(path: Column) -> Column:
