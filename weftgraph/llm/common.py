@@ -16,6 +16,10 @@ from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
 CHUNK_BYTES = 1_500_000
 #: Words or pieces that a worker keeps together have at most about so many characters.
 VOCAB_CHARS = 16_000_000
+#: join_hot deals out keys with over one of SHARE parts of all rows.
+SHARE = 1024
+#: Rows of ids and numbers that a partition holds easily.
+PART_ROWS = 250_000
 #: So many ids are broadcast at most.
 MAX_BROADCAST = 1_000_000
 
@@ -91,10 +95,37 @@ def sample_ids(rows: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def sample_by(marks: DataFrame, id_col: str, label_col: str, n: Column) -> DataFrame:
-    """At most n ids of each label, those of least hash; marks has each id once. Each task hands on no more than n of a label."""
+    """At most n ids of each label, by the hash of the id; marks has each id once. Only the labels, which a model holds, are broadcast.
+
+    Of a label with over 4 n ids only those in a range of hashes that holds about
+    4 n are sorted, so no task sees more, however large the label.
+    """
+    counts = marks.groupBy(label_col).agg(F.count(F.lit(1)).alias("__count"))
+    near = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) * F.col("__count") < n.cast("double") * 4 * (1 << 31)
     order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
-    most = marks.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n)
-    return most.drop("__rank")
+    most = marks.join(F.broadcast(counts), label_col).filter(near).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n)
+    return most.drop("__rank", "__count")
+
+
+def compact(rows: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of the rows in no more partitions than their number asks for, and their number."""
+    held = rows.checkpoint()
+    n = held.count()
+    return held.coalesce(-(-n // PART_ROWS) or 1), n
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, by: list[str], share: int = SHARE) -> DataFrame:
+    """rows joined with their groups, one row for each key; groups is a checkpoint and says in size how many rows a key has.
+
+    Keys with over one of share parts of all rows, of which there are fewer than
+    share, are dealt out by the columns `by`, their group being repeated.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(size) * share > total).select(*keys, (F.col(size) * share / (total or 1)).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(0))
+    salted = groups.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts))).drop("__salts")
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), *by), salts + 1).cast("int")).drop("__salts")
+    return dealt.join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 def few_ids(ids: DataFrame) -> DataFrame:

@@ -27,11 +27,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, sample_ids
+from .common import SHARE, ensure_checkpoint_dir, join_hot, sample_ids
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCHES, FAN, SHARE = 4, 2, 1024
+BATCHES, FAN = 4, 2
 CUT_SAMPLE = 1000
 HASH = ["h1", "h2"]
 
@@ -107,13 +107,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     lines = _lines(rows, min_chars).checkpoint()
     common = common_lines(lines, min_docs, batches, fan).checkpoint()
-    total = common.agg(F.sum("n_docs")).first()[0] or 0
-    hot = common.filter(F.col("n_docs") * share > total).select(*HASH, (F.col("n_docs") * share / (total or 1)).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(0))
-    salted = common.join(F.broadcast(hot), HASH, "left").select(*HASH, "keep_id", F.explode(F.sequence(F.lit(0), salts)).alias("salt"))
-    held = lines.join(F.broadcast(hot), HASH, "left").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id", "mark"), salts + 1).cast("int"))
     drops = (
-        held.join(salted, [*HASH, "salt"])
+        join_hot(lines, common, HASH, "n_docs", ["doc_id", "mark"], share)
         .filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("mark").alias("drop_mark"))
         .agg(F.collect_set("pos").alias("drops"))

@@ -21,8 +21,9 @@ exactly if some 64-bit word lies within 1 bit of both, so each emits itself and
 its 64 one-bit changes, and all that share a centre link to its least one. This
 is exact, needs 65 rows a fingerprint however many are alike, and no pairs.
 
-Groups: components by alternating large-star and small-star rounds over links of
-different fingerprints, with a checkpoint a round.
+Groups: components of the links of different fingerprints, by one task if they are
+few (counted), else by alternating large-star and small-star rounds with a
+checkpoint a round.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Named, chunks, ensure_checkpoint_dir, few_ids, type_of
+from .common import Named, chunks, compact, ensure_checkpoint_dir, few_ids, join_hot, type_of
 
 BUCKET = 32
+#: So many edges one task unites.
+SMALL = 500_000
 #: Fingerprints that differ in at most so many bits link; the keys and the centres are made for this number.
 BITS = 2
-SALTS_LOG2 = 6
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b110001110101
@@ -189,10 +191,40 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node reachable) of edges a, b; nodes without an edge don't appear. Rounds go on until nothing changes."""
+def _united(edges: DataFrame) -> DataFrame:
+    """Components of edges u, v, all in one task."""
+    kind = type_of(edges, "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(up.setdefault(u, u)), root(up.setdefault(v, v))
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(0).type) for x in (nodes, [root(x) for x in nodes])] if nodes else [pa.array([], pa.null())] * 2, ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """node, root (the least node reachable) of edges a, b; nodes without an edge don't appear.
+
+    Up to small edges are united by one task; more go through rounds until nothing changes.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    edges, n = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if not n:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if n <= small:
+        return _united(edges)
     seen = None
     while True:
         # large-star: larger neighbours meet the least of the neighbourhood
@@ -220,17 +252,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    # the only pass over texts; later steps read these two numbers a row from the shared folder
-    rows = simhash(docs, id_col, text_col, shingle).withColumn("salt", F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 64 - SALTS_LOG2)).checkpoint()
-    salted = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
-    prints = salted.groupBy("fp").agg(F.min("least").alias("least"))
+    # the only pass over texts; later steps read these two values a row from the shared folder
+    rows = simhash(docs, id_col, text_col, shingle).checkpoint()
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).checkpoint()
     found = components(links(prints, bucket))
-    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(groups, "root").select("fp", "component_id")
-    # a fingerprint of a third of all rows meets its class under as many keys as there are salts
-    by_salt = salted.select("fp", "salt").join(classes, "fp")
-    return rows.join(by_salt, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    # a component may hold most fingerprints, so its least id is found apart and dealt out
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")).checkpoint()
+    classes = join_hot(rooted, groups, ["root"], "prints", ["fp"]).select("fp", "n", "component_id").checkpoint()
+    return join_hot(rows, classes, ["fp"], "n", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -8,17 +8,18 @@ common key of two sets also bounds what follows it, so pairs whose sizes or plac
 under a key leave too little in common go by four numbers. The sample only shapes
 the order; any order finds all pairs.
 
-Crowded keys: under each key all meet its least id, then those left their greatest.
-Whoever has met all others under a key leaves it, and a key whose members are in
-one component is settled. Of the rest, members outside a key's most frequent
-component meet all of other components; those of one component never meet again.
-So a crowd of copies costs rows in proportion to its size, and no pair is left out.
+Crowded keys: under each key all meet its least and its greatest id, which have then
+met all others and leave it; a key whose members are in one component is settled. Of
+the rest, members outside a key's most frequent component meet all of other
+components; those of one component never meet again. So a crowd of copies costs rows
+in proportion to its size, and no pair is left out. Keys that a sample shares are
+dealt out by id, so none is one task's.
 
 Texts are met last. Candidates are first held against each other by the parities of
 their members' counts in 1024 bins: every bin whose parity differs needs a member that
 only one set has, and sets that are 4/5 similar have at most a ninth of both sizes of
-these. Pairs that pass are held against each other in 16384 bins, which long texts
-don't fill. So this, too, leaves out no pair; the rest have their whole sets compared.
+these. Pairs that pass, and whose sets fill these bins, are held against each other
+in 16384. So this, too, leaves out no pair; the rest have their whole sets compared.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, ensure_checkpoint_dir, few_ids, sample_ids
+from .common import Named, chunks, compact, ensure_checkpoint_dir, few_ids, join_hot, sample_ids, type_of
 from .simhash import components
 
 SHINGLE = 5
@@ -42,6 +43,10 @@ NUM, DEN = 4, 5
 SAMPLE, COMMON, MAX_COMMON = 2000, 4, 100_000
 #: Bins of the parities, first and for pairs that pass; powers of two, at least 64.
 BINS, MANY_BINS = 1024, 16384
+#: Sets of at least so many members fill BINS.
+FULL = 512
+#: Parts of a key that a sample shares.
+PARTS = 256
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -72,13 +77,13 @@ def _common(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _keyed(rows: DataFrame, common: np.ndarray, size: int) -> DataFrame:
-    """key, id, n (members of the set), left (members from the key on)."""
+    """key, part (of the keys that a sample shares, else 0), id, n (members of the set), left (members from the key on), late (is it such a key)."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                at, keys, n, left = [], [], [], []
+                at, keys, n, left, common_ones = [], [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     s = shingles(text, size)
                     if not len(s):
@@ -89,11 +94,13 @@ def _keyed(rows: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                     at.append(np.full(len(first), i))
                     n.append(np.full(len(first), len(s), np.int32))
                     left.append(len(s) - np.arange(len(first), dtype=np.int32))
+                    common_ones.append(np.arange(len(first)) >= len(s) - late.sum())
                 if keys:
-                    columns = [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(n)), pa.array(np.concatenate(left))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "left"])
+                    columns = [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(n)), pa.array(np.concatenate(left)), pa.array(np.concatenate(common_ones))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "left", "late"])
 
-    return rows.select("id", "text").mapInArrow(run, "key long, id long, n int, left int")
+    keyed = rows.select("id", "text").mapInArrow(run, f"key long, id {type_of(rows, 'id')}, n int, left int, late boolean")
+    return keyed.withColumn("part", F.when(F.col("late"), F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(0).cast("int"))
 
 
 def parities(s: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -111,7 +118,7 @@ def _sketches(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 bins = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), bins], ["id", "n", "bins"])
 
-    return rows.join(few_ids(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, n int, bins array<long>")
+    return rows.join(few_ids(ids), "id", "left_semi").select("id", "text").mapInArrow(run, f"id {type_of(rows, 'id')}, n int, bins array<long>")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -122,30 +129,32 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _finer(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs whose parities in MANY_BINS bins allow the similarity."""
+    """The pairs whose parities in MANY_BINS bins allow the similarity; smaller sets than FULL have none and pass."""
+    kind = type_of(texts, "id")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 sets = [shingles(t, size) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s, MANY_BINS).tobytes() for s in sets], pa.binary())], ["id", "n", "bins"])
+                bins = [parities(s, MANY_BINS).tobytes() if len(s) >= FULL else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(bins, pa.binary())], ["id", "n", "bins"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (n, m, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
-                differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
-                if differ * (NUM + DEN) <= (n + m) * (DEN - NUM):
+                if x is None or y is None or int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) * (NUM + DEN) <= (n + m) * (DEN - NUM):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    sketches = texts.select("id", "text").mapInArrow(sketch, "id long, n int, bins binary").checkpoint()
+    sketches = texts.select("id", "text").mapInArrow(sketch, f"id {kind}, n int, bins binary").checkpoint()
     rows = pairs.join(sketches.toDF("a", "na", "pa"), "a").join(sketches.toDF("b", "nb", "pb"), "b")
-    return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct().checkpoint()
+    return compact(rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, f"a {kind}, b {kind}").distinct())[0]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """a, b of pairs that are similar; texts has id, text. An id with several texts is similar by any of them."""
+    kind = type_of(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
@@ -159,50 +168,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().checkpoint()
+    wanted, _ = compact(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     few = texts.join(few_ids(wanted), "id", "left_semi")
     pairs = _finer(pairs, few, size)
     left, right = few.select(F.col("id").alias("a"), F.col("text").alias("ta")), few.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _met(rows: DataFrame, common: np.ndarray, size: int) -> DataFrame:
+    """key, id, n, left of keys that different ids have, and the row (id, n, left) of the least and the greatest of these."""
+    row, part = F.struct("id", "n", "left"), Window.partitionBy("key", "part")
+    held = _keyed(rows, common, size).withColumns({"lo": F.min(row).over(part), "hi": F.max(row).over(part)}).filter("late OR lo.id < hi.id").drop("part").checkpoint()
+    late = held.filter("late")
+    keys = late.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo.id < hi.id").checkpoint()
+    dealt = join_hot(late.drop("lo", "hi"), keys, ["key"], "rows", ["id"]).drop("rows")
+    return held.filter("NOT late").unionByName(dealt).drop("late").checkpoint()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest id reachable over links) of documents that resemble another; others don't appear.
 
-    Rows with a null id, and texts without words, resemble nothing. Other columns
-    are not read; an empty table gives an empty result.
+    Rows with a null id, and texts without words, resemble nothing. Texts of any
+    length are read whole; of rows that repeat an id each text may resemble another
+    id's. Other columns are not read; an empty table gives an empty result.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    key = Window.partitionBy("key")
-    held = _keyed(rows, _common(rows, shingle), shingle).withColumn("lo", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).filter("lo < hi").drop("lo", "hi").checkpoint()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    met = _met(rows, _common(rows, shingle), shingle)
+    ids, n = compact(met.select("id").distinct())
+    if not n:
+        return ids.select(F.col("id").alias("doc_id"), F.col("id").alias("component_id"))
+    sketches = _sketches(rows, ids, shingle).checkpoint()
     fits = (F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM) & (F.least("left", "mleft") * (NUM + DEN) >= (F.col("n") + F.col("m")) * NUM)
     pair = (F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b"))
-    sketches = _sketches(rows, held.select("id").distinct().checkpoint(), shingle).checkpoint()
-    links = found = last = None
-    for end in (F.min, F.max):
-        # a row of the met one's id with another text stays
-        met = held.withColumn("r", end(F.struct("id", "n", "left")).over(key)).withColumns({"mid": F.col("r.id"), "m": F.col("r.n"), "mleft": F.col("r.left")})
-        pairs = _possible(met.filter((F.col("id") != F.col("mid")) & fits).select(*pair).distinct(), sketches).checkpoint()
-        new = _verified(pairs, rows, shingle).checkpoint()
-        links = new if links is None else links.unionByName(new)
-        found = components(links).checkpoint()
-        rest = met.filter(F.struct("id", "n", "left") != F.col("r")).select("key", "id", "n", "left")
-        rooted = rest.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        unsettled = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", deterministic=True).alias("most")).filter("lo < hi").select("key", "most")
-        last = rooted.join(unsettled, "key").checkpoint()
-        held = last.select("key", "id", "n", "left")
-        if held.isEmpty():
-            break
-    others = last.select("key", F.col("id").alias("mid"), F.col("n").alias("m"), F.col("left").alias("mleft"), F.col("root").alias("mroot"))
-    apart = (F.col("root") != F.col("mroot")) & ((F.col("mroot") == F.col("most")) | (F.col("id") < F.col("mid")))
-    pairs = _possible(last.filter("root <> most").join(others, "key").filter(apart & fits).select(*pair).distinct(), sketches).checkpoint()
-    if not pairs.isEmpty():
-        found = components(links.unionByName(_verified(pairs, rows, shingle)))
+    own = F.struct("id", "n", "left")
+    ends = met.withColumn("r", F.explode(F.array("lo", "hi"))).withColumns({"mid": F.col("r.id"), "m": F.col("r.n"), "mleft": F.col("r.left")})
+    pairs, _ = compact(_possible(ends.filter((F.col("id") != F.col("mid")) & fits).select(*pair).distinct(), sketches))
+    links, _ = compact(_verified(pairs, rows, shingle))
+    found = components(links).checkpoint()
+    # a row of an end's id with another text stays
+    rest = met.filter((own != F.col("lo")) & (own != F.col("hi"))).select("key", "id", "n", "left")
+    rooted = rest.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).checkpoint()
+    roots = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    unsettled = roots.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rows", "root")).alias("most")).filter("roots > 1").select("key", F.col("most.root").alias("most"))
+    last, n = compact(rooted.join(unsettled, "key"))
+    if n:
+        others = last.select("key", F.col("id").alias("mid"), F.col("n").alias("m"), F.col("left").alias("mleft"), F.col("root").alias("mroot"))
+        apart = (F.col("root") != F.col("mroot")) & ((F.col("mroot") == F.col("most")) | (F.col("id") < F.col("mid")))
+        pairs, n = compact(_possible(last.filter("root <> most").join(others, "key").filter(apart & fits).select(*pair).distinct(), sketches))
+        if n:
+            found = components(links.unionByName(_verified(pairs, rows, shingle)))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs without those that resemble a document of smaller id in their component, with all their columns."""
-    gone = similar_groups(docs, id_col, text_col, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct().checkpoint()
-    return docs.join(few_ids(gone), docs[id_col] == F.col("__id"), "left_anti")
+    """The rows of docs without those that resemble a document of smaller id in their component, with all their columns, of any names."""
+    named = Named(docs)
+    gone = similar_groups(named.rows, named.at(id_col), named.at(text_col), shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct().checkpoint()
+    return named.back(named.rows.join(few_ids(gone), F.col(named.at(id_col)) == F.col("__id"), "left_anti"))

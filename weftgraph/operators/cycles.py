@@ -1,8 +1,8 @@
 """Cycles: an edge is on one if both its ends are in the same strongly connected component, or if it is a loop.
 
 Nodes without incoming or outgoing edges are trimmed first; in call graphs little
-is left. A small core (its size is counted) goes to one task, which finds the
-components by an iterative depth-first search. A larger one is coloured: the
+is left. A small core (its size is counted) goes to one task as numbers, which finds
+the components by an iterative depth-first search. A larger one is coloured: the
 greatest node that reaches a node is its colour; nodes that reach their colour's
 node within the colour form a component, which leaves; then the rest is trimmed
 and coloured again.
@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import settled
+from ..plans.runtime import few, settled
 
-SMALL_CORE = 100_000
+SMALL_CORE = 1_000_000
 
 
 def trim(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -26,8 +27,10 @@ def trim(pairs: DataFrame) -> tuple[DataFrame, int]:
     core = settled(pairs)
     n = core.count()
     while n:
+        # there are at most n ends
         entered, left = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
-        core = settled(core.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+        ends = core.select(F.count_distinct("src"), F.count_distinct("dst")).first()
+        core = settled(core.join(few(entered, ends[1]), "src", "left_semi").join(few(left, ends[0]), "dst", "left_semi").select("src", "dst"))
         m = core.count()
         if m == n:
             break
@@ -81,12 +84,24 @@ def strong_components(edges: list[tuple]) -> dict:
     return root
 
 
+def numbered(batches: Iterator[pd.DataFrame]) -> tuple[list, list[tuple[int, int]]]:
+    """Nodes in ascending order, and the edges src, dst between their numbers: strings are held once."""
+    number: dict = {}
+    parts = [np.array([[number.setdefault(x, len(number)) for x in rows[c]] for c in ("src", "dst")], np.int64) for rows in batches]
+    names = sorted(number)
+    place = np.empty(len(names), np.int64)
+    place[[number[x] for x in names]] = np.arange(len(names))
+    edges = place[np.concatenate([np.zeros((2, 0), np.int64), *parts], 1)]
+    return names, list(zip(*edges.tolist(), strict=True))
+
+
 def _small(core: DataFrame) -> DataFrame:
     kind = core.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root = strong_components([e for rows in batches for e in zip(rows["src"], rows["dst"], strict=True)])
-        yield pd.DataFrame({"node": list(root), "component": list(root.values())})
+        names, edges = numbered(batches)
+        root = strong_components(edges)
+        yield pd.DataFrame({"node": [names[x] for x in root], "component": [names[x] for x in root.values()]})
 
     return core.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 
@@ -138,10 +153,11 @@ def cycle_edges(pairs: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     """Distinct src, dst of pairs that lie on a cycle."""
     pairs = settled(pairs.select("src", "dst").distinct())
     comp = settled(components(pairs, small_core))
+    n = comp.count()
     same = (
         pairs.filter("src <> dst")
-        .join(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
-        .join(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        .join(few(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), n), "src")
+        .join(few(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), n), "dst")
         .filter("a = b")
         .select("src", "dst")
     )
@@ -187,7 +203,8 @@ def dfs_cycle_edges(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: dict = {}
-        for a, b in sorted(e for rows in batches for e in zip(rows["src"], rows["dst"], strict=True)):
+        names, edges = numbered(batches)
+        for a, b in sorted(edges):
             out.setdefault(a, []).append(b)
         state: dict = {}
         found: set = set()
@@ -209,7 +226,7 @@ def dfs_cycle_edges(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
                 else:
                     work.pop()
                     state[path.pop()] = -1
-        yield pd.DataFrame(sorted(found), columns=["src", "dst"])
+        yield pd.DataFrame([(names[a], names[b]) for a, b in sorted(found)], columns=["src", "dst"])
 
     core, n = trim(pairs.select("src", "dst").distinct())
     if n > most:

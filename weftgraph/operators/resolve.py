@@ -49,15 +49,34 @@ def pick(imports: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
     return found.groupBy("source", "module").agg(F.min_by("path", "__n").alias("target"))
 
 
-def with_extensions(base: Column) -> Column:
-    """The path itself, with each extension, then an index file of each extension in it."""
-    return F.array(base, *(F.concat(base, F.lit(e)) for e in EXTENSIONS), *(F.concat(base, F.lit(f"/index{e}")) for e in EXTENSIONS))
+def stems(files: DataFrame) -> DataFrame:
+    """path, base, rank: what may be written for a file, the least rank first: the path itself, it without a known extension, its directory if it is an index file.
+
+    So an import is one row that meets its file by base, and not one for each ending.
+    """
+    ends = F.array(*map(F.lit, EXTENSIONS))
+    end = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    nth = F.array_position(ends, end).cast("int")
+    bare = F.expr("substring(path, 1, length(path) - length(__end))")
+    rows = files.select("path").distinct().withColumns({"__end": end, "__nth": nth}).withColumn("__bare", bare)
+    whole = F.struct(F.col("path").alias("base"), F.lit(0).alias("rank"))
+    cut = F.struct(F.col("__bare").alias("base"), F.col("__nth").alias("rank"))
+    folder = F.struct(F.regexp_replace("__bare", "/index$", "").alias("base"), (F.col("__nth") + len(EXTENSIONS)).alias("rank"))
+    tried = F.when(F.col("__nth") == 0, F.array(whole)).when(F.col("__bare").endswith("/index"), F.array(whole, cut, folder)).otherwise(F.array(whole, cut))
+    return rows.select("path", F.explode(tried).alias("t")).select("path", "t.base", "t.rank")
+
+
+def pick_stem(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """source, module, target of rows (source, module, base, and ordinal if several bases are tried): the first base that a file has, by its least rank."""
+    order = F.struct("ordinal", "rank") if "ordinal" in rows.columns else F.col("rank")
+    return rows.join(stems(files), "base").groupBy("source", "module").agg(F.min_by("path", order).alias("target"))
 
 
 def relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Specifiers that begin with a point or a slash."""
     base = F.when(F.col("module").startswith("/"), resolved(F.col("module"))).otherwise(resolved(F.concat_ws("/", dirname(F.col("source")), F.col("module"))))
-    return pick(imports.filter(F.col("module").rlike(r"^(\.|/)")), files, with_extensions(base))
+    rows = imports.filter(F.col("module").rlike(r"^(\.|/)")).select("source", "module").distinct()
+    return pick_stem(rows.withColumn("base", base), files)
 
 
 def nearest(paths: DataFrame, configs: DataFrame, root: str = "") -> DataFrame:
@@ -159,9 +178,7 @@ def by_alias(imports: DataFrame, files: DataFrame, aliases: DataFrame, root: str
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     tried = asked.join(near, "source").select("source", "module", "config_dir", F.explode(prefixes).alias("alias"))
     best = first_of(tried.join(aliases, ["config_dir", "alias"]), ["source", "module"], F.col("ordinal"))
-    base = best.withColumn("__base", F.concat("target", F.expr("substring(module, length(alias) + 1)"))).select("source", "module", "__base")
-    rows = base.select("source", "module", F.posexplode(with_extensions(F.col("__base"))).alias("__n", "path")).join(files.select("path").distinct(), "path")
-    return rows.groupBy("source", "module").agg(F.min_by("path", "__n").alias("target"))
+    return pick_stem(best.select("source", "module", F.concat("target", F.expr("substring(module, length(alias) + 1)")).alias("base")), files)
 
 
 def python(imports: DataFrame, files: DataFrame, root: str) -> DataFrame:
@@ -268,10 +285,13 @@ def workspace_packages(imports: DataFrame, files: DataFrame, packages: DataFrame
     rows = imports.select("source", "module").distinct().withColumn("name", name).join(packages.select("name", "dir", "main"), "name")
     rest = F.expr("substring(module, length(name) + 2)")
     under = lambda sub: F.concat(F.col("dir"), F.lit("/"), sub)
-    sub = F.concat(with_extensions(under(F.concat(F.lit("src/"), rest))), with_extensions(under(rest)))
-    entry = F.concat(with_extensions(under(F.lit("src/index"))), F.array(under(F.coalesce("main", F.lit("index")))), with_extensions(under(F.lit("index"))))
-    tried = rows.select("source", "module", F.posexplode(F.when(rest != "", sub).otherwise(entry)).alias("__n", "path"))
-    return tried.join(files.select("path").distinct(), "path").groupBy("source", "module").agg(F.min_by("path", "__n").alias("target"))
+    sub = F.array(under(F.concat(F.lit("src/"), rest)), under(rest))
+    entry = F.array(under(F.lit("src/index")), under(F.coalesce("main", F.lit("index"))), under(F.lit("index")))
+    tried = rows.select("source", "module", (rest == "").alias("__entry"), F.posexplode(F.when(rest != "", sub).otherwise(entry)).alias("ordinal", "base"))
+    found = tried.join(stems(files), "base")
+    # the main file is written whole
+    found = found.filter(~F.col("__entry") | (F.col("ordinal") != 1) | (F.col("rank") == 0))
+    return found.groupBy("source", "module").agg(F.min_by("path", F.struct("ordinal", "rank")).alias("target"))
 
 
 def first_resolved(stages: list[DataFrame]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A hop joins the edges with the frontier only, takes distinct new nodes and
 anti-joins what has been seen; each hop's frontier is a checkpoint, so plans stay
-short and a lost executor costs one hop. Nodes may be of any type.
+short and a lost executor costs one hop. Frontiers are counted: few nodes are
+broadcast, so a hop reads the edges without dealing them out. Nodes may be of any
+type.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import settled
+from ..plans.runtime import few, settled
 from ..schema import is_stub
 
 
@@ -25,14 +27,17 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, barrier:
         raise ValueError("depth is 0 or more")
     frontier = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     visited, hop = frontier, 0
+    n = total = frontier.count()
     pairs = edges.select("src", F.col("dst").alias("node"))
-    while (depth is None or hop < depth) and not frontier.isEmpty():
+    while (depth is None or hop < depth) and n:
         hop += 1
         leave = frontier if blocked is None else frontier.join(blocked, "node", "left_anti")
-        step = pairs.join(leave.select(F.col("node").alias("src")), "src").select("node").distinct()
+        step = pairs.join(few(leave.select(F.col("node").alias("src")), n), "src").select("node").distinct()
         if barrier is not None:
             step = step.filter(~barrier)
-        frontier = settled(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(hop)))
+        frontier = settled(step.join(few(visited, total), "node", "left_anti").withColumn("depth", F.lit(hop)))
+        n = frontier.count()
+        total += n
         visited = visited.unionByName(frontier)
         if hop % 8 == 0:
             visited = settled(visited)
@@ -64,8 +69,9 @@ def neighbourhood_nodes(symbols: DataFrame, edges: DataFrame, root, depth: int =
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame, src: str = "source_id", dst: str = "target_id") -> DataFrame:
-    """Edges with both ends among nodes (column node)."""
-    return edges.join(nodes.select(F.col("node").alias(src)).distinct(), src, "left_semi").join(nodes.select(F.col("node").alias(dst)).distinct(), dst, "left_semi")
+    """Edges with both ends among nodes (column node; a checkpoint, as it is counted)."""
+    n = nodes.count()
+    return edges.join(few(nodes.select(F.col("node").alias(src)), n), src, "left_semi").join(few(nodes.select(F.col("node").alias(dst)), n), dst, "left_semi")
 
 
 def direction(source: Column, target: Column, root: Column) -> Column:
@@ -116,7 +122,7 @@ def crawl_from(deps: DataFrame, start: DataFrame, known: DataFrame, extra_depth:
 def related(pairs: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of start's weak component, and the edges (src, dst) that touch them."""
     nodes = settled(reach(both_ways(pairs), start))
-    return nodes, pairs.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    return nodes, pairs.join(few(nodes.select(F.col("node").alias("src")), nodes.count()), "src", "left_semi")
 
 
 def direct(pairs: DataFrame, node) -> DataFrame:

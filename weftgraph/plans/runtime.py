@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,6 +21,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+#: Rows of ids that are broadcast at most.
+FEW = 200_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df, broadcast in a join if its n rows, which were counted, are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows on shared storage, without their lineage."""
     ensure_checkpoint_dir(df.sparkSession)
