@@ -11,23 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import encode
-from weftgraph.llm.common import ensure_checkpoint_dir, table
+from weftgraph.llm.common import Named, ensure_checkpoint_dir, table
 from weftgraph.llm.decontamination import decontaminate
 from weftgraph.llm.exact_dedup import drop_exact_copies
 from weftgraph.llm.language_id import UNKNOWN, fit_languages, identify_languages
 from weftgraph.llm.similar import drop_similar
 from weftgraph.llm.simhash import drop_near_duplicates
 
-MIN_SCORE = 1 / 3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those between languages of which none has over a third of the score."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = identify_languages(docs, fit_languages(docs), keep=others)
-    vague = F.col("ambiguous") & (F.col("score") < MIN_SCORE)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & ~vague).select(*docs.columns)
+    """Documents without a letter go, and those that the operator flags as ambiguous; lang is the language found.
+
+    Columns may have any names: they are read under names of the stage's own.
+    """
+    named = Named(docs)
+    doc_id, text, lang = named.at("doc_id"), named.at("text"), named.at("lang")
+    others = tuple(c for c in named.rows.columns if c not in (doc_id, lang))
+    found = identify_languages(named.rows, fit_languages(named.rows, doc_id, text, lang), doc_id, text, keep=others)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
+    return named.back(kept.withColumnsRenamed({"doc_id": doc_id, "lang_pred": lang}))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +50,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items are cut out; documents that consist of little else go."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=others).filter(~F.col("dropped"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Passages of benchmark items are cut out; documents that consist of little else go. n_chars is that of the text left."""
+    named = Named(docs)
+    doc_id, text, n_chars = named.at("doc_id"), named.at("text"), named.at("n_chars")
+    others = tuple(c for c in named.rows.columns if c not in (doc_id, text, n_chars))
+    found = decontaminate(named.rows, table(spark, sf_dir, "benchmark"), doc_id, text, keep=others).filter(~F.col("dropped"))
+    return named.back(found.withColumn(n_chars, F.length("text").cast(docs.schema["n_chars"].dataType)).withColumnsRenamed({"doc_id": doc_id, "text": text}))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
