@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
@@ -94,17 +94,17 @@ def sample_ids(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     return rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
 
 
-def sample_by(marks: DataFrame, id_col: str, label_col: str, n: Column) -> DataFrame:
-    """At most n ids of each label, by the hash of the id; marks has each id once. Only the labels, which a model holds, are broadcast.
+def sample_near(marks: DataFrame, id_col: str, label_col: str, n: Column) -> DataFrame:
+    """marks with __at, the hash of the id, of about 1.25 n ids of each label, those of least hash; marks has each id once.
 
-    Of a label with over 4 n ids only those in a range of hashes that holds about
-    4 n are sorted, so no task sees more, however large the label.
+    A label's rows are counted, and a range of hashes is taken that holds so many;
+    so nothing is sorted, and no task sees a whole label. Only the labels, which a
+    model holds, are broadcast.
     """
     counts = marks.groupBy(label_col).agg(F.count(F.lit(1)).alias("__count"))
-    near = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) * F.col("__count") < n.cast("double") * 4 * (1 << 31)
-    order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
-    most = marks.join(F.broadcast(counts), label_col).filter(near).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n)
-    return most.drop("__rank", "__count")
+    at = F.pmod(F.xxhash64(id_col), F.lit(1 << 31))
+    rows = marks.join(F.broadcast(counts), label_col).withColumn("__at", at)
+    return rows.filter(F.col("__at") * F.col("__count") < n.cast("double") * 1.25 * (1 << 31)).drop("__count")
 
 
 def compact(rows: DataFrame) -> tuple[DataFrame, int]:

@@ -83,11 +83,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     named = Named(docs)
     id_col, text_col = named.at(id_col), named.at(text_col)
+    key = lambda sha, i: F.concat(F.unhex(sha), F.encode(F.coalesce(F.col(i).cast("string"), F.lit("null")), "utf-8")).alias("key")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    key = F.concat(sha, F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    marks = exact_dedup(named.rows, id_col, text_col, keep).filter("kept")
-    marks = marks.select(F.concat("text_sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("key"))
-    rows = named.rows.withColumn("key", key).join(marks, "key", "left_semi")
+    marks = exact_dedup(named.rows, id_col, text_col, keep).filter("kept").select(key(F.col("text_sha256"), "doc_id"))
+    rows = named.rows.withColumn("key", key(sha, id_col)).join(marks, "key", "left_semi")
     # the join has sorted by key, so the window adds no exchange and no sort
     again = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     return named.back(rows.withColumn("again", again).filter("again = 1"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VOCAB_CHARS, Vocab, sample_by
+from .common import VOCAB_CHARS, Vocab, sample_near
 
 MAX_WORDS = 200_000
 #: Characters of texts whose words are numbered at a time.
@@ -134,12 +134,13 @@ class Adagrad:
 
 
 def labelled(docs: DataFrame, marks: DataFrame, label: str, per_label: dict | int, fit_rows, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> list[tuple]:
-    """(text, label, *more) of documents whose id has a label in marks by ascending id.
+    """(text, label, *more) of documents whose id has a label in marks, by ascending id.
 
     per_label: how many documents of each label at most, those of least hash of the
     id; labels that a dict lacks aren't used. This bounds the rows that reach the
-    driver, whatever their length. fit_rows: which ids may be used. Of an id with
-    several labels the greatest counts; of one with several texts that of least hash.
+    driver (about 1.25 times as many do), whatever their length. fit_rows: which ids
+    may be used. Of an id with several labels the greatest counts; of one with
+    several texts that of least hash.
     """
     known = marks.select(F.col(id_col).alias("__id"), F.col(label).alias("__label")).filter(F.col("__label").isNotNull() & F.col("__id").isNotNull() & fit_rows(F.col("__id")))
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
@@ -148,9 +149,14 @@ def labelled(docs: DataFrame, marks: DataFrame, label: str, per_label: dict | in
         n = F.create_map(*(F.lit(x) for pair in per_label.items() for x in pair))[F.col("__label")]
     else:
         n = F.lit(per_label)
-    # at most the sum of per_label rows
-    ids = F.broadcast(sample_by(known, "__id", "__label", n))
+    ids = F.broadcast(sample_near(known, "__id", "__label", n))
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(more)))
-    row = F.struct(F.xxhash64("__text"), "__text", "__label", *(f"__{k}" for k in range(len(more))))
-    found = rows.join(ids, "__id").groupBy("__id").agg(F.min(row).alias("row")).collect()
-    return [tuple(r.row)[1:] for r in sorted(found, key=lambda r: r[0])]
+    row = F.struct(F.xxhash64("__text"), "__at", "__text", "__label", *(f"__{k}" for k in range(len(more))))
+    left: dict = {}
+    kept = []
+    for i, (_, _, *found) in sorted(rows.join(ids, "__id").groupBy("__id").agg(F.min(row).alias("row")).collect(), key=lambda r: (r.row["__at"], r[0])):
+        y = found[1]
+        left[y] = left.get(y, per_label[y] if isinstance(per_label, dict) else per_label) - 1
+        if left[y] >= 0:
+            kept.append((i, *found))
+    return [tuple(r[1:]) for r in sorted(kept, key=lambda r: r[0])]
