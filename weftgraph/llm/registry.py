@@ -12,7 +12,7 @@ from .bpe import encode
 from .common import held_out, table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
-from .html_extract import extract
+from .html_extract import BLOCK, extract
 from .language_id import FOLD as LANG_FOLD
 from .language_id import FOLDS as LANG_FOLDS
 from .language_id import fit_languages, identify_languages
@@ -32,8 +32,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +109,37 @@ SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+#: Greedy longest match: the longest token at each place of each different word, then the walk from its start; bytes as two hexadecimal digits each.
+OP2_SQL = f"""
+WITH RECURSIVE tokens AS (
+  SELECT hex(from_base64(string_split(line, ' ')[1])) AS t
+  FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM read_text('{VOCABULARY}')) WHERE line <> ''),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+') AS w FROM documents),
+words AS (SELECT DISTINCT w FROM (SELECT unnest(w) AS w FROM docs)),
+coded AS (SELECT w, hex(encode(' ' || w)) AS h FROM words),
+most AS (SELECT max(length(t)) AS m FROM tokens),
+places AS (SELECT w, h, unnest(range(1, length(h), 2)) AS p FROM coded),
+tried AS (SELECT w, h, p, unnest(range(2, least(m, length(h) - p + 1) + 1, 2)) AS n FROM places, most),
+longest AS (SELECT w, p, max(n) AS n FROM tried JOIN tokens ON t = substr(h, p, n) GROUP BY w, p),
+walk AS (
+  SELECT w, 1 AS p, 0 AS k FROM coded
+  UNION ALL SELECT walk.w, walk.p + longest.n, k + 1 FROM walk JOIN longest ON longest.w = walk.w AND longest.p = walk.p),
+counts AS (SELECT w, max(k) AS k FROM walk GROUP BY w),
+each AS (SELECT r, count(*) AS n_words, sum(k) AS n_tokens FROM (SELECT r, unnest(w) AS w FROM docs) JOIN counts USING (w) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens FROM docs LEFT JOIN each USING (r)
+"""
+
+#: What these pages hold of <article>: blocks by their tags, without adverts and reader comments.
+OP9_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '(?is)<article\b[^>]*>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(x, '(?is)<div class="?(ad|comments)"?>.*?</div>', chr(1), 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '(?i)</?(BLOCKS)\b[^>]*>', chr(1), 'g'), '(?i)<br\b[^>]*>', ' ', 'g'), '(?i)</?[a-z][^>]*>', '', 'g') AS x FROM b),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM c),
+e AS (SELECT page_id, url, list_filter(list_transform(string_split(x, chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '') AS x FROM d)
+SELECT page_id, url, array_to_string(x, chr(10) || chr(10)) AS text, CAST(length(array_to_string(x, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM e
+""".replace("BLOCKS", "|".join(sorted(BLOCK)))
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -128,4 +162,4 @@ FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_token_counts": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_html_extract": OP9_SQL, "op10_line_dedup": OP10_SQL}
