@@ -211,21 +211,27 @@ def dfs_cycle_edges(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
         for start in sorted(out):
             if start in state:
                 continue
-            path, work = [start], [iter(out[start])]
+            # reach: the lowest place on the path that a back edge from here or above it has met
+            path, work, reach = [start], [iter(out[start])], [0]
             state[start] = 0
             while work:
                 for to in work[-1]:
                     if to not in state:
                         state[to] = len(path)
+                        reach.append(len(path))
                         path.append(to)
                         work.append(iter(out.get(to, ())))
                         break
                     if state[to] >= 0:
-                        ring = path[state[to] :]
-                        found.update(zip(ring, [*ring[1:], to], strict=True))
+                        found.add((path[-1], to))
+                        reach[-1] = min(reach[-1], state[to])
                 else:
                     work.pop()
-                    state[path.pop()] = -1
+                    node, low = path.pop(), reach.pop()
+                    state[node] = -1
+                    if low < len(path):
+                        found.add((path[-1], node))
+                        reach[-1] = min(reach[-1], low)
         yield pd.DataFrame([(names[a], names[b]) for a, b in sorted(found)], columns=["src", "dst"])
 
     core, n = trim(pairs.select("src", "dst").distinct())
