@@ -120,3 +120,12 @@ def test_scan_and_trace(spark, tree):
     assert {r.resolved for r in rows} == {f"{tree}/web/lib/a.ts", f"{tree}/pkg/src/index.ts", f"{tree}/web/rel.ts"}
     assert {r.max_depth_reached for r in rows} == {True}
     assert {r.max_depth_reached for r in g.trace(f"{tree}/web/main.ts:run", 3).collect()} == {False}
+
+
+def test_answer_in_phases(spark, tree):
+    put(tree, "web/main.ts", FILES["web/main.ts"].replace("p(); ", ""))
+    found = CodeGraph(spark, Config(tree)).build_index().answer(f"{tree}/web/main.ts")
+    name = lambda p: p[len(tree) + 1 :]
+    assert {name(r.node): r.n_lines for r in found["lines"].collect()} == {"web/main.ts": 4, "web/lib/a.ts": 1, "pkg/src/index.ts": 1, "web/rel.ts": 2}
+    assert {(name(r.source), name(r.target)) for r in found["unused"].collect()} == {("web/main.ts", "pkg/src/index.ts")}
+    assert found["edges"].count() == 4 and found["nodes"].count() == 4

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.misc import line_count
 from .functions.paths import in_ignored_directory, language
 from .operators import cycles, diff, resolve, store, traverse, usage, views
 from .plans.runtime import settled
@@ -73,7 +74,7 @@ class CodeGraph:
     def _extracted(self, files: DataFrame) -> dict[str, DataFrame]:
         """What is read of each file by itself: its record, imports, symbols with references, and symbols with dependencies. Texts aren't kept."""
         now = int(time.time() * 1000)
-        record = files.select("path", "lang", "last_modified", F.lit(now).cast("long").alias("indexed_at"), "size")
+        record = files.select("path", "lang", "last_modified", F.lit(now).cast("long").alias("indexed_at"), "size", line_count(F.col("text")).alias("n_lines"))
         listed = files.select("path", F.coalesce("lang", language(F.col("path"))).alias("lang"), "text")
         return {
             "files": settled(record),
@@ -171,6 +172,13 @@ class CodeGraph:
     def crawl_from(self, path: str, known: DataFrame, extra_depth: int = 10) -> DataFrame:
         return traverse.crawl_from(self.deps, self._node(path), known, extra_depth)
 
+    def answer(self, path: str, depth: int | None = None) -> dict[str, DataFrame]:
+        """A file's graph in parts that are computed when they are used: nodes and edges first, then which edges aren't used, then the lines of each node."""
+        nodes, edges = self.crawl(path, depth)
+        unused = self.unused_edges()[0].join(edges, ["source", "target"], "left_semi")
+        lines = nodes.join(self.files.select(F.col("path").alias("node"), "n_lines"), "node", "left").select("node", "n_lines")
+        return {"nodes": nodes, "edges": edges, "unused": unused, "lines": lines}
+
     def referencing_files(self, path: str) -> DataFrame:
         return usage.referencing_files(self.deps, self.spark.createDataFrame([(path,)], "path string"))
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, misc, paths
 from ..operators import resolve, store, traverse, usage, views
-from ..sources import callgraph, imports, signatures, symbols
+from ..sources import callgraph, imports, signatures, symbols, workspace
+from ..streaming import changes as feed
 from . import fixtures as fx
 from .queries import query
-from .runtime import settled
+from .runtime import ensure_checkpoint_dir, settled
 
 
 def filled(template: str, **values: Column) -> Column:
@@ -578,3 +579,159 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import cycles
 
     return cycles.capped_cycle_edges(fx.deps(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst")), 1)
+
+
+@query(
+    "toon_read",
+    "WITH" + fx.SYMBOLS + ", d AS (SELECT folder, count(*) AS n FROM symbols GROUP BY folder) SELECT folder, name, start_line, is_exported, rest FROM (SELECT folder, name, start_line, is_exported, concat(type, ',', lang, '|[x]\\') AS rest FROM symbols) JOIN d USING (folder)",
+)
+def toon_read(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written in the compact format, a document for each folder, and read again."""
+    s = fx.symbols(spark, d).select("folder", "name", "start_line", "is_exported", F.concat("type", F.lit(","), "lang", F.lit("|[x]\\")).alias("rest"))
+    cells = [codec.cell(f.name, f.dataType) for f in s.schema.fields]
+    lines = s.select("folder", F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("line"))
+    text = F.concat(F.lit(codec.header(s.columns) + "\n"), F.array_join(F.collect_list("line"), "\n"))
+    read = codec.read_documents(lines.groupBy("folder").agg(text.alias("text")))
+    return read.select(F.from_json("row_json", s.schema).alias("r")).select("r.*")
+
+
+@query("s10_snapshot", "WITH" + fx.SYMBOLS + " SELECT id, name, type, start_line FROM symbols")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """Saved twice and loaded: the later version."""
+    ensure_checkpoint_dir(spark)
+    folder, root = spark.sparkContext.getCheckpointDir(), "/ws"
+    s = fx.symbols(spark, d).select("id", "name", "type", "start_line")
+    workspace.save_snapshot({"symbols": s.limit(1)}, folder, "s10_snapshot", root)
+    workspace.save_snapshot({"symbols": s}, folder, "s10_snapshot", root)
+    if workspace.load_snapshot(spark, folder, "s10_snapshot", "/other") is not None:
+        raise ValueError("a snapshot of another root was loaded")
+    return workspace.load_snapshot(spark, folder, "s10_snapshot", root)["symbols"]
+
+
+@query(
+    "s1_workspace",
+    "WITH" + fx.SYMBOLS + """,
+f AS (SELECT DISTINCT folder FROM symbols)
+SELECT concat(regexp_extract(folder, '[^/]+$'), '/all', e) AS path, lang, CASE WHEN e = '.py' THEN 'FILE_TOO_LARGE' END AS error, e <> '.py' AS has_text
+FROM f, (VALUES ('.ts', 'typescript'), ('.py', 'python'), ('.go', 'go')) x(e, lang)""",
+)
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    """A tree written to shared storage and walked: ignored and hidden directories and other endings are left out, large files have no text."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir().rstrip("/") + "/s1_workspace"
+    files = fx.symbols(spark, d).select("folder").distinct()
+    names = {".ts": "x", ".py": "y" * 200, ".go": "z", ".md": "m"}
+    places = ["/all", "/node_modules/a/all", "/.hidden/all", "/dist/all"]
+    each = files.select(F.regexp_extract("folder", "[^/]+$", 0).alias("f")).withColumn("p", F.explode(F.array(*map(F.lit, places)))).withColumn("e", F.explode(F.array(*map(F.lit, names))))
+    text = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("e"))
+    write_files(each.select(F.concat(F.lit(root + "/"), "f", "p", "e").alias("path"), text.alias("text")))
+    found = workspace.texts(spark, root, max_bytes=100)
+    below = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
+    return found.select(below.alias("path"), "lang", "error", F.col("text").isNotNull().alias("has_text"))
+
+
+def write_files(rows: DataFrame) -> None:
+    """Writes text to path, through the file system that the path names; for small trees, as the driver does it."""
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path, text in rows.toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(conf).create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+@query(
+    "t2_split",
+    "WITH" + fx.CHANGES + """,
+w AS (SELECT path, arg_max(event, (CASE event WHEN 'delete' THEN 3 WHEN 'change' THEN 2 ELSE 1 END, seq)) AS event FROM changes GROUP BY path)
+SELECT path, event = 'delete' AS is_gone FROM w""",
+)
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    again, gone = feed.split(fx.changes(spark, d))
+    return again.withColumn("is_gone", F.lit(False)).unionByName(gone.withColumn("is_gone", F.lit(True)))
+
+
+@query(
+    "t4_debounce",
+    "WITH" + fx.CHANGES + """,
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, seq) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS first FROM changes),
+n AS (SELECT *, sum(first) OVER (PARTITION BY path ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT path, arg_max(event, (CASE event WHEN 'delete' THEN 3 WHEN 'change' THEN 2 ELSE 1 END, seq)) AS event, max(seq) AS last_seq FROM n GROUP BY path, nth""",
+)
+def t4(spark: SparkSession, d: str) -> DataFrame:
+    return feed.debounced(fx.changes(spark, d), "2 hours").select("path", "event", "last_seq")
+
+
+@query("a9_editor_symbols", "WITH" + fx.EDGES + ", here AS (SELECT path FROM root JOIN symbols USING (id)) SELECT id, CASE WHEN type = 'variable' THEN concat(type, '() callback') ELSE name END AS name, CASE type WHEN 'class' THEN 'class' WHEN 'interface' THEN 'class' WHEN 'function' THEN 'function' WHEN 'method' THEN 'function' ELSE 'variable' END AS kind FROM symbols JOIN here USING (path)")
+def a9(spark: SparkSession, d: str) -> DataFrame:
+    path = fx.root(spark, d).first()["id"].partition(":")[0]
+    s = fx.symbols(spark, d)
+    name = F.when(F.col("type") == "variable", "<function>").otherwise(F.col("name"))
+    editor = s.select("id", "path", name.alias("name"), F.initcap("type").alias("lsp_kind"), F.col("type").alias("container_name"))
+    return views.intra_file(editor, fx.edges(spark, d).select("source_id", "target_id"), path)[0]
+
+
+@query("s15_editor_calls", "WITH" + fx.EDGES + ", here AS (SELECT path FROM root JOIN symbols USING (id)) SELECT DISTINCT source_id, target_id FROM edges, here WHERE source_path = path AND target_path = path")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    path = fx.root(spark, d).first()["id"].partition(":")[0]
+    editor = fx.symbols(spark, d).select("id", "path", "name", F.initcap("type").alias("lsp_kind"), F.lit(None).cast("string").alias("container_name"))
+    return views.intra_file(editor, fx.edges(spark, d).select("source_id", "target_id"), path)[1]
+
+
+@query("a11_symbol_list", "WITH" + fx.SYMBOLS + " SELECT id FROM symbols WHERE type NOT IN ('type', 'interface')")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    return views.listed_symbols(fx.symbols(spark, d).withColumn("category", F.col("type"))).select("id")
+
+
+for _same, _table in ((True, "merged"), (False, "replaced")):
+
+    def _g21(spark: SparkSession, d: str, same: bool = _same) -> DataFrame:
+        s = fx.symbols(spark, d).select("id", "type")
+        old, new = s.filter("type <> 'class'").withColumn("side", F.lit("old")), s.filter("type <> 'method'").withColumn("side", F.lit("new"))
+        none = s.select(F.col("id").alias("source"), F.col("id").alias("target")).limit(0)
+        return views.apply_update(old, none, new, none, same, True, "indexing")[0].select("id", "side")
+
+    query(f"g21_{_table}", "WITH" + fx.SYMBOLS + (" SELECT id, CASE WHEN type <> 'method' THEN 'new' ELSE 'old' END AS side FROM symbols" if _same else " SELECT id, 'new' AS side FROM symbols WHERE type <> 'method'"))(_g21)
+
+
+@query(
+    "f7_radial",
+    "WITH" + fx.SYMBOLS + """,
+r AS (SELECT id, start_line % 5 AS depth, row_number() OVER (PARTITION BY start_line % 5 ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY start_line % 5) AS n FROM symbols)
+SELECT id, CAST(round(depth * 250 * cos(2 * pi() * i / n)) AS BIGINT) AS x, CAST(round(depth * 250 * sin(2 * pi() * i / n)) AS BIGINT) AS y FROM r""",
+)
+def f7(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.symbols(spark, d).select("id", (F.col("start_line") % 5).alias("depth"))
+    return misc.radial(s).select("id", F.round("x").cast("long").alias("x"), F.round("y").cast("long").alias("y"))
+
+
+@query(
+    "f10_configs",
+    "WITH" + fx.SYMBOLS + """,
+f AS (SELECT DISTINCT folder FROM symbols)
+SELECT folder AS config_dir, 0 AS ordinal, '@lib' AS alias, concat(folder, '/lib') AS target FROM f
+UNION ALL SELECT folder, 10000, '@base', '/ws/base' FROM f UNION ALL SELECT '/ws', 0, '@base', '/ws/base'""",
+)
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    """Configs with comments and commas at ends; what a config extends comes after its own."""
+    return resolve.alias_table(_spelt(spark, d, CONFIGS["r3_alias"], ["path", "text"], by_symbol=False))
+
+
+@query("s5_ignored_parents", "WITH" + fx.SYMBOLS + " SELECT DISTINCT concat(replace(folder, 'brand1', 'dist'), '/x.ts') AS path, folder = '/ws/brand1' AS ignored FROM symbols")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.symbols(spark, d).select(F.concat(F.replace("folder", F.lit("brand1"), F.lit("dist")), F.lit("/x.ts")).alias("path")).distinct()
+    return p.select("path", paths.in_ignored_directory(F.col("path")).alias("ignored"))
+
+
+@query("r16_relative", "WITH" + fx.SYMBOLS + " SELECT DISTINCT path, path[5:] AS relative, replace(regexp_replace(path[5:], '\\.(py|ts|js|tsx|jsx)$', ''), '/', '.') AS module FROM symbols")
+def r16(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.symbols(spark, d).select("path").distinct()
+    return p.select("path", paths.relative(F.col("path"), "/ws").alias("relative"), paths.module_path(F.col("path"), "/ws").alias("module"))
+
+
+@query("d19_referencing_payload", "WITH" + fx.DEPS + ", t AS (SELECT min(target) AS target FROM deps) SELECT d.source, d.target, (SELECT count(DISTINCT x.source) FROM deps x WHERE x.target = d.source) AS parent_count FROM deps d JOIN t ON d.target = t.target")
+def d19(spark: SparkSession, d: str) -> DataFrame:
+    deps = settled(fx.deps(spark, d))
+    target = deps.agg(F.min("target")).first()[0]
+    found = usage.referencing_files(deps, spark.createDataFrame([(target,)], "path string")).select(F.col("source").alias("path"), "target")
+    return usage.with_parent_counts(found, deps).select(F.col("path").alias("source"), "target", F.coalesce("parent_count", F.lit(0)).cast("long").alias("parent_count"))
