@@ -167,7 +167,7 @@ def _by_rules(text: str, lang: str) -> tuple[list[Definition], list[Reference]]:
             for m in rules.method_in.finditer(code, body + 1, d.end) if body >= 0 else ():
                 if code.count("{", body + 1, m.start()) == code.count("}", body + 1, m.start()) and m["n"] not in NOT_CALLED - {"is", "of", "in", "not", "and", "or"} and m.start("n") not in found:
                     end = block_end(code, paren_end(code, m.end() - 1))
-                    found[m.start("n")] = Definition(rules.method_kind, m["n"].lstrip("#"), m.start("n"), end, m.start(), d.exported)
+                    found[m.start("n")] = Definition(rules.method_kind, m["n"].lstrip("#"), m.start("n"), end, m.start())
     refs: list[Reference] = []
     for m in CALL.finditer(code):
         member = (m["before"] or "").strip() in (".", "?.")
