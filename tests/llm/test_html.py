@@ -131,6 +131,17 @@ def test_wrappers_keep_the_article(page, inner):
     assert text(page.format(inner)) == "The text"
 
 
+@pytest.mark.parametrize("name", ["comment-list", "site_header", "cookie-banner", "nav-bar", "sidebar-left", "x ad-slot", "related-posts", "menu-item"])
+def test_names_of_several_words(name):
+    page = "<body><div class='{}'><p>Not it</p></div><div class=post><p>The text</p></div></body>"
+    assert text(page.format(name)) == "The text"
+
+
+@pytest.mark.parametrize("name", ["entry-header", "post-footer", "no-comments", "social-science", "content-sidebar", "download", "headers"])
+def test_names_that_only_hold_such_words(name):
+    assert text(f"<body><div class='{name}'><p>One</p></div><div class=post><p>Two</p></div></body>") == "One\n\nTwo"
+
+
 def test_boilerplate_still_goes():
     assert text("<body><div class='comments'><article>A long comment on it</article></div><article>Short</article><div class='x sidebar'><p>s</p></div></body>") == "Short"
     assert text("<body><header><p>A very long header of the site</p></header><p>Short</p></body>") == "Short"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.runtime import ensure_checkpoint_dir as ensure_checkpoint_dir
 
 #: A worker takes texts in slices of about this many bytes, so its memory doesn't follow the Arrow batch.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 1_000_000
 #: Words or pieces that a worker keeps together have at most about so many characters.
 VOCAB_CHARS = 16_000_000
 #: join_hot deals out keys with over one of SHARE parts of all rows.

@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -66,7 +67,13 @@ NOT_TEXT_WORDS = frozenset(
     "breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar toolbar pagination pager comment comments disqus respond replies related recommended "
     "share sharing social newsletter subscribe subscription signup login search skip copyright".split()
 )
+#: Words that may stand beside these in a name, as in comment-list; other ones make it another name, as in no-comments.
+BESIDE = frozenset(
+    "list lists item items box boxes area areas wrapper wrap container block section inner outer holder slot unit bar link links icon icons button buttons form panel region zone "
+    "site top bottom left right main primary secondary global mobile desktop fixed sticky posts articles stories".split()
+)
 WORD = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[-_]+")
 #: Buckets of a host's expressions, and the host's share of all pages over which its pages are dealt out.
 BUCKETS, SHARE = 4096, 1024
 #: Wrappers of so many bytes together go to all workers; more meet their pages by a sort.
@@ -77,6 +84,13 @@ HELD_BYTES = 32_000_000
 MIN_PAGES, MIN_DIFFERING = 3, 1 / 4
 
 
+@lru_cache(10_000)
+def _is_boilerplate(name: str) -> bool:
+    """Does a class or an id, of words joined by - or _, name what isn't the article."""
+    words = {w for w in PARTS.split(name) if w}
+    return not words.isdisjoint(NOT_TEXT_WORDS) and words <= NOT_TEXT_WORDS | BESIDE
+
+
 class Node:
     __slots__ = ("key", "kids", "tag")
 
@@ -87,7 +101,7 @@ class Node:
             for k, v in ATTRIBUTE.findall(attrs):
                 words = WORD.findall(v.lower())
                 if k.lower() in ("class", "id"):
-                    boilerplate |= not content and tag not in ("html", "body") and not NOT_TEXT_WORDS.isdisjoint(v.lower().strip("\"'").split())
+                    boilerplate |= not content and tag not in ("html", "body") and any(map(_is_boilerplate, v.lower().strip("\"'").split()))
                     name = name or "".join(words[:1])
                 elif k.lower() == "role":
                     boilerplate |= not NOT_TEXT_ROLES.isdisjoint(words)
