@@ -285,3 +285,22 @@ def test_lines_with_salted_keys(spark):
     rows = [(i, "\n".join([f"a very common line {k}" for k in range(3) if r.random() < 0.7] + [f"line number {r.randrange(400)} of some"])) for i in range(400)]
     found = {x.doc_id: (x.n_lines, x.n_dropped, x.kept_text) for x in line_dedup.line_dedup(docs(spark, rows), min_chars=12, min_docs=2, share=16).collect()}
     assert found == brute_lines(rows, 12, 2)
+
+
+def test_links_of_keys_that_are_crowded_by_two_segments(spark):
+    """Fingerprints of equal first and second segments: only the third tells them apart."""
+    r = random.Random(12)
+    head = r.getrandbits(43) << 21
+    prints = {head | r.getrandbits(21) for _ in range(150)}
+    prints |= {p ^ (1 << r.randrange(21)) ^ (1 << r.randrange(64)) for p in list(prints)[:60]}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    pairs = [(i, p) for i, p in enumerate(sorted(prints))]
+    found = simhash.components(simhash.links(spark.createDataFrame([(signed(p),) for _, p in pairs], "fp long"), 8))
+    root = {x.node: x.root for x in found.collect()}
+    want = brute_components(pairs)
+    groups, got = defaultdict(set), defaultdict(set)
+    for i, p in pairs:
+        groups[want[i]].add(i)
+        got[root.get(signed(p), signed(p))].add(i)
+    assert len(groups) < len(pairs)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in got.values()}

@@ -16,7 +16,8 @@ fingerprint, and every link shares a key.
 
 Links: only different fingerprints are joined, by key, and verified by counting
 differing bits. A key with more than `bucket` fingerprints isn't joined with
-itself: its fingerprints link by way of centres. Two differ in at most 2 bits
+itself, but split by the indices of the third segment, of which a link shares one as
+well. What is crowded still is alike in all segments, and links by way of centres. Two differ in at most 2 bits
 exactly if some 64-bit word lies within 1 bit of both, so each emits itself and
 its 64 one-bit changes, and all that share a centre link to its least one. This
 is exact, needs 65 rows a fingerprint however many are alike, and no pairs.
@@ -29,6 +30,7 @@ checkpoint a round.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -137,19 +139,23 @@ class Golay:
         return row, (words[row] ^ patterns[row, column]) >> 11
 
 
-_golay: list[Golay] = []
+@cache
+def golay() -> Golay:
+    return Golay()
+
+
+def segment(prints: np.ndarray, k: int) -> np.ndarray:
+    shift, bits = SEGMENTS[k]
+    return (prints >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in prints, key) of uint64 fingerprints."""
-    if not _golay:
-        _golay.append(Golay())
-    parts = [(prints >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
     rows, keys = [], []
     for k in range(3):
-        row, index = _golay[0].indices(parts[(k + 1) % 3])
+        row, index = golay().indices(segment(prints, (k + 1) % 3))
         rows.append(row)
-        keys.append((np.int64(k) << 34) | (parts[k][row] << 12) | index)
+        keys.append((np.int64(k) << 34) | (segment(prints, k)[row] << 12) | index)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -175,20 +181,41 @@ def _keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links between different fingerprints (column fp, no repeats) that connect all at most BITS bits apart, and no others."""
-    keyed = _keys(prints)
+def _finer_keys(held: DataFrame) -> DataFrame:
+    """key, fp of rows key, fp: the key with each index of the segment that has no part in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp = (batch.column(k).to_numpy() for k in (0, 1))
+            for k in range(3):
+                some = np.flatnonzero(key >> 34 == k)
+                row, index = golay().indices(segment(fp[some].view(np.uint64), (k + 2) % 3))
+                yield pa.RecordBatch.from_arrays([pa.array(key[some][row] << 12 | index), pa.array(fp[some][row])], ["key", "fp"])
+
+    return held.select("key", "fp").mapInArrow(run, "key long, fp long")
+
+
+def _met(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows key, fp: the pairs a, b under keys of at most bucket fingerprints that differ in at most BITS bits, and the rows of other keys."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = keyed.join(sizes, "key")
+    held = keyed.join(sizes, "key").checkpoint()
     few = held.filter(F.col("n") <= bucket).select("key", "fp")
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").filter((F.col("a") < F.col("b")) & (differ <= BITS)).select("a", "b")
-    many = held.filter(F.col("n") > bucket).select("fp").distinct()
+    return pairs, held.filter(F.col("n") > bucket).select("key", "fp")
+
+
+def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links between different fingerprints (column fp, no repeats) that connect all at most BITS bits apart, and no others."""
+    ensure_checkpoint_dir(prints.sparkSession)
+    pairs, crowded = _met(_keys(prints), bucket)
+    finer, many = _met(_finer_keys(crowded), bucket)
+    many = many.select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
     centres = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
     # a centre has 65 fingerprints at most
     stars = centres.withColumn("a", F.min("fp").over(Window.partitionBy("centre"))).filter("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(finer).unionByName(stars).distinct()
 
 
 def _united(edges: DataFrame) -> DataFrame:
