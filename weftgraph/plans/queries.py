@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, misc, paths
 from ..operators import cycles, diff, resolve, store, traverse, usage, views
-from ..sources import callgraph, imports, signatures, symbols
+from ..sources import callgraph, imports, signatures
 from ..streaming import changes as feed
 from . import fixtures as fx
 from .runtime import settled
