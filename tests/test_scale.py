@@ -2,10 +2,12 @@
 
 import contextlib
 import io
+import time
 
 import pytest
 
 from weftgraph.operators import resolve, usage
+from weftgraph.sources import signatures
 
 
 def plan(df):
@@ -59,3 +61,17 @@ def test_a_scan_is_not_broadcast_by_a_guess(spark):
     found = usage.scan_references(files, targets, lambda i: resolve.relative(i, targets))
     assert "Broadcast" not in plan(usage.scan_candidates(files, targets)) + plan(found)
     assert [tuple(r)[:2] for r in found.collect()] == [("/ws/lib/x.ts", "/ws/a.ts")]
+
+
+def test_signatures_take_time_in_proportion_to_a_file():
+    began = time.time()
+    found = signatures.signatures("\n".join(f"export function s{k}(p{k}: N, q?: R): void {{}}" for k in range(20_000)))
+    assert len(found) == 20_000 and found[-1]["line"] == 20_000
+    assert time.time() - began < 40
+
+
+def test_kinds_take_time_in_proportion_to_a_file():
+    began = time.time()
+    found = signatures.signatures("\n".join(f"class K{k} {{ constructor(private d: T) {{ }} m(): V {{ }} }} const v{k} = (x) => x;" for k in range(6_000)))
+    assert len(found) == 18_000 and found[-2]["symbol"] == "K5999.m"
+    assert time.time() - began < 40
