@@ -69,3 +69,11 @@ def test_stage_drops_similar_documents(spark):
     least = least_similar(rows)
     kept = {d.doc_id for d in corpus_pipeline.near_dedup(spark, spark.createDataFrame(given.collect(), given.schema), sf).collect()}
     assert len(set(least.values())) < len(rows) and kept <= set(least) and not any(i in kept and least[i] in kept for i in least if least[i] != i)
+
+
+def test_the_sample_grows_with_the_table(spark, monkeypatch):
+    """A passage of 40 texts in 1000 is known by a share of all texts; 20 texts hold hardly one of them."""
+    monkeypatch.setattr(similar, "SAMPLE", 20)
+    monkeypatch.setattr(similar, "EACH", 5, raising=False)
+    rows = [(i, " ".join([*(["one two three four five six"] if i % 25 == 0 else []), *(f"w{i}x{k}" for k in range(9))])) for i in range(1000)]
+    assert len(similar._common(spark.createDataFrame(rows, "id long, text string"), 5)) == 2

@@ -1,7 +1,8 @@
 """Near copies by similarity of word shingles: every pair of 0.8 or more (Jaccard, five words), found exactly.
 
 Search: a text's shingles, as 64-bit hashes, stand in one order for all texts:
-those that a sample of texts shares come last, else by hash. Of two sets at least
+those that a sample of texts shares come last, else by hash. The sample is a share of
+all texts, so a shingle of some hundred texts is known in a table of any size. Of two sets at least
 4/5 similar, each has 4/5 of its members in common with the other, so the first n -
 ceil(4n/5) + 1 of each set's n members share one. These are the keys. The first
 common key of two sets also bounds what follows it, so pairs whose sizes or places
@@ -33,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Named, chunks, compact, ensure_checkpoint_dir, few_ids, join_hot, sample_ids, type_of
+from .common import Named, chunks, compact, ensure_checkpoint_dir, few_ids, join_hot, type_of
 from .simhash import components
 
 SHINGLE = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
-#: A shingle of at least COMMON texts of the sample comes late in the order; MAX_COMMON of them are known at most.
-SAMPLE, COMMON, MAX_COMMON = 2000, 4, 100_000
+#: A shingle of at least COMMON texts of the sample, one text of EACH and SAMPLE at least, comes late in the order; MAX_COMMON of them are known at most.
+EACH, SAMPLE, COMMON, MAX_COMMON = 25, 2000, 4, 1_000_000
 #: Bins of the parities, first and for pairs that pass; powers of two, at least 64.
 BINS, MANY_BINS = 1024, 16384
 #: Sets of at least so many members fill BINS.
@@ -63,6 +64,11 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def held_in(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which members of s are among known, which ascends and may be much longer."""
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+
+
 def _common(rows: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +76,8 @@ def _common(rows: DataFrame, size: int) -> np.ndarray:
                 sets = [shingles(t, size) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["h"])
 
-    some = rows.join(F.broadcast(sample_ids(rows, "id", SAMPLE)), "id", "left_semi")
+    share = max(1, min(EACH, rows.count() // SAMPLE))
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     counts = some.select("id", "text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
     top = counts.orderBy(F.col("n").desc(), "h").limit(MAX_COMMON).select("h").toPandas()["h"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
@@ -88,7 +95,7 @@ def _keyed(rows: DataFrame, common: np.ndarray, size: int) -> DataFrame:
                     s = shingles(text, size)
                     if not len(s):
                         continue
-                    late = np.isin(s, shared.value, assume_unique=True)
+                    late = held_in(s, shared.value)
                     first = np.concatenate([s[~late], s[late]])[: len(s) - -(-NUM * len(s) // DEN) + 1]
                     keys.append(first)
                     at.append(np.full(len(first), i))
